@@ -7,69 +7,59 @@ contributions were made.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from holdfast.functions.expressions import half_even
 from holdfast.functions.fixed import ID
 
 TARGET = "Total_Trans_Ct"
 
 
-def _ranked_features(shap: DataFrame, names: list[str]) -> DataFrame:
-    """One row with the features sorted by mean absolute contribution."""
-    row = shap.agg(
-        *[F.avg(F.abs(F.col("shap")[i])).alias(f"a{i}") for i in range(len(names))],
-        *[F.avg(F.col("shap")[i]).alias(f"m{i}") for i in range(len(names))],
-    )
-    cells = [
-        F.struct(
-            (-half_even(F.col(f"a{i}"), 9)).alias("order"), F.lit(name).alias("feature"), F.lit(i).alias("position"),
-            F.col(f"a{i}").alias("mean_abs"), F.col(f"m{i}").alias("mean"),
-        )
-        for i, name in enumerate(names)
-    ]
-    return row.select(F.sort_array(F.array(*cells)).alias("ranked"))
+def _moments(shap: DataFrame):
+    """Count, mean, absolute sum and variance of every contribution, from one scan."""
+    summary = Summarizer.metrics("count", "mean", "normL1", "variance").summary(array_to_vector("shap"))
+    return shap.agg(summary.alias("m")).first()["m"]
+
+
+def _ranking(moments, names: list[str]) -> list[tuple[int, float, float]]:
+    """(position, mean absolute contribution, mean contribution), strongest first."""
+    rows = [(i, float(moments["normL1"][i]) / moments["count"], float(moments["mean"][i])) for i in range(len(names))]
+    return sorted(rows, key=lambda row: (-round(row[1], 9), names[row[0]]))
 
 
 def importance(shap: DataFrame, names: list[str], top: int | None = None) -> DataFrame:
     """Features ranked by mean absolute contribution, with the mean direction."""
-    ranked = _ranked_features(shap, names).select(F.posexplode("ranked").alias("rank", "f"))
-    table = ranked.select(
-        (F.col("rank") + 1).alias("rank"),
-        F.col("f.feature").alias("feature"),
-        F.col("f.mean_abs").alias("mean_abs"),
-        F.col("f.mean").alias("mean"),
-        F.when(F.col("f.mean") > 0, "↑ Toward Churn").otherwise("↓ Away from Churn").alias("direction"),
-    )
-    return table if top is None else table.filter(F.col("rank") <= top)
+    ranked = _ranking(_moments(shap), names)[:top]
+    rows = [(rank, names[i], mean_abs, mean) for rank, (i, mean_abs, mean) in enumerate(ranked, 1)]
+    table = shap.sparkSession.createDataFrame(rows, "rank int, feature string, mean_abs double, mean double")
+    return table.withColumn("direction", F.when(F.col("mean") > 0, "↑ Toward Churn").otherwise("↓ Away from Churn"))
 
 
 def beeswarm(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -> DataFrame:
     """Contribution and feature value per customer for the strongest features.
 
     The last of the top rows is the sum of all other features if there are more.
+    The ranking is fixed first, so the rows themselves come from a projection.
     """
-    shown = len(names) if len(names) <= top else top - 1
-    order = _ranked_features(shap, names).select(F.transform("ranked", lambda f: f["position"])).scalar()
-    labels = F.array(*[F.lit(name) for name in names])
-    picked = [
+    order = [i for i, _, _ in _ranking(_moments(shap), names)]
+    shown = order if len(names) <= top else order[: top - 1]
+    rest = order[len(shown):]
+    cells = [
         F.struct(
-            F.lit(r + 1).alias("rank"),
-            F.element_at(labels, order[r] + 1).alias("feature"),
-            F.element_at(F.col("value"), order[r] + 1).alias("value"),
-            F.element_at(F.col("shap"), order[r] + 1).alias("shap"),
+            F.lit(rank).alias("rank"), F.lit(names[i]).alias("feature"),
+            F.col("value")[i].alias("value"), F.col("shap")[i].alias("shap"),
         )
-        for r in range(shown)
+        for rank, i in enumerate(shown, 1)
     ]
-    if shown < len(names):
-        rest = sum((F.element_at(F.col("shap"), order[r] + 1) for r in range(shown, len(names))), F.lit(0.0))
-        picked.append(
+    if rest:
+        cells.append(
             F.struct(
-                F.lit(shown + 1).alias("rank"), F.lit(f"Sum of {len(names) - shown} other features").alias("feature"),
-                F.lit(None).cast("double").alias("value"), rest.alias("shap"),
+                F.lit(len(shown) + 1).alias("rank"), F.lit(f"Sum of {len(rest)} other features").alias("feature"),
+                F.lit(None).cast("double").alias("value"), sum((F.col("shap")[i] for i in rest), F.lit(0.0)).alias("shap"),
             )
         )
-    return shap.select(key, F.inline(F.array(*picked)))
+    return shap.select(key, F.inline(F.array(*cells)))
 
 
 def highest_risk(scored: DataFrame, label: str = "label", key: str = ID) -> DataFrame:
@@ -84,41 +74,51 @@ def waterfall(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -
     """
     n = len(names)
     shown = n if n <= top else top - 1
-    cells = [
-        F.struct(
-            (-F.abs(F.col("shap")[i])).alias("order"), F.lit(i).alias("position"), F.lit(name).alias("feature"),
-            F.col("value")[i].alias("value"), F.col("shap")[i].alias("shap"),
-        )
-        for i, name in enumerate(names)
-    ]
-    ordered = shap.select(key, "base", F.sort_array(F.array(*cells)).alias("parts"))
-
-    def total(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0.0), lambda acc, part: acc + part["shap"])
-
-    steps = F.transform(
-        F.slice("parts", 1, shown), lambda part: F.struct(part["feature"], part["value"], part["shap"])
+    cells = [F.struct((-F.abs(F.col("shap")[i])).alias("order"), F.lit(i).alias("position")) for i in range(n)]
+    laid = shap.withColumn("parts", F.sort_array(F.array(*cells)))
+    laid = laid.select(
+        key, "base", "value", "shap", *[F.col("parts")[r]["position"].alias(f"p{r}") for r in range(n)]
     )
+    steps = [F.col("shap")[F.col(f"p{r}")] for r in range(shown)]
     if shown < n:
-        rest = F.struct(
-            F.lit(f"{n - shown} other features").alias("feature"), F.lit(None).cast("double").alias("value"),
-            total(F.slice("parts", shown + 1, n)).alias("shap"),
+        steps.append(sum((F.col("shap")[F.col(f"p{r}")] for r in range(shown, n)), F.lit(0.0)))
+    laid = laid.withColumns({f"s{r}": step for r, step in enumerate(steps)})
+    level = F.col("base")
+    for r in reversed(range(len(steps))):
+        laid = laid.withColumn(f"to{r}", level + F.col(f"s{r}"))
+        level = F.col(f"to{r}")
+    labels = F.array(*[F.lit(name) for name in names])
+
+    def row(r: int) -> Column:
+        start = F.col(f"to{r + 1}") if r + 1 < len(steps) else F.col("base")
+        single = r < shown
+        return F.struct(
+            F.lit(r + 1).alias("rank"),
+            (labels[F.col(f"p{r}")] if single else F.lit(f"{n - shown} other features")).alias("feature"),
+            (F.col("value")[F.col(f"p{r}")] if single else F.lit(None).cast("double")).alias("value"),
+            F.col(f"s{r}").alias("shap"), start.alias("start"), F.col(f"to{r}").alias("end"),
         )
-        steps = F.concat(steps, F.array(rest))
-    laid = ordered.select(key, "base", "parts", F.posexplode(steps).alias("at", "step"))
-    after = F.slice("parts", F.col("at") + 2, F.lit(n))
-    below = F.when(F.col("at") < shown, total(after)).otherwise(F.lit(0.0))
-    return laid.withColumn("start", F.col("base") + below).select(
-        key, (F.col("at") + 1).alias("rank"), "step.feature", "step.value", "step.shap", "start",
-        (F.col("start") + F.col("step.shap")).alias("end"),
-    )
+
+    return laid.select(key, F.inline(F.array(*[row(r) for r in range(len(steps))])))
 
 
 def _target(shap: DataFrame, names: list[str], target: str) -> int:
     """Position of the target, or of the strongest feature if there is no such name."""
-    if target in names:
-        return names.index(target)
-    return _ranked_features(shap, names).first()["ranked"][0]["position"]
+    return names.index(target) if target in names else _ranking(_moments(shap), names)[0][0]
+
+
+def _residual_strength(shap: DataFrame, names: list[str], t: int) -> list[tuple[int, float]]:
+    """(position, absolute correlation with what a line through the target leaves), strongest first."""
+    x, y = F.col("value")[t], F.col("shap")[t]
+    line = shap.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).first()
+    if line["slope"] is None:
+        return []
+    residual = y - (F.lit(line["intercept"]) + F.lit(line["slope"]) * x)
+    others = [i for i in range(len(names)) if i != t]
+    vector = array_to_vector(F.array(residual, *[F.col("value")[i] for i in others]))
+    r = np.abs(Correlation.corr(shap.select(vector.alias("v")), "v").first()[0].toArray()[0, 1:])
+    rows = [(i, float(v)) for i, v in zip(others, r) if not np.isnan(v)]
+    return sorted(rows, key=lambda row: (-round(row[1], 9), names[row[0]]))
 
 
 def interaction(shap: DataFrame, names: list[str], target: str = TARGET) -> DataFrame:
@@ -127,30 +127,20 @@ def interaction(shap: DataFrame, names: list[str], target: str = TARGET) -> Data
     Features without variance have no correlation and are left out.
     """
     t = _target(shap, names, target)
-    x, y = F.col("value")[t], F.col("shap")[t]
-    line = shap.agg(F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))).scalar()
-    residual = shap.select("value", (y - (line["intercept"] + line["slope"] * x)).alias("residual"))
-    others = [i for i in range(len(names)) if i != t]
-    row = residual.agg(*[F.abs(F.corr("residual", F.col("value")[i])).alias(f"r{i}") for i in others])
-    cells = [
-        F.struct((-half_even(F.col(f"r{i}"), 9)).alias("order"), F.lit(names[i]).alias("feature"), F.col(f"r{i}").alias("abs_r"))
-        for i in others
-    ]
-    kept = F.filter(F.array(*cells), lambda c: c["abs_r"].isNotNull() & ~F.isnan(c["abs_r"]))
-    return row.select(F.posexplode(F.sort_array(kept)).alias("at", "f")).select(
-        F.lit(names[t]).alias("target"), F.col("f.feature").alias("feature"), F.col("f.abs_r").alias("abs_r"),
-        (F.col("at") == 0).cast("int").alias("chosen"),
-    )
+    strength = _residual_strength(shap, names, t)
+    rows = [(names[t], names[i], r, int(place == 0)) for place, (i, r) in enumerate(strength)]
+    return shap.sparkSession.createDataFrame(rows, "target string, feature string, abs_r double, chosen int")
 
 
 def dependence(shap: DataFrame, names: list[str], target: str = TARGET, key: str = ID) -> DataFrame:
     """Target value and contribution per customer with the chosen interaction value."""
     t = _target(shap, names, target)
-    partner = interaction(shap, names, names[t]).filter("chosen = 1").select("feature").scalar()
-    by_name = F.map_from_arrays(F.array(*[F.lit(name) for name in names]), F.col("value"))
+    strength = _residual_strength(shap, names, t)
+    partner = strength[0][0] if strength else None
     return shap.select(
         key, F.col("value")[t].alias("value"), F.col("shap")[t].alias("shap"),
-        partner.alias("interaction_feature"), by_name[partner].alias("interaction_value"),
+        F.lit(None if partner is None else names[partner]).cast("string").alias("interaction_feature"),
+        (F.lit(None).cast("double") if partner is None else F.col("value")[partner]).alias("interaction_value"),
     )
 
 
@@ -189,17 +179,11 @@ def additivity(shap: DataFrame, log_odds: str = "log_odds") -> DataFrame:
 def quality(shap: DataFrame, names: list[str]) -> DataFrame:
     """Bad values, features without spread, largest mean and the strongest feature."""
     bad = F.size(F.filter("shap", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    row = shap.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(bad).alias("n_bad"),
-        F.max("base").alias("base"),
-        *[F.var_pop(F.col("shap")[i]).alias(f"v{i}") for i in range(len(names))],
-        *[F.avg(F.col("shap")[i]).alias(f"m{i}") for i in range(len(names))],
-    )
-    flat = sum(((F.col(f"v{i}") == 0).cast("int") for i in range(len(names))), F.lit(0))
-    top = _ranked_features(shap, names).select(F.col("ranked")[0]["feature"]).scalar()
-    return row.select(
-        "n", "n_bad", "base", flat.alias("n_flat"),
-        F.greatest(*[F.abs(f"m{i}") for i in range(len(names))]).alias("max_abs_mean"),
-        top.alias("top_feature"),
+    moments = _moments(shap)
+    return shap.agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("n_bad"), F.max("base").alias("base")).withColumns(
+        {
+            "n_flat": F.lit(sum(v == 0 for v in moments["variance"].toArray().tolist())),
+            "max_abs_mean": F.lit(float(np.abs(moments["mean"].toArray()).max())),
+            "top_feature": F.lit(names[_ranking(moments, names)[0][0]]),
+        }
     )

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions import expressions as E
@@ -18,6 +20,7 @@ from holdfast.functions.ordering import hash_key, running_totals, split_points
 from holdfast.sources.schema import numeric_columns
 
 CLASSES = (0, 1)
+PAIRS_PER_AGGREGATE = 16
 UNDERFLOW = 39.0  # exp(-39**2 / 2) is 0 in double arithmetic
 
 
@@ -235,14 +238,34 @@ def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple = CLA
 
 
 def correlations(df: DataFrame, exclude: tuple[str, ...] = (ID,)) -> DataFrame:
-    """Pearson r of every pair of numeric columns (strict lower triangle), one scan."""
-    pairs = [(a, b) for b, a in combinations(numeric_columns(df, exclude), 2)]
-    row = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"r{i}"), F.col(f"r{i}")).alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.inline(F.array(*cells)))
+    """Pearson r of every pair of numeric columns (strict lower triangle).
+
+    Columns without nulls go through one matrix computation. Pairs with a null
+    somewhere use the rows where both are known, a few pairs per aggregate: wider
+    ones leave compiled code. A constant column has no r.
+    """
+    names = numeric_columns(df, exclude)
+    x = {name: F.col(f"`{name}`").cast("double") for name in names}
+    known = {name: ~(x[name].isNull() | F.isnan(x[name])) for name in names}
+    gaps = df.agg(*[F.count_if(~known[name]).alias(name) for name in names]).first()
+    whole = [name for name in names if not gaps[name]]
+    pairs = [(a, b) for b, a in combinations(names, 2)]
+    found: list[tuple] = []
+    if len(whole) > 1 and df.select(F.lit(1)).limit(2).count() > 1:
+        vector = array_to_vector(F.array(*[x[name] for name in whole]))
+        matrix = Correlation.corr(df.select(vector.alias("v")), "v").first()[0].toArray()
+        place = {name: i for i, name in enumerate(whole)}
+        found = [(a, b, float(matrix[place[a], place[b]])) for a, b in pairs if a in place and b in place]
+        pairs = [(a, b) for a, b in pairs if a not in place or b not in place]
+    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
+        part = pairs[start : start + PAIRS_PER_AGGREGATE]
+        both = [known[a] & known[b] for a, b in part]
+        row = df.agg(
+            *[F.corr(F.when(ok, x[a]), F.when(ok, x[b])).alias(f"r{i}") for i, ((a, b), ok) in enumerate(zip(part, both))]
+        ).first()
+        found += [(a, b, row[f"r{i}"]) for i, (a, b) in enumerate(part)]
+    rows = [(a, b, None if r is None or math.isnan(r) else r) for a, b, r in found]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def sample(df: DataFrame, n: int, key: str = ID, seed: int = SEED) -> DataFrame:

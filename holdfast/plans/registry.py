@@ -104,27 +104,31 @@ def contacts_by_status(s: Study) -> DataFrame:
     return profile.contacts_by_status(s.customers)
 
 
+def _histogram(df: DataFrame, columns: list[str], bins: int, **how) -> DataFrame:
+    return rounded(rounded(profile.histogram(df, columns, bins, **how), 6, "lo", "hi"), 9, "density")
+
+
 @query
 def hist_age(s: Study) -> DataFrame:
-    return rounded(profile.histogram(s.customers, ["Customer_Age"], 20), 9, "lo", "hi", "density")
+    return _histogram(s.customers, ["Customer_Age"], 20)
 
 
 @query
 def hist_credit_raw_log(s: Study) -> DataFrame:
     table = s.customers.withColumn("Credit_Limit_log", F.log1p("Credit_Limit"))
-    return rounded(profile.histogram(table, ["Credit_Limit", "Credit_Limit_log"], 30), 9, "lo", "hi", "density")
+    return _histogram(table, ["Credit_Limit", "Credit_Limit_log"], 30)
 
 
 @query
 def hist_numeric(s: Study) -> DataFrame:
-    return rounded(profile.histogram(s.customers, DISTRIBUTIONS, 25), 9, "lo", "hi", "density")
+    return _histogram(s.customers, DISTRIBUTIONS, 25)
 
 
 @query
 def hist_any(s: Study) -> DataFrame:
     """The explorer's histogram of every numeric attribute, all customers together."""
     columns = numeric_columns(s.customers, exclude=(ID, LABEL))
-    return rounded(profile.histogram(s.customers, columns, 30, by=None), 9, "lo", "hi", "density")
+    return _histogram(s.customers, columns, 30, by=None)
 
 
 @query
@@ -192,20 +196,21 @@ def log_and_engineered(s: Study) -> DataFrame:
     return rounded(engineer(log_columns(s.customers)).select(ID, *names), 9, *[n for n in names if n != "inactivity_risk"])
 
 
-def _scaled_on_all(s: Study) -> DataFrame:
-    """Scaled feature table with the scaling learned on all rows, at 6 digits."""
-    fitted = CustomerFeatures().fit(s.customers)
-    return rounded(fitted.table(s.customers).select(ID, *FEATURES, LABEL), 6, *FEATURES)
+def _scaled(s: Study) -> DataFrame:
+    """Stored feature table, at 6 digits."""
+    return rounded(s.scaled.select(ID, *FEATURES, LABEL), 6, *FEATURES)
 
 
 @query
 def scaled_features(s: Study) -> DataFrame:
-    return _scaled_on_all(s)
+    """Learn and apply the scaling on all customers."""
+    fitted = CustomerFeatures().fit(s.customers)
+    return rounded(fitted.table(s.customers).select(ID, *FEATURES, LABEL), 6, *FEATURES)
 
 
 @query
 def feature_audit(s: Study) -> DataFrame:
-    return quality.feature_audit(CustomerFeatures().fit(s.customers).table(s.customers).drop(ID))
+    return quality.feature_audit(s.scaled.drop(ID))
 
 
 # Split and folds
@@ -223,7 +228,7 @@ def split_balance(s: Study) -> DataFrame:
 
 @query
 def split_leakage(s: Study) -> DataFrame:
-    scaled = _scaled_on_all(s).withColumnRenamed(ID, "key")
+    scaled = _scaled(s).withColumnRenamed(ID, "key")
     marked = split.with_split(scaled, key="key")
     return split.leaked_rows(marked.filter("split = 'train'"), marked.filter("split = 'test'"))
 
@@ -341,7 +346,7 @@ def recommendations(s: Study) -> DataFrame:
 
 def rule_contributions(s: Study) -> DataFrame:
     """Contributions with one interaction per feature, from the scaled table of all customers."""
-    scaled = _scaled_on_all(s)
+    scaled = _scaled(s)
     n = len(FEATURES)
     shap = [
         F.lit(rule_weight(i)) * F.col(name) + F.lit(rule_bend(i)) * F.col(name) * F.col(FEATURES[(i + 1) % n])

@@ -23,7 +23,7 @@ class Study:
     """One raw table and all that follows from it.
 
     Phases run on first use. A phase several others read is written once to the
-    shared folder: ingested customers, test scores, contributions.
+    shared folder: ingested customers, features, test scores, contributions.
     """
 
     raw: DataFrame
@@ -55,6 +55,11 @@ class Study:
         """Scaling learned on training rows only."""
         return CustomerFeatures(fitOn="split = 'train'").fit(self.divided)
 
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Feature table of all customers, scaling learned on all of them."""
+        return settle(CustomerFeatures().fit(self.customers).table(self.customers), "features")
+
     @cached_property
     def pipeline(self) -> PipelineModel:
         vectors = models.vector_table(self.features, self.train).persist()
