@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def indicator(column: str, value) -> Column:
+def indicator(column: Column, value) -> Column:
     """1 where the column equals value, else 0; a null counts as different."""
-    return F.col(column).eqNullSafe(F.lit(value)).cast("int")
+    return column.eqNullSafe(F.lit(value)).cast("int")
 
 
-def ordinal(column: str, codes: dict[str, int]) -> Column:
+def ordinal(column: Column, codes: dict[str, int]) -> Column:
     """Code of a category; null for a category without one."""
     pairs = [F.lit(part) for item in codes.items() for part in item]
-    return F.create_map(*pairs)[F.col(column)]
+    return F.create_map(*pairs)[column]
 
 
 def right_closed_band(column: str, edges: list, labels: list[str]) -> Column:

@@ -129,9 +129,11 @@ def hash_cuts(
     return {s: sorted(keys) for s, keys in cuts.items()}
 
 
-def cuts_passed(id_column: str, stratum: str, seed: int, cuts: dict[object, list[tuple]]) -> Column:
-    """How many cuts of its stratum a row lies beyond; a plain projection."""
-    key = hash_key(id_column, seed)
+def with_cuts_passed(
+    df: DataFrame, name: str, id_column: str, stratum: str, seed: int, cuts: dict[object, list[tuple]]
+) -> DataFrame:
+    """Add how many cuts of its stratum a row lies beyond; a plain projection."""
+    key = F.col("__hash")
 
     def beyond(cut) -> Column:
         return ((key > cut[0]) | ((key == cut[0]) & (F.col(id_column) > F.lit(cut[1])))).cast("int")
@@ -141,4 +143,4 @@ def cuts_passed(id_column: str, stratum: str, seed: int, cuts: dict[object, list
         passed = F.when(
             F.col(stratum).eqNullSafe(F.lit(s)), sum((beyond(cut) for cut in keys), F.lit(0))
         ).otherwise(passed)
-    return passed
+    return df.withColumn("__hash", hash_key(id_column, seed)).withColumn(name, passed).drop("__hash")

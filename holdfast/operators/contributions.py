@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions.fixed import ID
 
 TARGET = "Total_Trans_Ct"
+PAIRS_PER_AGGREGATE = 13  # wider aggregates leave compiled code
 
 
 def _moments(shap: DataFrame):
@@ -114,10 +115,13 @@ def _residual_strength(shap: DataFrame, names: list[str], t: int) -> list[tuple[
     if line["slope"] is None:
         return []
     residual = y - (F.lit(line["intercept"]) + F.lit(line["slope"]) * x)
+    table = shap.select("value", residual.alias("residual"))
     others = [i for i in range(len(names)) if i != t]
-    vector = array_to_vector(F.array(residual, *[F.col("value")[i] for i in others]))
-    r = np.abs(Correlation.corr(shap.select(vector.alias("v")), "v").first()[0].toArray()[0, 1:])
-    rows = [(i, float(v)) for i, v in zip(others, r) if not np.isnan(v)]
+    rows = []
+    for start in range(0, len(others), PAIRS_PER_AGGREGATE):
+        part = others[start : start + PAIRS_PER_AGGREGATE]
+        r = table.agg(*[F.corr("residual", F.col("value")[i]) for i in part]).first()
+        rows += [(i, abs(v)) for i, v in zip(part, r) if v is not None and not np.isnan(v)]
     return sorted(rows, key=lambda row: (-round(row[1], 9), names[row[0]]))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
@@ -16,44 +20,92 @@ from holdfast.sources.schema import numeric_columns
 MAX_CATEGORIES = 100
 
 
+Columns = dict[str, Column]
+Step = Callable[[Columns], Columns]
+
+
+def apply(df: DataFrame, *steps: Step) -> DataFrame:
+    """Run steps over a table's columns, as one projection."""
+    columns = {name: F.col(f"`{name}`") for name in df.columns}
+    for step in steps:
+        columns = step(columns)
+    return df.select(*[column.alias(name) for name, column in columns.items()])
+
+
+def _without(columns: Columns, names) -> Columns:
+    return {name: column for name, column in columns.items() if name not in names}
+
+
+def gender_code(columns: Columns) -> Columns:
+    return {**columns, "Gender": E.indicator(columns["Gender"], "M")}
+
+
+def ordinal_codes(columns: Columns) -> Columns:
+    return {**columns, **{name: E.ordinal(columns[name], codes) for name, codes in ORDINAL_CODES.items()}}
+
+
+def log_amounts(columns: Columns) -> Columns:
+    """Replace the skewed amounts by <name>_log = log(1 + x); absent ones are skipped."""
+    present = [name for name in LOGGED if name in columns]
+    return {**_without(columns, present), **{f"{name}_log": F.log1p(columns[name]) for name in present}}
+
+
+def engineered(columns: Columns) -> Columns:
+    """Spend per transaction, inactivity risk and credit in use; log amounts where present."""
+    def amount(name: str) -> Column:
+        return columns[f"{name}_log" if f"{name}_log" in columns else name]
+
+    return {
+        **columns,
+        "transaction_velocity": amount("Total_Trans_Amt") / (columns["Total_Trans_Ct"] + 1),
+        "inactivity_risk": columns["Months_Inactive_12_mon"] * columns["Contacts_Count_12_mon"],
+        "credit_usage_gap": amount("Credit_Limit") - amount("Avg_Open_To_Buy"),
+    }
+
+
+def nominal_flags(categories: dict[str, list[str]]) -> Step:
+    """Replace each column by one 0/1 column per category, appended last."""
+    def step(columns: Columns) -> Columns:
+        flags = {f"{c}_{v}": E.indicator(columns[c], v) for c, values in categories.items() for v in values}
+        return {**_without(columns, categories), **flags}
+
+    return step
+
+
 def drop_id(df: DataFrame) -> DataFrame:
     return df.drop(ID)
 
 
 def encode_gender(df: DataFrame) -> DataFrame:
-    return df.withColumn("Gender", E.indicator("Gender", "M"))
+    return apply(df, gender_code)
 
 
 def encode_ordinals(df: DataFrame) -> DataFrame:
-    return df.withColumns({name: E.ordinal(name, codes) for name, codes in ORDINAL_CODES.items()})
+    return apply(df, ordinal_codes)
 
 
-def count_unknowns(encoded: DataFrame) -> DataFrame:
-    """Rows with the unknown code, per ordinal column."""
-    row = encoded.agg(*[F.count_if(F.col(name) == -1).alias(name) for name in ORDINAL_CODES])
-    cells = [F.struct(F.lit(name).alias("feature"), F.col(name).alias("unknowns")) for name in ORDINAL_CODES]
-    return row.select(F.inline(F.array(*cells)))
+def log_columns(df: DataFrame) -> DataFrame:
+    return apply(df, log_amounts)
 
 
-def log_columns(df: DataFrame) -> DataFrame:
-    """Replace the skewed amounts by <name>_log = log(1 + x); absent ones are skipped."""
-    present = [name for name in LOGGED if name in df.columns]
-    return df.withColumns({f"{name}_log": F.log1p(name) for name in present}).drop(*present)
+def engineer(df: DataFrame) -> DataFrame:
+    return apply(df, engineered)
 
 
-def _logged(df: DataFrame, name: str) -> Column:
-    return F.col(f"{name}_log" if f"{name}_log" in df.columns else name)
+def encode_nominals(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    return apply(df, nominal_flags(categories))
 
 
-def engineer(df: DataFrame) -> DataFrame:
-    """Spend per transaction, inactivity risk and credit in use; log amounts where present."""
-    return df.withColumns(
-        {
-            "transaction_velocity": _logged(df, "Total_Trans_Amt") / (F.col("Total_Trans_Ct") + 1),
-            "inactivity_risk": F.col("Months_Inactive_12_mon") * F.col("Contacts_Count_12_mon"),
-            "credit_usage_gap": _logged(df, "Credit_Limit") - _logged(df, "Avg_Open_To_Buy"),
-        }
-    )
+def steps(categories: dict[str, list[str]]) -> list[Step]:
+    """All steps before scaling, in their fixed order."""
+    return [gender_code, ordinal_codes, log_amounts, engineered, nominal_flags(categories)]
+
+
+def count_unknowns(encoded: DataFrame) -> DataFrame:
+    """Rows with the unknown code, per ordinal column."""
+    row = encoded.agg(*[F.count_if(F.col(name) == -1).alias(name) for name in ORDINAL_CODES])
+    cells = [F.struct(F.lit(name).alias("feature"), F.col(name).alias("unknowns")) for name in ORDINAL_CODES]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def fit_categories(df: DataFrame, columns: list[str] = NOMINAL) -> dict[str, list[str]]:
@@ -71,17 +123,6 @@ def fit_categories(df: DataFrame, columns: list[str] = NOMINAL) -> dict[str, lis
     return {c: v[1:] for c, v in values.items()}
 
 
-def encode_nominals(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
-    """Replace each column by one 0/1 column per category, appended last."""
-    flags = {f"{c}_{value}": E.indicator(c, value) for c, values in categories.items() for value in values}
-    return df.withColumns(flags).drop(*categories)
-
-
-def unscaled(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
-    """All steps before scaling, in their fixed order."""
-    return encode_nominals(engineer(log_columns(encode_ordinals(encode_gender(df)))), categories)
-
-
 def fit_scaling(df: DataFrame, names: list[str]) -> tuple[list[float], list[float]]:
     """Mean and population standard deviation per column, from one scan."""
     row = df.agg(
@@ -90,8 +131,12 @@ def fit_scaling(df: DataFrame, names: list[str]) -> tuple[list[float], list[floa
     return [m if m is not None else 0.0 for m in row["means"]], [s or 1.0 for s in row["stds"]]
 
 
-def scale(names: list[str], means: list[float], stds: list[float]) -> list[Column]:
-    return [((F.col(n) - m) / s).alias(n) for n, m, s in zip(names, means, stds)]
+def scaled(names: list[str], means: list[float], stds: list[float]) -> Step:
+    """Replace the named columns by their standard scores."""
+    def step(columns: Columns) -> Columns:
+        return {**columns, **{n: (columns[n] - m) / s for n, m, s in zip(names, means, stds)}}
+
+    return step
 
 
 class _FeatureParams(Params):
@@ -119,20 +164,27 @@ class CustomerFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, Defaul
     def _fitted(self) -> tuple[list[str], list[float], list[float]]:
         return tuple(self.getOrDefault(p) for p in ("names", "means", "stds"))
 
+    def _steps(self) -> list[Step]:
+        return [*steps(self.getOrDefault("categories")), scaled(*self._fitted())]
+
     def table(self, df: DataFrame) -> DataFrame:
         """Key, scaled features as named columns and, if present, the label."""
         kept = [c for c in (self.getOrDefault("idCol"),) if c in df.columns]
         label = [c for c in (self.getOrDefault("labelCol"),) if c in df.columns]
-        wide = unscaled(df, self.getOrDefault("categories"))
-        return wide.select(*kept, *scale(*self._fitted()), *label)
+        return apply(df, *self._steps()).select(*kept, *self.feature_names, *label)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        wide = unscaled(df.select(F.struct(*df.columns).alias("__raw"), "*"), self.getOrDefault("categories"))
-        parts = [
-            F.coalesce(value, F.raise_error(F.lit(f"feature {name} is null")).cast("double"))
-            for name, value in zip(self.feature_names, scale(*self._fitted()))
-        ]
-        return wide.select("__raw.*", array_to_vector(F.array(*parts)).alias(self.getOrDefault("outputCol")))
+        def with_vector(columns: Columns) -> Columns:
+            made = columns
+            for step in self._steps():
+                made = step(made)
+            parts = [made[name] for name in self.feature_names]
+            unknown = reduce(or_, [part.isNull() for part in parts])
+            error = F.raise_error(F.lit("a feature is null: missing value or unmapped category"))
+            vector = array_to_vector(F.array(*parts))
+            return {**columns, self.getOrDefault("outputCol"): F.when(unknown, error).otherwise(vector)}
+
+        return apply(df, with_vector)
 
 
 class CustomerFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -147,7 +199,7 @@ class CustomerFeatures(Estimator, _FeatureParams, DefaultParamsReadable, Default
         aside = (self.getOrDefault("idCol"), self.getOrDefault("labelCol"), "split", "fold")
         rows = df.filter(self.getOrDefault("fitOn"))
         categories = fit_categories(rows)
-        wide = unscaled(rows, categories)
+        wide = apply(rows, *steps(categories))
         names = numeric_columns(wide, exclude=aside)
         means, stds = fit_scaling(wide, names)
         model = CustomerFeaturesModel()

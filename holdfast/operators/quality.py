@@ -24,7 +24,7 @@ def encode_target(df: DataFrame) -> DataFrame:
     """Replace the text target by the 0/1 label, as last column."""
     if RAW_TARGET not in df.columns:
         raise KeyError(f"expected target column {RAW_TARGET!r}")
-    return df.withColumn(LABEL, E.indicator(RAW_TARGET, CHURNED_VALUE)).drop(RAW_TARGET)
+    return df.withColumn(LABEL, E.indicator(F.col(RAW_TARGET), CHURNED_VALUE)).drop(RAW_TARGET)
 
 
 def ingest(raw: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from holdfast.functions import expressions as E
 from holdfast.functions.fixed import FEATURES, FOLDS, ID, LABEL, SEED, TEST_SHARE
-from holdfast.functions.ordering import cuts_passed, hash_cuts
+from holdfast.functions.ordering import hash_cuts, with_cuts_passed
 
 
 def test_quota(sizes: dict, share: float) -> dict:
@@ -35,11 +35,11 @@ def with_split(
         return {s: [q] if q else [] for s, q in test_quota(sizes, share).items()}
 
     cuts = hash_cuts(df, key, label, seed, last_test_rank)
-    empty = [s for s, keys in cuts.items() if not keys]
-    is_test = cuts_passed(key, label, seed, cuts) == 0
-    for s in empty:
+    is_test = F.col("split") == 0
+    for s in (s for s, keys in cuts.items() if not keys):
         is_test = is_test & ~F.col(label).eqNullSafe(F.lit(s))
-    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+    marked = with_cuts_passed(df, "split", key, label, seed, cuts)
+    return marked.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
 def with_folds(
@@ -53,8 +53,7 @@ def with_folds(
             ranks[s] = [e for e in ends if 0 < e < n]
         return ranks
 
-    cuts = hash_cuts(df, key, label, seed, last_ranks)
-    return df.withColumn("fold", cuts_passed(key, label, seed, cuts))
+    return with_cuts_passed(df, "fold", key, label, seed, hash_cuts(df, key, label, seed, last_ranks))
 
 
 def split_balance(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -374,8 +374,8 @@ importance AS (SELECT feature, position, avg(abs(shap)) AS mean_abs, avg(shap) A
 def _waterfall(top: int, only: str = "") -> str:
     shown = top - 1
     return _with(
-        """SELECT CLIENTNUM, CAST(rank AS INTEGER) AS rank, feature, value, round(shap, 6) AS shap,
-       round(base + sum(shap) OVER later, 6) AS "end", round(base + sum(shap) OVER later - shap, 6) AS start
+        """SELECT CLIENTNUM, CAST(rank AS INTEGER) AS rank, feature, value, round(shap, 7) AS shap,
+       round(base + sum(shap) OVER later, 7) AS "end", round(base + sum(shap) OVER later - shap, 7) AS start
 FROM steps WINDOW later AS (PARTITION BY CLIENTNUM ORDER BY rank DESC)""",
         CONTRIBUTIONS,
         f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY CLIENTNUM ORDER BY abs(shap) DESC, position) AS rank
@@ -563,10 +563,10 @@ FROM importance WHERE rank <= 15 AND abs(mean) > 1e-4""",
         CONTRIBUTIONS, IMPORTANCE,
     ),
     "contrib_beeswarm": _with(
-        f"""SELECT CLIENTNUM, CAST(rank AS INTEGER) AS rank, feature, value, round(shap, 6) AS shap
+        f"""SELECT CLIENTNUM, CAST(rank AS INTEGER) AS rank, feature, value, round(shap, 7) AS shap
 FROM long JOIN (SELECT feature, rank FROM importance WHERE rank <= 14) USING (feature)
 UNION ALL
-SELECT CLIENTNUM, 15, 'Sum of {_N - 14} other features', NULL, round(sum(shap), 6)
+SELECT CLIENTNUM, 15, 'Sum of {_N - 14} other features', NULL, round(sum(shap), 7)
 FROM long JOIN (SELECT feature, rank FROM importance WHERE rank > 14) USING (feature) GROUP BY CLIENTNUM""",
         CONTRIBUTIONS, IMPORTANCE,
     ),

@@ -345,8 +345,11 @@ def recommendations(s: Study) -> DataFrame:
 
 
 def rule_contributions(s: Study) -> DataFrame:
-    """Contributions with one interaction per feature, from the scaled table of all customers."""
-    scaled = _scaled(s)
+    """Contributions with one interaction per feature, for all customers."""
+    return s.stored("rule-contributions", lambda: _rule_contributions(_scaled(s)))
+
+
+def _rule_contributions(scaled: DataFrame) -> DataFrame:
     n = len(FEATURES)
     shap = [
         F.lit(rule_weight(i)) * F.col(name) + F.lit(rule_bend(i)) * F.col(name) * F.col(FEATURES[(i + 1) % n])
@@ -377,12 +380,12 @@ def contrib_direction(s: Study) -> DataFrame:
 
 @query
 def contrib_beeswarm(s: Study) -> DataFrame:
-    return rounded(contributions.beeswarm(rule_contributions(s), FEATURES), 6, "shap")
+    return rounded(contributions.beeswarm(rule_contributions(s), FEATURES), 7, "shap")
 
 
 @query
 def contrib_waterfall(s: Study) -> DataFrame:
-    return rounded(contributions.waterfall(rule_contributions(s), FEATURES), 6, "shap", "start", "end")
+    return rounded(contributions.waterfall(rule_contributions(s), FEATURES), 7, "shap", "start", "end")
 
 
 @query
@@ -390,7 +393,7 @@ def contrib_waterfall_top(s: Study) -> DataFrame:
     scores = rule_scores(s.customers).filter("model = 'rule_activity'")
     chosen = contributions.highest_risk(scores).select(ID)
     one = rule_contributions(s).join(F.broadcast(chosen), ID)
-    return rounded(contributions.waterfall(one, FEATURES, top=12), 6, "shap", "start", "end")
+    return rounded(contributions.waterfall(one, FEATURES, top=12), 7, "shap", "start", "end")
 
 
 @query

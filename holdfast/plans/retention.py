@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.ml import PipelineModel
@@ -29,6 +30,13 @@ class Study:
     raw: DataFrame
     learners: list[Learner]
     folds: int = 5
+    _stored: dict[str, DataFrame] = field(default_factory=dict)
+
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A further table of this study, built and written on first use."""
+        if name not in self._stored:
+            self._stored[name] = settle(build(), name)
+        return self._stored[name]
 
     @property
     def spark(self) -> SparkSession:
