@@ -36,6 +36,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     )
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson r as an aggregate; null if one side is constant, which corr() rejects."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def half_even(column: Column, digits: int) -> Column:
     return F.bround(column, digits)
 

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from holdfast.functions.expressions import correlation
 from holdfast.functions.fixed import ID
 
 TARGET = "Total_Trans_Ct"
@@ -83,21 +84,20 @@ def waterfall(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -
     steps = [F.col("shap")[F.col(f"p{r}")] for r in range(shown)]
     if shown < n:
         steps.append(sum((F.col("shap")[F.col(f"p{r}")] for r in range(shown, n)), F.lit(0.0)))
-    laid = laid.withColumns({f"s{r}": step for r, step in enumerate(steps)})
-    level = F.col("base")
+    laid = laid.select("*", *[step.alias(f"s{r}") for r, step in enumerate(steps)])
+    levels = [F.col("base")]  # from the base upwards
     for r in reversed(range(len(steps))):
-        laid = laid.withColumn(f"to{r}", level + F.col(f"s{r}"))
-        level = F.col(f"to{r}")
+        levels.append(levels[-1] + F.col(f"s{r}"))
     labels = F.array(*[F.lit(name) for name in names])
 
     def row(r: int) -> Column:
-        start = F.col(f"to{r + 1}") if r + 1 < len(steps) else F.col("base")
+        at = len(steps) - r
         single = r < shown
         return F.struct(
             F.lit(r + 1).alias("rank"),
             (labels[F.col(f"p{r}")] if single else F.lit(f"{n - shown} other features")).alias("feature"),
             (F.col("value")[F.col(f"p{r}")] if single else F.lit(None).cast("double")).alias("value"),
-            F.col(f"s{r}").alias("shap"), start.alias("start"), F.col(f"to{r}").alias("end"),
+            F.col(f"s{r}").alias("shap"), levels[at - 1].alias("start"), levels[at].alias("end"),
         )
 
     return laid.select(key, F.inline(F.array(*[row(r) for r in range(len(steps))])))
@@ -120,7 +120,7 @@ def _residual_strength(shap: DataFrame, names: list[str], t: int) -> list[tuple[
     rows = []
     for start in range(0, len(others), PAIRS_PER_AGGREGATE):
         part = others[start : start + PAIRS_PER_AGGREGATE]
-        r = table.agg(*[F.corr("residual", F.col("value")[i]) for i in part]).first()
+        r = table.agg(*[correlation(F.col("residual"), F.col("value")[i]) for i in part]).first()
         rows += [(i, abs(v)) for i, v in zip(part, r) if v is not None and not np.isnan(v)]
     return sorted(rows, key=lambda row: (-round(row[1], 9), names[row[0]]))
 

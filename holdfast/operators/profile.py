@@ -268,7 +268,10 @@ def correlations(df: DataFrame, exclude: tuple[str, ...] = (ID,)) -> DataFrame:
         part = pairs[start : start + PAIRS_PER_AGGREGATE]
         both = [known[a] & known[b] for a, b in part]
         row = df.agg(
-            *[F.corr(F.when(ok, x[a]), F.when(ok, x[b])).alias(f"r{i}") for i, ((a, b), ok) in enumerate(zip(part, both))]
+            *[
+                E.correlation(F.when(ok, x[a]), F.when(ok, x[b])).alias(f"r{i}")
+                for i, ((a, b), ok) in enumerate(zip(part, both))
+            ]
         ).first()
         found += [(a, b, row[f"r{i}"]) for i, (a, b) in enumerate(part)]
     rows = [(a, b, None if r is None or math.isnan(r) else r) for a, b, r in found]
