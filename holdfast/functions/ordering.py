@@ -36,37 +36,52 @@ def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list
     return sorted({v for v in found or [] if v is not None and v == v and abs(v) != float("inf")})
 
 
+def _with_bucket(df: DataFrame, value: str, borders: list[float]) -> DataFrame:
+    if not borders:
+        return df.withColumn("bucket", F.lit(0))
+    splits = [-float("inf"), *borders, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol="bucket", handleInvalid="error")
+    return cut.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
+
+
 def running_totals(
-    df: DataFrame, keys: list[str], value: str, sums: list[str], borders: list[float], descending: bool = False
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    measures: dict[str, Column],
+    running: list[str],
+    borders: list[float],
+    descending: bool = False,
 ) -> DataFrame:
-    """Add cum_<s> and total_<s> along value within keys.
+    """One row per (keys, value) with the measures; running ones get cum_<m> and total_<m>.
 
-    df must hold one row per (keys, value), which is also what keeps a value
-    shared by many source rows from filling a bucket. Any borders give the same
-    result.
+    measures are additive aggregates (counts, sums). Rows sharing a value are
+    merged on the map side, so a hot value is one row when the order matters.
+    What earlier buckets hold comes from a second, tiny grouping of the rows by
+    bucket. Any borders give the same result.
     """
-    splits = [-float("inf"), *borders, float("inf")]
-    if borders:
-        df = Bucketizer(splits=splits, inputCol=value, outputCol="bucket", handleInvalid="error").transform(df)
-    else:
-        df = df.withColumn("bucket", F.lit(0.0))
     along = (lambda name: F.col(name).desc()) if descending else F.col
+    sums = [column.alias(name) for name, column in measures.items()]
     group = [*keys, "bucket"]
     earlier = Window.partitionBy(*keys).orderBy(along("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*keys)
     offsets = (
-        df.groupBy(*group)
-        .agg(*[F.sum(s).alias(s) for s in sums])
+        _with_bucket(df, value, borders)
+        .groupBy(*group)
+        .agg(*[column for column, name in zip(sums, measures) if name in running])
         .select(
             *group,
-            *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"before_{s}") for s in sums],
-            *[F.sum(s).over(Window.partitionBy(*keys)).alias(f"total_{s}") for s in sums],
+            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"before_{m}") for m in running],
+            *[F.sum(m).over(everything).alias(f"total_{m}") for m in running],
         )
     )
     within = Window.partitionBy(*group).orderBy(along(value)).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(offsets, group)
-        .withColumns({f"cum_{s}": F.sum(s).over(within) + F.col(f"before_{s}") for s in sums})
-        .drop("bucket", *[f"before_{s}" for s in sums])
+        _with_bucket(df.groupBy(*keys, value).agg(*sums), value, borders)
+        .withColumns({f"cum_{m}": F.sum(m).over(within) for m in running})
+        .join(offsets, group)
+        .withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"before_{m}") for m in running})
+        .drop("bucket", *[f"before_{m}" for m in running])
     )
 
 

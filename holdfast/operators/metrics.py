@@ -23,13 +23,13 @@ def cumulative(scored: DataFrame, keys: list[str] = KEYS, label: str = "label",
     borders = split_points(scored, "p") if borders is None else borders
     positive = F.col(label) == 1
     flagged = F.col("prediction") == 1
-    per_score = scored.groupBy(*keys, "p").agg(
-        F.count_if(positive).alias("tp"),
-        F.count_if(~positive).alias("fp"),
-        F.count_if(positive & flagged).alias("cut_tp"),
-        F.count_if(~positive & flagged).alias("cut_fp"),
-    )
-    table = running_totals(per_score, keys, "p", ["tp", "fp"], borders, descending=True)
+    measures = {
+        "tp": F.count_if(positive),
+        "fp": F.count_if(~positive),
+        "cut_tp": F.count_if(positive & flagged),
+        "cut_fp": F.count_if(~positive & flagged),
+    }
+    table = running_totals(scored, keys, "p", measures, ["tp", "fp"], borders, descending=True)
     return table.withColumns(
         {
             "cum_n": F.col("cum_tp") + F.col("cum_fp"),

@@ -182,19 +182,26 @@ def kde(
                     z = (grid[None, :] - x[start : start + KERNEL_ROWS, None]) / width
                     sums[key] += n[start : start + KERNEL_ROWS] @ np.exp(-z * z / 2)
         for key, mass in sums.items():
-            grid, _, scale = grids[key]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "by": pa.array([key] * points, pa.int32()), "point": pa.array(np.arange(points, dtype=np.int32)),
-                    "g": pa.array(grid), "density": pa.array(mass / scale),
+                    "by": pa.array([key] * points, pa.int32()),
+                    "point": pa.array(np.arange(points, dtype=np.int32)),
+                    "mass": pa.array(mass),
                 }
             )
 
+    start, step, scale = (F.lit(None).cast("double") for _ in range(3))
+    for key, (grid, _, total) in grids.items():
+        mine = F.col("by") == key
+        start = F.when(mine, float(grid[0])).otherwise(start)
+        step = F.when(mine, float(grid[1] - grid[0])).otherwise(step)
+        scale = F.when(mine, total).otherwise(scale)
     table = (
         data.withColumn("by", F.col("by").cast("int"))
-        .mapInArrow(kernel_sums, "by int, point int, g double, density double")
+        .mapInArrow(kernel_sums, "by int, point int, mass double")
         .groupBy("by", "point")
-        .agg(F.first("g").alias("g"), F.sum("density").alias("density"))
+        .agg(F.sum("mass").alias("mass"))
+        .select("by", "point", (start + F.col("point") * step).alias("g"), (F.col("mass") / scale).alias("density"))
     )
     return table.drop("by") if by is None else table
 
@@ -209,8 +216,7 @@ def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple = CLA
     data = df.select(group.alias("by"), F.col(f"`{column}`").cast("double").alias("x")).filter(
         "x is not null and not isnan(x)"
     )
-    values = data.groupBy("by", "x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(values, ["by"], "x", ["n"], split_points(data, "x"))
+    ranked = running_totals(data, ["by"], "x", {"n": F.count(F.lit(1))}, ["n"], split_points(data, "x"))
 
     def at(position: Column) -> Column:
         covered = (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
@@ -233,12 +239,12 @@ def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple = CLA
     spread = (F.col("q3") - F.col("q1")) * 1.5
     low, high = F.col("q1") - spread, F.col("q3") + spread
     table = (
-        values.join(F.broadcast(quartiles), "by")
+        data.join(F.broadcast(quartiles), "by")
         .groupBy("by", "q1", "q2", "q3")
         .agg(
             F.min(F.when(F.col("x") >= low, F.col("x"))).alias("whisker_lo"),
             F.max(F.when(F.col("x") <= high, F.col("x"))).alias("whisker_hi"),
-            F.sum(F.when((F.col("x") < low) | (F.col("x") > high), F.col("n")).otherwise(0)).alias("n_out"),
+            F.count_if((F.col("x") < low) | (F.col("x") > high)).alias("n_out"),
         )
     )
     return table.drop("by") if by is None else table

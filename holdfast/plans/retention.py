@@ -11,10 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from holdfast.functions.fixed import ID, LABEL
-from holdfast.operators import models, quality, split, treeshap
+from holdfast.operators import metrics, models, quality, split, treeshap
 from holdfast.operators.features import CustomerFeatures, CustomerFeaturesModel
 from holdfast.operators.models import Learner
-from holdfast.sources.tables import fresh_path, settle
+from holdfast.sources.tables import fresh_path, settle, write_report, write_table
 
 _STUDIES: dict[tuple, "Study"] = {}
 
@@ -103,6 +103,20 @@ class Study:
         folded = split.with_folds(self.train, self.folds)
         return models.cross_validate(self.learners, models.vector_table(self.features, folded, "fold"), self.folds)
 
+    def export(self, path: str, cross_validation: bool = True) -> None:
+        """Write everything the study made: tables, pipeline, reports, contributions."""
+        write_table(self.customers, f"{path}/customers")
+        write_table(self.scaled, f"{path}/features")
+        for side in ("train", "test"):
+            write_table(self.features.table(getattr(self, side)), f"{path}/{side}")
+        models.save_pipeline(self.pipeline, f"{path}/pipeline")
+        write_table(self.scored, f"{path}/scored")
+        write_table(self.explained, f"{path}/contributions")
+        write_report(metrics.metric_rows(self.scored), f"{path}/test_metrics")
+        if cross_validation:
+            names = [learner.name for learner in self.learners]
+            write_report(models.cv_comparison(self.fold_metrics, names), f"{path}/model_comparison")
+
 
 def study(spark: SparkSession, key: str, raw, learners: list[Learner]) -> Study:
     """The study of this session for a source; its stored phases are shared by all callers."""

@@ -66,6 +66,15 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return stored
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """A result of a few rows (metrics, comparisons) as one CSV file with header."""
+    write_csv(df.coalesce(1), path)
+
+
+def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_csv(spark, path, schema)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder so that several jobs can read it."""
     return write_table(df, fresh_path(df.sparkSession, name))

@@ -105,3 +105,16 @@ def test_scorer_accepts_every_category(study):
 def test_highest_risk_breaks_ties_by_key(spark):
     table = spark.createDataFrame([(3, 1, 0.9), (2, 1, 0.9), (1, 0, 0.99)], "CLIENTNUM long, label int, p double")
     assert contributions.highest_risk(table).first()["CLIENTNUM"] == 2
+
+
+def test_exported_study_can_be_read_again(study, spark, tmp_path):
+    study.export(str(tmp_path), cross_validation=False)
+    train, test = (tables.read_table(spark, f"{tmp_path}/{side}") for side in ("train", "test"))
+    assert train.columns == ["CLIENTNUM", *FEATURES, "churn"] and (train.count(), test.count()) == (1200, 300)
+    assert train.join(test, "CLIENTNUM").count() == 0
+    report = metrics.metric_rows(study.scored)
+    stored = tables.read_report(spark, f"{tmp_path}/test_metrics", report.schema)
+    assert sorted(stored.collect()) == sorted(report.collect())
+    contributions_again = tables.read_table(spark, f"{tmp_path}/contributions")
+    assert contributions_again.count() == 300 and "base" in contributions_again.columns
+    assert models.load_pipeline(f"{tmp_path}/pipeline").stages[0].feature_names == FEATURES

@@ -18,7 +18,7 @@ def values(spark):
 def test_running_totals_do_not_depend_on_borders(values, borders, descending):
     if borders == "found":
         borders = split_points(values, "v", 16)
-    got = running_totals(values, ["k"], "v", ["n"], borders, descending)
+    got = running_totals(values, ["k"], "v", {"n": F.sum("n")}, ["n"], borders, descending)
     order = F.col("v").desc() if descending else F.col("v")
     window = Window.partitionBy("k").orderBy(order)
     want = values.withColumn("cum_n", F.sum("n").over(window)).withColumn(
