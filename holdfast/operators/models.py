@@ -121,6 +121,19 @@ def _without_summary(spark: SparkSession, model: Model) -> Model:
     return type(model).load(path)
 
 
+def _in_parallel(spark: SparkSession, work: Callable, items: list, threads: int) -> list:
+    """Run driver-side calls side by side; their Spark jobs share the executors.
+
+    Fitting is a chain of short jobs, so one fit alone leaves executors idle.
+    """
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
+def fit_all(learners: list[Learner], vectors: DataFrame) -> list[Model]:
+    return _in_parallel(vectors.sparkSession, lambda learner: fit(learner, vectors), learners, len(learners))
+
+
 def vector_table(features: CustomerFeaturesModel, df: DataFrame, *keep: str) -> DataFrame:
     return features.transform(df).select(ID, LABEL, *keep, "features")
 
@@ -156,7 +169,7 @@ def score(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
     return pipeline.transform(df).select(*df.columns, _scores(pipeline.stages[1:]))
 
 
-def cross_validate(learners: list[Learner], vectors: DataFrame, folds: int = FOLDS, parallelism: int = 4) -> DataFrame:
+def cross_validate(learners: list[Learner], vectors: DataFrame, folds: int = FOLDS, parallelism: int = 10) -> DataFrame:
     """Metric rows per model and fold. vectors has id, label, fold and features.
 
     The fits run as concurrent Spark jobs; every held-out fold is scored once,
@@ -166,15 +179,13 @@ def cross_validate(learners: list[Learner], vectors: DataFrame, folds: int = FOL
     try:
         jobs = [(learner, fold) for learner in learners for fold in range(folds)]
 
-        @inheritable_thread_target(vectors.sparkSession)
         def held_out(job: tuple[Learner, int]) -> DataFrame:
             learner, fold = job
             model = fit(learner, vectors.filter(F.col("fold") != fold))
             scored = model.transform(vectors.filter(F.col("fold") == fold))
             return scored.select(ID, F.col(LABEL).alias("label"), "fold", _scores([model]))
 
-        with ThreadPool(parallelism) as pool:
-            parts = pool.map(held_out, jobs)
+        parts = _in_parallel(vectors.sparkSession, held_out, jobs, parallelism)
         scored = settle(reduce(DataFrame.unionByName, parts), "cv-scores")
     finally:
         vectors.unpersist()

@@ -114,10 +114,10 @@ def histogram(
             for i, (c, x) in enumerate(finite.items())
         ]
     )
-    ranges = (
-        ranges.select("by", F.inline(F.array(*[f"r{i}" for i in range(len(columns))])))
-        .filter("total > 0")
-        .withColumn("width", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bins).otherwise(1.0))
+    ranges = ranges.select("by", F.inline(F.array(*[f"r{i}" for i in range(len(columns))]))).filter("total > 0")
+    # A few numbers per class and column, found once and used on both sides of the final join.
+    ranges = df.sparkSession.createDataFrame(ranges.collect(), ranges.schema).withColumn(
+        "width", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bins).otherwise(1.0)
     )
     place = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.lit(bins - 1))
     counts = (

@@ -357,7 +357,7 @@ CONTRIBUTIONS = (
     + ", ".join(FEATURES)
     + "] AS value, ["
     + ", ".join(
-        f"CAST({rule_weight(i)} AS DOUBLE) * {n} + CAST({rule_bend(i)} AS DOUBLE) * {n} * {FEATURES[(i + 1) % _N]}"
+        f"CAST('{rule_weight(i)}' AS DOUBLE) * {n} + CAST('{rule_bend(i)}' AS DOUBLE) * {n} * {FEATURES[(i + 1) % _N]}"
         for i, n in enumerate(FEATURES)
     )
     + "] AS shap FROM scaled), feature_names AS (SELECT unnest(["

@@ -15,7 +15,7 @@ from holdfast.operators.features import (
 from holdfast.plans.retention import Study, study
 from holdfast.sources import star, tables
 from holdfast.sources.schema import CUSTOMERS, missing_columns, numeric_columns
-from holdfast.streaming.scoring import risk_records, stream_scores
+from holdfast.streaming import scoring
 
 TREES = 20  # the library's default is 500; 20 trees carry the signal of the test tables
 
@@ -359,11 +359,11 @@ def _rule_contributions(scaled: DataFrame) -> DataFrame:
 
 
 def rule_weight(i: int) -> float:
-    return (i * 7 % 11 - 5) / 10
+    return (i * 7 % 11 - 5) / 7
 
 
 def rule_bend(i: int) -> float:
-    return (i * 3 % 5) / 20
+    return (i * 3 % 5) / 13
 
 
 @query
@@ -488,14 +488,14 @@ _RISK = [ID, "model", "p", "prediction", "tier", "delta_points", "actions"]
 
 @query
 def score_customers(s: Study) -> DataFrame:
-    return risk_records(s.customers, s.pipeline, _base_rate(s)).select(*_RISK)
+    return scoring.risk_records(s.customers, s.pipeline, _base_rate(s)).select(*_RISK)
 
 
 @query
-def stream_scores_all(s: Study) -> DataFrame:
+def stream_scores(s: Study) -> DataFrame:
     """The batch scores again, from a stream over the stored customers."""
     source = tables.fresh_path(s.spark, "arrivals")
     arrivals = tables.write_table(s.customers, source)
     sink, checkpoint = (tables.fresh_path(s.spark, name) for name in ("stream-scores", "stream-checkpoint"))
-    stream_scores(s.spark, source, arrivals.schema, s.pipeline, _base_rate(s), sink, checkpoint).awaitTermination()
+    scoring.stream_scores(s.spark, source, arrivals.schema, s.pipeline, _base_rate(s), sink, checkpoint).awaitTermination()
     return s.spark.read.parquet(sink).select(*_RISK)

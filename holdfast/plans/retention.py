@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.functions.fixed import ID, LABEL
 from holdfast.operators import metrics, models, quality, split, treeshap
@@ -72,7 +72,7 @@ class Study:
     def pipeline(self) -> PipelineModel:
         vectors = models.vector_table(self.features, self.train).persist()
         try:
-            fitted = [models.fit(learner, vectors) for learner in self.learners]
+            fitted = models.fit_all(self.learners, vectors)
         finally:
             vectors.unpersist()
         return models.scoring_pipeline(self.features, fitted)

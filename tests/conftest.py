@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from holdfast.plans.registry import open_study
 from holdfast.session import local_session
@@ -62,5 +61,3 @@ def rows(df, *order):
 def by(df, key, value):
     return {r[key]: r[value] for r in df.collect()}
 
-
-__all__ = ["F", "rows", "by"]

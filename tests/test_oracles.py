@@ -48,5 +48,5 @@ def test_only_models_have_no_sql():
     assert without == {
         "model_metrics", "model_confusion", "model_business", "cv_comparison", "gain_importance", "shap_values",
         "shap_importance", "shap_beeswarm", "shap_waterfall_top", "shap_dependence", "shap_trend", "shap_checks",
-        "score_customers", "stream_scores_all",
+        "score_customers", "stream_scores",
     }

@@ -40,3 +40,10 @@ def test_contract_of_the_ingested_table(spark):
     assert table.columns == CUSTOMERS.names and table.columns[-1] == "churn"
     assert missing_columns(table, [*CUSTOMERS.names, "more"]) == ["more"]
     assert len(numeric_columns(table)) == 16 and len(string_columns(table)) == 5
+
+
+def test_shared_folder_is_the_named_one(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = tables.shared_folder(spark)
+    assert folder == (named or tables.shared_folder(spark)) and spark.sparkContext.getCheckpointDir()
+    assert tables.fresh_path(spark, "x") != tables.fresh_path(spark, "x")
