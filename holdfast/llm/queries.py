@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import packing
+from holdfast.llm import byte_bpe, packing, records, token_counts
 from holdfast.sources.tables import read_table
 
 
@@ -13,10 +13,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False), ranks))
+
+
+def op4_records(spark: SparkSession, folder: str) -> DataFrame:
+    found = records.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op9_packing": op9_packing}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_byte_bpe, op4_records, op5_token_counts, op9_packing)
+}
 
 ORACLES: dict[str, str] = {}
