@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, packing, records, token_counts
+from holdfast.llm import byte_bpe, packing, records, rp_forest, token_counts, topk, toxicity
 from holdfast.sources.tables import read_table
 
 
@@ -29,13 +29,44 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_byte_bpe, op4_records, op5_token_counts, op9_packing)
+    for f in (op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op9_packing, op10_rp_forest)
 }
 
-ORACLES: dict[str, str] = {}
+#: Integer scores of every query with every other row.
+TOPK = """
+WITH rows AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op7_topk": TOPK}
