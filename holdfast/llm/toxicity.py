@@ -11,6 +11,7 @@ teaches that guess). It is subtracted before the logistic function, so 0.5 is th
 from __future__ import annotations
 
 import pickle
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,10 +36,11 @@ class Settings:
     bits: int = 18
     size: int = 8
     filters: int = 12
-    sample: int = 2500
-    epochs: int = 6
-    batch: int = 32
-    rate: float = 0.01
+    sample: int = 1000
+    epochs: int = 4
+    batch: int = 64
+    rate: float = 0.02
+    prior: float = 5.0
     least_rows: int = 40
     seed: int = 7
 
@@ -58,13 +60,13 @@ class Model:
 
 def hashed_words(bits: int) -> PieceCache:
     """For each word its hashes. Punctuation around a word is no part of it."""
-    mask = (1 << bits) - 1
+    mask, pack, digest = (1 << bits) - 1, struct.Struct(f"<{HASHES}I").pack, xxhash.xxh32_intdigest
 
     def encode_many(words: list[str]) -> Iterator[bytes]:
         for word in words:
             core = word.strip("\"'()[]{}<>.,;:!?*#%&+-_=/\\|~`^$@") or word
-            parts = [core, *(f"{core[:n]}*" for n in BEGINNINGS)]
-            yield np.array([xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & mask for p in parts], "<u4").tobytes()
+            parts = [core, *(core[:n] + "*" for n in BEGINNINGS)]
+            yield pack(*[digest(p.encode("utf-8", "surrogatepass")) & mask for p in parts])
 
     return PieceCache(encode_many)
 
@@ -118,17 +120,15 @@ def scores(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _log_odds(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of each hash by the texts of either label that hold it; 0 for those in none."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    seen = []
-    for label in (1, 0):
-        mine = toxic[text] == label
-        pairs = np.unique(np.stack([np.repeat(text[mine], HASHES), ids[mine].ravel()]), axis=1)
-        seen.append(np.bincount(pairs[1], minlength=size).astype(np.float64))
-    ones, zeros = seen
-    n1, n0 = (toxic == 1).sum() + 1, (toxic == 0).sum() + 1
-    odds = np.log((ones + 0.5) / n1) - np.log((zeros + 0.5) / n0)
+def _log_odds(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size: int, prior: float) -> np.ndarray:
+    """Log-odds of each hash by the texts of either label that hold it, as if `prior` more texts with the usual
+    share of labels held it; 0 for those in none."""
+    text = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+    pairs = np.unique(np.concatenate([text * size + ids[:, k] for k in range(HASHES)]))
+    label = toxic[pairs // size]
+    ones, zeros = (np.bincount(pairs[label == x] % size, minlength=size).astype(np.float64) for x in (1, 0))
+    n1, n0 = max(1, (toxic == 1).sum()), max(1, (toxic == 0).sum())
+    odds = np.log((ones + prior * n1 / (n1 + n0)) / n1) - np.log((zeros + prior * n0 / (n1 + n0)) / n0)
     return np.where(ones + zeros > 0, odds, 0).astype(np.float32)
 
 
@@ -145,7 +145,7 @@ def train(texts: list[str], toxic: np.ndarray, lang: list[str], part: np.ndarray
     size = 1 << settings.bits
 
     embedding = rng.normal(0, 0.02, (size, settings.size)).astype(np.float32)
-    embedding[:, 0] = _log_odds(*_split(ids, counts, keeps[0]), toxic[keeps[0]], size) / 5 if len(texts) else 0
+    embedding[:, 0] = _log_odds(*_split(ids, counts, keeps[0]), toxic[keeps[0]], size, settings.prior) / 3 if len(texts) else 0
     filters = [rng.normal(0, 0.3, (w, settings.size, settings.filters)).astype(np.float32) for w in WIDTHS]
     for f in filters:
         f[:, 0] = np.abs(f[:, 0]) + 0.3
