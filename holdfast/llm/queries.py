@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, minhash, packing, records, rp_forest, token_counts, topk, toxicity
+from holdfast.llm import byte_bpe, html_wrappers, minhash, packing, records, rp_forest, token_counts, topk, toxicity
 from holdfast.sources.tables import read_table
 
 
@@ -45,6 +45,10 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
 
+def op8_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, folder, "pages"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op9_packing, op10_rp_forest)
+    for f in (op1_minhash, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest)
 }
 
 #: Integer scores of every query with every other row.
