@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, html_wrappers, minhash, packing, records, rp_forest, token_counts, topk, toxicity
+from holdfast.llm import byte_bpe, html_wrappers, minhash, packing, records, rp_forest, suffixes, token_counts, topk, toxicity
 from holdfast.sources.tables import read_table
 
 
@@ -17,6 +17,11 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -59,7 +64,7 @@ def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest)
+    for f in (op1_minhash, op2_suffixes, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest)
 }
 
 #: Integer scores of every query with every other row.
