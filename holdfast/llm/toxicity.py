@@ -109,9 +109,10 @@ def logits(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def languages(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The likeliest language of each text, by its words; the last number is for texts without words."""
-    sums = np.concatenate([np.zeros((1, len(model.languages)), np.float64), np.cumsum(model.language_words[ids[:, 0]], axis=0, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    guess = np.argmax(sums[ends] - sums[ends - counts], axis=1)
+    guess, some = np.zeros(len(counts), np.int64), counts > 0
+    if some.any():
+        starts = (np.cumsum(counts) - counts)[some]
+        guess[some] = np.argmax(np.add.reduceat(model.language_words[ids[:, 0]], starts, axis=0, dtype=np.float64), axis=1)
     return np.where(counts > 0, guess, len(model.languages))
 
 
@@ -219,6 +220,8 @@ def _learn_languages(model: Model, ids: np.ndarray, counts: np.ndarray, lang: li
 def best_threshold(z: np.ndarray, toxic: np.ndarray) -> float:
     """Border with the largest difference of the rates of caught and of wrongly rejected texts; halfway between
     the outputs beside it, the middle one of equals."""
+    if not len(z):
+        return 0.0
     order = np.argsort(z)
     z, toxic = z[order], toxic[order]
     caught = toxic.sum() - np.cumsum(toxic)
@@ -226,7 +229,7 @@ def best_threshold(z: np.ndarray, toxic: np.ndarray) -> float:
     gain = caught / max(1, toxic.sum()) - wrong / max(1, (1 - toxic).sum())
     gain[:-1][z[1:] == z[:-1]] = -1
     gain[-1] = -1
-    if len(gain) == 0 or gain.max() <= 0:
+    if gain.max() <= 0:
         return 0.0
     equal = np.flatnonzero(gain == gain.max())
     k = equal[len(equal) // 2]
