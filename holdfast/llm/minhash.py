@@ -9,7 +9,9 @@ For documents at the similarity threshold the distance has mean 18 and deviation
 a probability of about one in ten million. Pairs that meet are confirmed on their full shingle sets.
 
 Within a key only links to its smallest document are tried first. Where that leaves documents of several
-components under a key, all pairs across components are compared by signature, in blocks of bounded size.
+components under a key, these are compared by signature, and components with documents within the distance form a
+family. Families are compared on full sets, in blocks of bounded size. Tasks hand on the links that join two
+components and no others, so what they return grows with the documents and not with their pairs.
 """
 
 from __future__ import annotations
@@ -189,18 +191,28 @@ def within_distance(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def texts_needed(pairs: DataFrame, texts: DataFrame, small: int = 2_000_000) -> DataFrame:
-    """The texts (id, text) that pairs (a, b) need, stored. Up to `small` ids are sent to the texts; else both are shuffled."""
-    ids = settle(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+def texts_needed(ids: DataFrame, texts: DataFrame, small: int = 2_000_000) -> DataFrame:
+    """The texts (id, text) of ids, stored. Up to `small` ids are sent to the texts; else both are shuffled."""
+    ids = settle(ids.distinct(), "ids")
     return settle(texts.join(F.broadcast(ids) if ids.count() <= small else ids, "id", "left_semi"), "texts")
 
 
+def alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether 100 x shared >= percent x all, for two sorted sets."""
+    if not len(one) or 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    places = np.searchsorted(one, two)
+    places[places == len(one)] = 0
+    shared = int((one[places] == two).sum())
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, crowd: int = 500) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar: 100 x shared >= percent x all. texts: (id, text).
 
     A document a is sent once to each part of at most about `crowd` of its partners, ahead of them.
     """
-    texts = texts_needed(pairs, texts)
+    texts = texts_needed(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")), texts)
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts"))
     heads = parts.join(texts, parts["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
     tails = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -219,60 +231,92 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, crowd: int = 500)
                         head, mine = own, a[k]
                         continue
                     assert mine == a[k]
-                    places = np.searchsorted(head, own)
-                    places[places == len(head)] = 0
-                    shared = int((head[places] == own).sum()) if len(head) else 0
-                    if shared and 100 * shared >= percent * (len(head) + len(own) - shared):
+                    if alike(head, own, percent):
                         found.append((a[k], b[k]))
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                yield _pairs(found)
 
     return dealt.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
+def _blocks_of_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows (key, id, ...) dealt into blocks by id, and sent to a group (key, i, j) for each two blocks of their key."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+    count = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return groups.repartition(count, key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The tables of groups (key, i, j) of sorted rows."""
+    held, mine = [], None
+    for batch in batches:
+        marks = np.stack([batch[c].to_numpy().astype(np.int64) for c in (key, "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)] if len(marks) else []
+        for x, y in zip(cuts, cuts[1:]):
+            if mine != (now := tuple(marks[x])):
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, mine = [], now
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def joins(table: pa.Table, confirmed=None) -> list[tuple[int, int]]:
+    """Pairs within the distance that join components of a group, nearest first; with `confirmed` only those it says yes to.
+
+    Pairs of rows whose components are joined already are not looked at.
+    """
+    ids, labels = table["id"].to_numpy(), table["component"].to_numpy().copy()
+    signed, left, right, apart = signature_rows(table["signature"]), [], [], []
+    for k in range(len(ids) - 1):
+        distance = (signed[k + 1 :] != signed[k]).sum(1)
+        near = np.flatnonzero((distance <= DISTANCE) & (labels[k + 1 :] != labels[k]))
+        left.append(np.full(len(near), k))
+        right.append(near + k + 1)
+        apart.append(distance[near])
+    if not left:
+        return []
+    left, right, apart = map(np.concatenate, (left, right, apart))
+    out = []
+    for n in np.argsort(apart, kind="stable").tolist():
+        a, b = left[n], right[n]
+        if labels[a] != labels[b] and (confirmed is None or confirmed(a, b)):
+            labels[labels == labels[b]] = labels[a]
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def across(members: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of members (key, id, component, signature) of a key, of different components, within the distance.
+    """Pairs (a, b) within the distance that join components of members (key, id, component, signature) of a key."""
 
-    A key's members are dealt into blocks and each two blocks are compared in a group of their own.
-    """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "signature")
-    count = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = groups.repartition(count, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "id")
-
-    def compare(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        table = pa.Table.from_batches(rows)
-        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
-        signed = signature_rows(table["signature"])
-        left, right = [], []
-        for k in range(len(ids) - 1):
-            near = (signed[k + 1 :] != signed[k]).sum(1) <= DISTANCE
-            near &= component[k + 1 :] != component[k]
-            found = ids[k + 1 :][near]
-            left.append(np.minimum(found, ids[k]))
-            right.append(np.maximum(found, ids[k]))
-        return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "key"):
+            yield _pairs(joins(table))
+
+    return _blocks_of_pairs(members, "key", block).mapInArrow(run, "a bigint, b bigint")
+
+
+def links_in_families(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that join components of members (family, id, component, signature, text) of a family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = [], None
-        for batch in batches:
-            marks = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
-            if not len(marks):
-                continue
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
-            for x, y in zip(cuts, cuts[1:]):
-                if mine != (now := tuple(marks[x])):
-                    if held:
-                        a, b = compare(held)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    held, mine = [], now
-                held.append(batch.slice(x, y - x))
-        if held:
-            a, b = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+        shingler = Shingler()
+        for table in _groups(batches, "family"):
+            sets = [s for _, texts in chunks_of(texts_of(table["text"].combine_chunks())) for s in shingler.sets(texts)]
+
+            def similar(a: int, b: int) -> bool:
+                return alike(sets[a], sets[b], percent)
+
+            yield _pairs(joins(table, similar))
+
+    return _blocks_of_pairs(members, "family", block).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -296,14 +340,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     tried = settle(within_distance(first, classes, percent), "pairs")
     links = settle(confirm(tried, texts, percent), "confirmed")
     found = settle(components(links), "components")
-    # Keys with documents of more than one component: all pairs across them that were not tried.
+    # Keys with documents of more than one component: what joins these within the distance makes them a family.
     placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
     rest = placed.join(mixed_keys.select("key"), "key", "left_semi").join(classes.select("id", "signature"), "id")
-    more = settle(across(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        more = settle(confirm(within_distance(more, classes, percent), texts, percent), "confirmed")
-        found = settle(components(links.unionAll(more)), "components")
+    near = settle(across(rest).distinct(), "near")
+    if not near.isEmpty():
+        of = found.select(F.col("id"), "component")
+        ties = near.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+        families = components(ties.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        families = settle(families.select(F.col("id").alias("component"), F.col("component").alias("family")), "families")
+        own = classes.select("id", "signature").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(families, "component")
+        own = settle(own, "members")
+        more = links_in_families(own.join(texts_needed(own.select("id"), texts), "id"), percent)
+        found = settle(components(links.unionAll(settle(more, "confirmed"))), "components")
     named = linkable.select("doc_id", "digest", "n_shingles").join(classes.select("digest", "id"), "digest").join(found, "id", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     alone = sketches.where(F.col("digest").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

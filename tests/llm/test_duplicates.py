@@ -90,13 +90,26 @@ def test_signatures_within_the_distance_share_a_key(spark):
     assert met == set(range(40))
 
 
-def test_pairs_across_components_meet_in_blocks(spark):
+@pytest.mark.parametrize("block", [3, 100])
+def test_components_of_a_key_are_joined_across_blocks(spark, block):
     one, far = bytes(minhash.POSITIONS), bytes([255] * minhash.POSITIONS)
-    rows = [(5, i, 0 if i < 6 else i, one if i != 9 else far) for i in range(12)] + [(6, i, i, one) for i in (3, 4)]
-    pairs = minhash.across(spark.createDataFrame(rows, "key long, id long, component long, signature binary"), block=3).collect()
-    own = {i: 0 if i < 6 else i for i in range(12)}
-    want = {(a, b) for a in range(12) for b in range(a + 1, 12) if own[a] != own[b] and 9 not in (a, b)} | {(3, 4)}
-    assert {tuple(r) for r in pairs} == want
+    rows = [(5, i, 0 if i < 6 else i, one if i != 9 else far) for i in range(12)] + [(6, i, i, one) for i in (30, 40)] + [(7, 50, 50, one), (7, 51, 50, one)]
+    pairs = [tuple(r) for r in minhash.across(spark.createDataFrame(rows, "key long, id long, component long, signature binary"), block).collect()]
+    joined = components.components(spark.createDataFrame([*pairs, *((0, i) for i in range(1, 6))], "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in joined} == {i: 0 for i in range(12) if i != 9} | {30: 30, 40: 30}
+    assert len(pairs) <= 40
+
+
+def test_a_large_family_without_common_center(spark):
+    """Documents that drift: neighbours are linked, the ends are not, and the smallest id is in the middle."""
+    rng = random.Random(8)
+    base, chain = [str(rng.random()) for _ in range(120)], []
+    for _ in range(150):
+        chain.append(" ".join(base))
+        base[rng.randrange(120)] = str(rng.random())
+    docs = [((k + 75) % 150, t) for k, t in enumerate(chain)] + [(200 + k, " ".join(str(rng.random()) if rng.random() < 0.05 else w for w in chain[0].split())) for k in range(60)]
+    found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == linked(docs)
 
 
 def test_components(spark):
