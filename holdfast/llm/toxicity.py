@@ -272,11 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches]
-        column = lambda name: [x for b in held for x in b[name].to_pylist()]
-        texts = column("text")
-        order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)  # the same model however rows arrive
-        pick = lambda name: [column(name)[k] for k in order] if len(order) else []
-        model = train(pick("text"), np.array(pick("toxic"), np.int64), pick("lang"), np.array(pick("part"), np.int64), settings)
+        columns = {name: [x for b in held for x in b[name].to_pylist()] for name in ("text", "lang", "toxic", "part")}
+        order = sorted(range(len(columns["text"])), key=columns["text"].__getitem__)  # the same model however rows arrive
+        texts, lang, toxic, part = ([column[k] for k in order] for column in columns.values())
+        model = train(texts, np.array(toxic, np.int64), lang, np.array(part, np.int64), settings)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
