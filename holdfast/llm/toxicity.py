@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         model = train(texts, np.array(toxic, np.int64), lang, np.array(part, np.int64), settings)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return bytes(found[0]["model"]) if found else pickle.dumps(train([], np.empty(0, np.int64), [], np.empty(0, np.int64), settings))
 
 
