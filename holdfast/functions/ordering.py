@@ -24,16 +24,50 @@ def bucket_count(df: DataFrame) -> int:
     return min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of a column, as bucket borders.
+def split_points(df: DataFrame, column: str, buckets: int | None = None, rounds: int = 10) -> list[float]:
+    """Borders that cut a column into about equally filled buckets.
 
     Like the borders of a range partitioner they decide only the balance of the
-    work. The driver receives at most MAX_BUCKETS numbers.
+    work. Rows are counted on an even grid; cells that hold more than a bucket
+    should are counted again on a finer one, some rounds at most. Counts are
+    merged on the map side; the driver receives some counts per bucket.
     """
     buckets = buckets or bucket_count(df)
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10 * buckets)).first()[0]
-    return sorted({v for v in found or [] if v is not None and v == v and abs(v) != float("inf")})
+    value = F.col(column).cast("double")
+    finite = df.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(value.alias("v"))
+    low, high, total = finite.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not total or low == high:
+        return []
+    share, cells = total / buckets, [(low, high, total)]
+    for _ in range(rounds):
+        heavy = [c for c in cells if c[2] > share and c[0] < (c[0] + c[1]) / 2 < c[1]]
+        if not heavy:
+            break
+        # There are no more heavy cells than buckets, so their parts are a few per bucket, 16 at most in the end.
+        parts = [max(16, min(4 * buckets, int(4 * n / share))) for _, _, n in heavy]
+        if len(heavy) > 1:
+            edges = sorted({x for a, b, _ in heavy for x in (a, b)})
+            placed = Bucketizer(splits=[-float("inf"), *edges, float("inf")], inputCol="v", outputCol="at").transform(finite)
+            at = {1 + edges.index(a): k for k, (a, _, _) in enumerate(heavy)}
+            number = F.create_map(*(F.lit(x) for pair in at.items() for x in pair))[F.col("at").cast("int")]
+        else:
+            placed, number = finite, F.lit(0)
+        table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit((b - a) / p).alias("w"), F.lit(p).alias("p"), F.lit(b).alias("b")) for (a, b, _), p in zip(heavy, parts)))
+        own = placed.withColumn("k", number).where("k is not null").withColumn("cell", table[F.col("k")])
+        step = F.least(F.floor((F.col("v") - F.col("cell.a")) / F.col("cell.w")), F.col("cell.p") - 1)
+        inside = (F.col("v") >= F.col("cell.a")) & ((F.col("v") < F.col("cell.b")) | (F.col("cell.b") == high))
+        counts = own.where(inside).groupBy("k", step.alias("i")).agg(F.count("*").alias("n")).collect()
+        cells = [c for c in cells if c not in heavy]
+        for r in counts:
+            a, b, _ = heavy[r["k"]]
+            width = (b - a) / parts[r["k"]]
+            cells.append((a + r["i"] * width, a + (r["i"] + 1) * width, r["n"]))
+    borders, held = [], 0
+    for a, _, n in sorted(cells):
+        if held >= (len(borders) + 1) * share and held < total:
+            borders.append(a)
+        held += n
+    return borders
 
 
 def _with_bucket(df: DataFrame, value: str, borders: list[float]) -> DataFrame:

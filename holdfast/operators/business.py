@@ -66,19 +66,27 @@ def portfolio_value(
 
 
 def roi_scenarios(
+    customers: DataFrame,
     scored: DataFrame,
     by: list[str] | None = None,
     sizes: list[int] = SCENARIO_SIZES,
     costs: list[int] = SCENARIO_COSTS,
     success: list[int] = SCENARIO_SUCCESS,
 ) -> DataFrame:
-    """Expected churners, catches, saves and value for each portfolio scenario."""
+    """Expected churners, catches, saves and value for each portfolio scenario.
+
+    The churn rate is that of all customers, the recall that of the scored ones.
+    """
     def literals(values: list[int]) -> Column:
         return F.explode(F.array(*[F.lit(v).cast("long") for v in values]))
 
+    found, rate = rates(scored, by), F.sum(F.col(LABEL).cast("double")) / F.count(LABEL)
+    if by:
+        found = found.join(customers.groupBy(*by).agg(rate.alias("churn_rate")), by)
+    else:
+        found = found.withColumn("churn_rate", customers.agg(rate).scalar())
     table = (
-        rates(scored, by)
-        .withColumn("churn_rate", F.col("churners") / F.col("n"))
+        found
         .withColumn("portfolio", literals(sizes))
         .withColumn("cac", literals(costs))
         .withColumn("success_pct", literals(success))
@@ -129,7 +137,7 @@ def with_recommendations(scored: DataFrame) -> DataFrame:
                 "Contacted support ", calls.cast("string"), " times — dissatisfaction signal. "
                 "Escalate to relationship manager."),
         _advice(use < 0.10, "Card Usage Incentive",
-                "Utilisation is ", F.format_string("%.2f", half_even(use, 2)), " — near zero. "
+                "Utilisation is ", F.format_number(use, 2), " — near zero. "
                 "Offer a targeted spend challenge with rewards."),
         _advice(F.col("p") < 0.30, "Maintain Relationship",
                 "Low risk. Consider loyalty tier upgrade to deepen engagement."),

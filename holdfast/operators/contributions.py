@@ -70,7 +70,12 @@ def highest_risk(scored: DataFrame, label: str = "label", key: str = ID) -> Data
 
 
 def waterfall(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -> DataFrame:
-    """From the base to the prediction, strongest contribution last (rank 1).
+    """From the base to the prediction, strongest contribution last (rank 1)."""
+    return waterfalls(shap, names, top, key).select(key, F.inline("steps"))
+
+
+def waterfalls(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -> DataFrame:
+    """The waterfall of each row as an array of steps, next to its base and contributions.
 
     Computed inside the row, so any number of customers takes no shuffle.
     """
@@ -100,7 +105,7 @@ def waterfall(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -
             F.col(f"s{r}").alias("shap"), levels[at - 1].alias("start"), levels[at].alias("end"),
         )
 
-    return laid.select(key, F.inline(F.array(*[row(r) for r in range(len(steps))])))
+    return laid.select(key, "base", "shap", F.array(*[row(r) for r in range(len(steps))]).alias("steps"))
 
 
 def _target(shap: DataFrame, names: list[str], target: str) -> int:
@@ -136,13 +141,13 @@ def interaction(shap: DataFrame, names: list[str], target: str = TARGET) -> Data
     return shap.sparkSession.createDataFrame(rows, "target string, feature string, abs_r double, chosen int")
 
 
-def dependence(shap: DataFrame, names: list[str], target: str = TARGET, key: str = ID) -> DataFrame:
-    """Target value and contribution per customer with the chosen interaction value."""
+def dependence(shap: DataFrame, names: list[str], target: str = TARGET, key: str = ID, keep: list[str] | None = None) -> DataFrame:
+    """Target value and contribution per customer with the chosen interaction value, and further columns of the table."""
     t = _target(shap, names, target)
     strength = _residual_strength(shap, names, t)
     partner = strength[0][0] if strength else None
     return shap.select(
-        key, F.col("value")[t].alias("value"), F.col("shap")[t].alias("shap"),
+        key, *(keep or []), F.col("value")[t].alias("value"), F.col("shap")[t].alias("shap"),
         F.lit(None if partner is None else names[partner]).cast("string").alias("interaction_feature"),
         (F.lit(None).cast("double") if partner is None else F.col("value")[partner]).alias("interaction_value"),
     )

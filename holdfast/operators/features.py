@@ -173,6 +173,17 @@ class CustomerFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, Defaul
         label = [c for c in (self.getOrDefault("labelCol"),) if c in df.columns]
         return apply(df, *self._steps()).select(*kept, *self.feature_names, *label)
 
+    def with_missing(self, df: DataFrame, name: str = "missing") -> DataFrame:
+        """Add the names of the features a row has no value for: missing values and unmapped categories."""
+        def named(columns: Columns) -> Columns:
+            made = columns
+            for step in self._steps():
+                made = step(made)
+            gaps = F.array(*[F.when(made[n].isNull(), F.lit(n)) for n in self.feature_names])
+            return {**columns, name: F.array_compact(gaps)}
+
+        return apply(df, named)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         def with_vector(columns: Columns) -> Columns:
             made = columns
@@ -188,7 +199,7 @@ class CustomerFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, Defaul
 
 
 class CustomerFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Learns categories and scaling; fitOn limits the scaling to e.g. the training rows."""
+    """Learns categories of all rows and scaling; fitOn limits the scaling to e.g. the training rows."""
 
     @keyword_only
     def __init__(self, *, idCol=ID, labelCol=LABEL, outputCol="features", fitOn="true"):
@@ -197,9 +208,8 @@ class CustomerFeatures(Estimator, _FeatureParams, DefaultParamsReadable, Default
 
     def _fit(self, df: DataFrame) -> CustomerFeaturesModel:
         aside = (self.getOrDefault("idCol"), self.getOrDefault("labelCol"), "split", "fold")
-        rows = df.filter(self.getOrDefault("fitOn"))
-        categories = fit_categories(rows)
-        wide = apply(rows, *steps(categories))
+        categories = fit_categories(df)
+        wide = apply(df.filter(self.getOrDefault("fitOn")), *steps(categories))
         names = numeric_columns(wide, exclude=aside)
         means, stds = fit_scaling(wide, names)
         model = CustomerFeaturesModel()

@@ -1,8 +1,7 @@
 """Profiles of the customers table: rates, distributions, quantiles, correlations.
 
-Every result is the data behind a chart. Group columns of the distribution
-operators take a short list of classes; rows of other classes do not belong to
-the chart, and the list bounds what is broadcast.
+Every result is the data behind a chart. The distribution operators group by any
+column, a group for each value it has; a list of classes leaves out the others.
 """
 
 from __future__ import annotations
@@ -21,9 +20,10 @@ from holdfast.functions import expressions as E
 from holdfast.functions.fixed import AGE_EDGES, AGE_LABELS, ID, LABEL, SEED, SEGMENTS
 from holdfast.functions.ordering import hash_key, running_totals, split_points
 from holdfast.sources.schema import numeric_columns
+from holdfast.sources.tables import settle
 
-CLASSES = (0, 1)
 PAIRS_PER_AGGREGATE = 16
+SENT = 10_000  # classes whose ranges are broadcast
 KERNEL_ROWS = 64  # a block of kernels stays in the processor cache
 
 
@@ -85,46 +85,49 @@ def contacts_by_status(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def _classed(df: DataFrame, by: str | None, classes: tuple) -> tuple[DataFrame, Column]:
+def _classed(df: DataFrame, by: str | None, classes: tuple | None) -> tuple[DataFrame, Column]:
+    """Rows with a class, and the column that holds it. Rows without a class belong to no group."""
     if by is None:
         return df, F.lit(0)
-    return df.filter(F.col(by).isin(*classes)), F.col(by)
+    wanted = F.col(by).isNotNull() if classes is None else F.col(by).isin(*classes)
+    return df.filter(wanted), F.col(by)
 
 
 def histogram(
-    df: DataFrame, columns: list[str], bins: int, by: str | None = LABEL, classes: tuple = CLASSES
+    df: DataFrame, columns: list[str], bins: int, by: str | None = LABEL, classes: tuple | None = None
 ) -> DataFrame:
     """Equal-width histograms, the range taken per feature and class.
 
     Two scans for any number of columns. The last bin is closed; a constant
-    column has one bin of width 1; empty bins are kept.
+    column has one bin of width 1; empty bins are kept. Ranges are a row per class;
+    up to SENT of them are sent to the rows, more are joined.
     """
     df, group = _classed(df, by, classes)
-    values = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns]
-    melted = df.select(group.alias("by"), F.inline(F.array(*values))).filter("x is not null and not isnan(x)")
-    finite = {c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns}
-    ranges = df.groupBy(group.alias("by")).agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.min(x).alias("low"),
-                F.max(x).alias("high"),
-                F.count(x).alias("total"),
-            ).alias(f"r{i}")
-            for i, (c, x) in enumerate(finite.items())
-        ]
-    )
-    ranges = ranges.select("by", F.inline(F.array(*[f"r{i}" for i in range(len(columns))]))).filter("total > 0")
-    # A few numbers per class and column, found once and used on both sides of the final join.
-    ranges = df.sparkSession.createDataFrame(ranges.collect(), ranges.schema).withColumn(
-        "width", F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bins).otherwise(1.0)
-    )
-    place = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.lit(bins - 1))
+    finite = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns]
+    rows = df.select(group.alias("by"), *[x.alias(f"x{i}") for i, x in enumerate(finite)])
+    bounds = [
+        F.struct(F.min(f"x{i}").alias("low"), F.max(f"x{i}").alias("high"), F.count(f"x{i}").alias("total"))
+        for i in range(len(columns))
+    ]
+    by_class = settle(rows.groupBy("by").agg(F.array(*bounds).alias("bounds")), "ranges")
+    sent = F.broadcast(by_class) if by_class.count() <= SENT else by_class
+
+    def width(low: Column, high: Column) -> Column:
+        return F.when(high > low, (high - low) / bins).otherwise(1.0)
+
+    def place(i: int) -> Column:
+        low, high = F.col("bounds")[i]["low"], F.col("bounds")[i]["high"]
+        bin_ = F.least(F.floor((F.col(f"x{i}") - low) / width(low, high)), F.lit(bins - 1)).cast("int")
+        return F.when(F.col(f"x{i}").isNotNull(), bin_)
+
+    places = F.array(*[F.struct(F.lit(c).alias("feature"), place(i).alias("bin")) for i, c in enumerate(columns)])
     counts = (
-        melted.join(F.broadcast(ranges), ["by", "feature"])
-        .groupBy("by", "feature", place.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.join(sent, "by").select("by", F.inline(places)).filter("bin is not null")
+        .groupBy("by", "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
+    named = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("feature"), F.col("bounds").alias("bound"))
+    ranges = by_class.select("by", F.explode(named).alias("r")).select("by", F.col("r.feature"), "r.bound.*").filter("total > 0")
+    ranges = ranges.withColumn("width", width(F.col("low"), F.col("high")))
     last = F.when(F.col("high") > F.col("low"), bins - 1).otherwise(0)
     table = (
         ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
@@ -144,7 +147,7 @@ def kde(
     df: DataFrame,
     column: str,
     by: str | None = LABEL,
-    classes: tuple = CLASSES,
+    classes: tuple | None = None,
     points: int = 1000,
     cut: float | None = None,
 ) -> DataFrame:
@@ -172,6 +175,8 @@ def kde(
             scale = row["total"] * width * math.sqrt(2 * math.pi)
             grids[row["by"]] = (start + np.arange(points) * step, width, scale)
 
+    number = {key: k for k, key in enumerate(grids)}
+
     def kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {key: np.zeros(points) for key in grids}
         for batch in batches:
@@ -187,29 +192,30 @@ def kde(
         for key, mass in sums.items():
             yield pa.RecordBatch.from_pydict(
                 {
-                    "by": pa.array([key] * points, pa.int32()),
+                    "k": pa.array([number[key]] * points, pa.int32()),
                     "point": pa.array(np.arange(points, dtype=np.int32)),
                     "mass": pa.array(mass),
                 }
             )
 
     start, step, scale = (F.lit(None).cast("double") for _ in range(3))
+    own = F.lit(None).cast(data.schema["by"].dataType)
     for key, (grid, _, total) in grids.items():
-        mine = F.col("by") == key
+        mine = F.col("k") == number[key]
+        own = F.when(mine, F.lit(key)).otherwise(own)
         start = F.when(mine, float(grid[0])).otherwise(start)
         step = F.when(mine, float(grid[1] - grid[0])).otherwise(step)
         scale = F.when(mine, total).otherwise(scale)
     table = (
-        data.withColumn("by", F.col("by").cast("int"))
-        .mapInArrow(kernel_sums, "by int, point int, mass double")
-        .groupBy("by", "point")
+        data.mapInArrow(kernel_sums, "k int, point int, mass double")
+        .groupBy("k", "point")
         .agg(F.sum("mass").alias("mass"))
-        .select("by", "point", (start + F.col("point") * step).alias("g"), (F.col("mass") / scale).alias("density"))
+        .select(own.alias("by"), "point", (start + F.col("point") * step).alias("g"), (F.col("mass") / scale).alias("density"))
     )
     return table.drop("by") if by is None else table
 
 
-def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple = CLASSES) -> DataFrame:
+def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple | None = None) -> DataFrame:
     """Quartiles by linear interpolation, whiskers within 1.5 IQR, outlier counts.
 
     Exact: equal values are counted once and ranked bucket by bucket, so neither

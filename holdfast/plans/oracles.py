@@ -6,7 +6,7 @@ from holdfast.functions.fixed import (
     AGE_EDGES, AGE_LABELS, DISTRIBUTIONS, EDUCATION_CODES, FEATURES, INCOME_CODES, SEED, SEGMENTS,
     SCENARIO_COSTS, SCENARIO_SIZES, SCENARIO_SUCCESS, TIERS,
 )
-from holdfast.plans.registry import rule_bend, rule_weight
+from holdfast.plans.registry import rule_bend, rule_shift, rule_weight
 from holdfast.sources.schema import CUSTOMERS
 
 COLUMNS = CUSTOMERS.fieldNames()
@@ -121,9 +121,9 @@ def _with(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join([RAW.strip(), *[c.strip() for c in ctes]]) + "\n" + body
 
 
-def _histogram(columns: dict[str, str], bins: int, by: bool = True) -> str:
+def _histogram(columns: dict[str, str], bins: int, by: str | None = "churn") -> str:
     melted = " UNION ALL ".join(
-        f"SELECT '{name}' AS feature, {'churn' if by else '0'} AS \"by\", CAST({x} AS DOUBLE) AS x FROM customers"
+        f"SELECT '{name}' AS feature, {by or 0} AS \"by\", CAST({x} AS DOUBLE) AS x FROM customers"
         for name, x in columns.items()
     )
     return _with(
@@ -140,14 +140,14 @@ FROM grid g LEFT JOIN counts c USING (feature, "by", bin)""",
     )
 
 
-def _kde(column: str, points: int, pad: str) -> str:
+def _kde(column: str, points: int, pad: str, by: str = "churn") -> str:
     return _with(
         f"""SELECT "by", CAST(point AS INTEGER) AS point, round(g, 9) AS g,
        round(sum(n * exp(-((g - x) / bw) * ((g - x) / bw) / 2)) / (any_value(total) * any_value(bw) * sqrt(2 * pi())), 9) AS density
 FROM grid JOIN vals USING ("by") GROUP BY "by", point, g""",
-        f'vals AS (SELECT churn AS "by", CAST({column} AS DOUBLE) AS x, count(*) AS n FROM customers GROUP BY ALL)',
-        f"""shape AS (SELECT churn AS "by", min({column}) AS low, max({column}) AS high, count(*) AS total,
-            stddev_samp({column}) * pow(count(*), -0.2) AS bw FROM customers GROUP BY churn)""",
+        f'vals AS (SELECT {by} AS "by", CAST({column} AS DOUBLE) AS x, count(*) AS n FROM customers GROUP BY ALL)',
+        f"""shape AS (SELECT {by} AS "by", min({column}) AS low, max({column}) AS high, count(*) AS total,
+            stddev_samp({column}) * pow(count(*), -0.2) AS bw FROM customers GROUP BY {by})""",
         f"""grid AS (SELECT "by", total, bw, point, low - {pad} + point * ((high + {pad} - (low - {pad})) / {points - 1}) AS g
             FROM shape, range({points}) p(point))""",
     )
@@ -304,7 +304,7 @@ FROM long b JOIN long c USING (metric) WHERE b.model = 'rule_count' AND c.model
     )
 
 
-def _roi(by: str = "") -> str:
+def _roi(by: str = "", scores: tuple[str, ...] = (SCORES,)) -> str:
     def values(numbers: list[int], name: str) -> str:
         return f"(SELECT unnest({numbers}) AS {name})"
 
@@ -313,9 +313,10 @@ def _roi(by: str = "") -> str:
         f"""SELECT model, {extra}portfolio, cac, success_pct, est_churners, caught,
        CAST(trunc(caught * (success_pct / 100)) AS BIGINT) AS saved,
        CAST(trunc(caught * (success_pct / 100)) AS BIGINT) * cac AS roi FROM caught_cte""",
-        SCORES, _rates(by),
-        f"""est AS (SELECT *, CAST(trunc(portfolio * (churners / n)) AS BIGINT) AS est_churners
-            FROM rates, {values(SCENARIO_SIZES, 'portfolio')}, {values(SCENARIO_COSTS, 'cac')}, {values(SCENARIO_SUCCESS, 'success_pct')})""",
+        *scores, _rates(by),
+        f"all_customers AS (SELECT {extra}CAST(sum(churn) AS DOUBLE) / count(*) AS churn_rate FROM customers {'GROUP BY ' + by if by else ''})",
+        f"""est AS (SELECT *, CAST(trunc(portfolio * churn_rate) AS BIGINT) AS est_churners
+            FROM rates {f'JOIN all_customers USING ({by})' if by else 'CROSS JOIN all_customers'}, {values(SCENARIO_SIZES, 'portfolio')}, {values(SCENARIO_COSTS, 'cac')}, {values(SCENARIO_SUCCESS, 'success_pct')})""",
         "caught_cte AS (SELECT *, CAST(trunc(est_churners * recall) AS BIGINT) AS caught FROM est)",
     ).replace("unnest([", "unnest(CAST([").replace("]) AS", "] AS BIGINT[])) AS")
 
@@ -339,7 +340,7 @@ rules_fired AS (
   FROM scored WHERE Contacts_Count_12_mon >= 4
   UNION ALL
   SELECT CLIENTNUM, model, 4, 'Card Usage Incentive',
-         'Utilisation is ' || printf('%.2f', round_even(Avg_Utilization_Ratio, 2))
+         'Utilisation is ' || printf('%.2f', Avg_Utilization_Ratio)
          || ' — near zero. Offer a targeted spend challenge with rewards.'
   FROM scored WHERE Avg_Utilization_Ratio < 0.10
   UNION ALL
@@ -357,7 +358,7 @@ CONTRIBUTIONS = (
     + ", ".join(FEATURES)
     + "] AS value, ["
     + ", ".join(
-        f"CAST('{rule_weight(i)}' AS DOUBLE) * {n} + CAST('{rule_bend(i)}' AS DOUBLE) * {n} * {FEATURES[(i + 1) % _N]}"
+        f"CAST('{rule_weight(i)}' AS DOUBLE) * {n} + CAST('{rule_bend(i)}' AS DOUBLE) * {n} * {FEATURES[(i + 1) % _N]} + CAST('{rule_shift(i)}' AS DOUBLE)"
         for i, n in enumerate(FEATURES)
     )
     + "] AS shap FROM scaled), feature_names AS (SELECT unnest(["
@@ -448,7 +449,10 @@ ORACLES: dict[str, str] = {
     "hist_age": _histogram({"Customer_Age": "Customer_Age"}, 20),
     "hist_credit_raw_log": _histogram({"Credit_Limit": "Credit_Limit", "Credit_Limit_log": "ln(1 + Credit_Limit)"}, 30),
     "hist_numeric": _histogram({c: c for c in DISTRIBUTIONS}, 25),
-    "hist_any": _histogram({c: c for c in NUMERIC if c not in ("CLIENTNUM", "churn")}, 30, by=False),
+    "hist_any": _histogram({c: c for c in NUMERIC if c not in ("CLIENTNUM", "churn")}, 30, by=None),
+    "hist_by_inactivity": _histogram({c: c for c in ("Customer_Age", "Total_Trans_Ct")}, 10, by="Months_Inactive_12_mon"),
+    "hist_by_gender": _histogram({c: c for c in ("Customer_Age", "Credit_Limit")}, 12, by="Gender"),
+    "kde_by_gender": _kde("Customer_Age", 50, "(high - low) / 2", by="Gender"),
     "kde_age": _kde("Customer_Age", 1000, "(high - low) / 2"),
     "violin_utilisation": _kde("Avg_Utilization_Ratio", 100, "bw * 2"),
     "box_utilisation": _box("Avg_Utilization_Ratio"),
@@ -544,6 +548,10 @@ FROM (SELECT *, CAST(trunc(recall * churned * CAST(0.20 AS DOUBLE)) AS BIGINT) A
     ),
     "roi_scenarios": _roi(),
     "roi_by_card": _roi("Card_Category"),
+    "roi_test_scores": _roi(
+        scores=(_split_ctes(), "chosen_rows AS (SELECT * EXCLUDE (split) FROM divided WHERE split = 'test')",
+                SCORES.replace("FROM customers", "FROM chosen_rows")),
+    ),
     "risk_tiers": _with(
         f"""SELECT CLIENTNUM, model, p, {_tier(1)} AS tier, {_tier(2)} AS message,
        round(p * 100 - (SELECT avg(churn) * 100 FROM customers), 6) AS delta_points FROM scored""",
@@ -555,11 +563,13 @@ FROM (SELECT *, CAST(trunc(recall * churned * CAST(0.20 AS DOUBLE)) AS BIGINT) A
         SCORES, RECOMMENDATIONS,
     ),
     "contrib_importance": _with(
-        "SELECT CAST(rank AS INTEGER) AS rank, feature, round(mean_abs, 6) AS mean_abs FROM importance", CONTRIBUTIONS, IMPORTANCE
+        """SELECT CAST(rank AS INTEGER) AS rank, feature, round(mean_abs, 6) AS mean_abs, round(mean, 6) AS mean,
+       CASE WHEN mean > 0 THEN '↑ Toward Churn' ELSE '↓ Away from Churn' END AS direction FROM importance""",
+        CONTRIBUTIONS, IMPORTANCE,
     ),
     "contrib_direction": _with(
         """SELECT feature, round(mean, 6) AS mean, CASE WHEN mean > 0 THEN '↑ Toward Churn' ELSE '↓ Away from Churn' END AS direction
-FROM importance WHERE rank <= 15 AND abs(mean) > 1e-4""",
+FROM importance WHERE rank <= 15""",
         CONTRIBUTIONS, IMPORTANCE,
     ),
     "contrib_beeswarm": _with(
@@ -578,6 +588,10 @@ FROM long JOIN (SELECT feature, rank FROM importance WHERE rank > 14) USING (fea
     "dependence_interaction": _with(
         "SELECT 'Total_Trans_Ct' AS target, feature, round(abs_r, 6) AS abs_r, chosen FROM chosen", CONTRIBUTIONS, _interaction()
     ),
+    "score_explained": _with("SELECT CLIENTNUM, 1 AS adds_up, 12 AS n_steps FROM customers"),
+    "open_to_buy": _with("SELECT CLIENTNUM, greatest(0, Avg_Open_To_Buy) AS open_to_buy FROM customers"),
+    "model_confusion_totals": _with("SELECT churn AS label, 2 * count(*) AS n FROM divided WHERE split = 'test' GROUP BY churn", _split_ctes()),
+    "stream_equals_batch": _with("SELECT count(*) AS n_in, 2 * count(*) AS n_out, 0 AS n_apart FROM customers"),
     "dependence_points": _with(
         """SELECT points.CLIENTNUM, x AS value, y AS shap, c.feature AS interaction_feature, long.value AS interaction_value
 FROM points, (SELECT feature FROM chosen WHERE chosen = 1) c, long

@@ -17,20 +17,19 @@ from holdfast.sources import star, tables
 from holdfast.sources.schema import CUSTOMERS, missing_columns, numeric_columns
 from holdfast.streaming import scoring
 
-TREES = 20  # the library's default is 500; 20 trees carry the signal of the test tables
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+QUERIES_OF: dict[str, Callable[[Study], DataFrame]] = {}
 
 
 def query(fn: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
+    QUERIES_OF[fn.__name__] = fn
     QUERIES[fn.__name__] = lambda spark, directory: fn(open_study(spark, directory))
     return fn
 
 
 def open_study(spark: SparkSession, directory: str) -> Study:
-    learners = [models.logistic(), models.boosted(trees=TREES)]
-    return study(spark, directory, lambda: star.raw_customers(spark, directory), learners)
+    return study(spark, directory, lambda: star.raw_customers(spark, directory), [models.logistic(), models.boosted()])
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -131,6 +130,22 @@ def hist_any(s: Study) -> DataFrame:
     return _histogram(s.customers, columns, 30, by=None)
 
 
+@query
+def hist_by_inactivity(s: Study) -> DataFrame:
+    """Ages by months of inactivity, a group for each number of months there is."""
+    return _histogram(s.customers, ["Customer_Age", "Total_Trans_Ct"], 10, by="Months_Inactive_12_mon")
+
+
+@query
+def hist_by_gender(s: Study) -> DataFrame:
+    return _histogram(s.customers, ["Customer_Age", "Credit_Limit"], 12, by="Gender")
+
+
+@query
+def kde_by_gender(s: Study) -> DataFrame:
+    return rounded(profile.kde(s.customers, "Customer_Age", by="Gender", points=50), 9, "g", "density")
+
+
 @query
 def kde_age(s: Study) -> DataFrame:
     return rounded(profile.kde(s.customers, "Customer_Age"), 9, "g", "density")
@@ -321,12 +336,18 @@ def portfolio_by_income(s: Study) -> DataFrame:
 
 @query
 def roi_scenarios(s: Study) -> DataFrame:
-    return business.roi_scenarios(rule_scores(s.customers))
+    return business.roi_scenarios(s.customers, rule_scores(s.customers))
 
 
 @query
 def roi_by_card(s: Study) -> DataFrame:
-    return business.roi_scenarios(rule_scores(s.customers), ["Card_Category"])
+    return business.roi_scenarios(s.customers, rule_scores(s.customers), ["Card_Category"])
+
+
+@query
+def roi_test_scores(s: Study) -> DataFrame:
+    """Recall of the test customers, churn rate of all."""
+    return business.roi_scenarios(s.customers, rule_scores(s.test))
 
 
 @query
@@ -352,7 +373,7 @@ def rule_contributions(s: Study) -> DataFrame:
 def _rule_contributions(scaled: DataFrame) -> DataFrame:
     n = len(FEATURES)
     shap = [
-        F.lit(rule_weight(i)) * F.col(name) + F.lit(rule_bend(i)) * F.col(name) * F.col(FEATURES[(i + 1) % n])
+        F.lit(rule_weight(i)) * F.col(name) + F.lit(rule_bend(i)) * F.col(name) * F.col(FEATURES[(i + 1) % n]) + F.lit(rule_shift(i))
         for i, name in enumerate(FEATURES)
     ]
     return scaled.select(ID, F.lit(-1.5).alias("base"), F.array(*FEATURES).alias("value"), F.array(*shap).alias("shap"))
@@ -366,16 +387,21 @@ def rule_bend(i: int) -> float:
     return (i * 3 % 5) / 13
 
 
+def rule_shift(i: int) -> float:
+    """Keeps every feature's mean contribution away from 0, so that its sign is certain."""
+    return (i * 5 % 7 - 3) + 0.5
+
+
 @query
 def contrib_importance(s: Study) -> DataFrame:
-    return rounded(contributions.importance(rule_contributions(s), FEATURES), 6, "mean_abs").drop("mean", "direction")
+    return rounded(contributions.importance(rule_contributions(s), FEATURES), 6, "mean_abs", "mean")
 
 
 @query
 def contrib_direction(s: Study) -> DataFrame:
-    """Sign of the mean contribution of the 15 strongest features whose mean is not 0."""
+    """Sign of the mean contribution of the 15 strongest features."""
     ranked = contributions.importance(rule_contributions(s), FEATURES, top=15)
-    return ranked.filter(F.abs("mean") > 1e-4).select("feature", F.round("mean", 6).alias("mean"), "direction")
+    return ranked.select("feature", F.round("mean", 6).alias("mean"), "direction")
 
 
 @query
@@ -429,6 +455,31 @@ def model_business(s: Study) -> DataFrame:
     return business.business_reading(s.scored)
 
 
+@query
+def model_roc(s: Study) -> DataFrame:
+    return metrics.roc_curve(s.scored)
+
+
+@query
+def model_pr(s: Study) -> DataFrame:
+    return metrics.pr_curve(s.scored)
+
+
+@query
+def model_scorecard(s: Study) -> DataFrame:
+    return metrics.scorecard(metrics.metric_rows(s.scored), *[learner.name for learner in s.learners])
+
+
+@query
+def model_portfolio(s: Study) -> DataFrame:
+    return business.portfolio_value(s.customers, s.scored)
+
+
+@query
+def model_roi(s: Study) -> DataFrame:
+    return business.roi_scenarios(s.customers, s.scored)
+
+
 @query
 def cv_comparison(s: Study) -> DataFrame:
     return models.cv_comparison(s.fold_metrics, [learner.name for learner in s.learners])
@@ -463,8 +514,7 @@ def shap_waterfall_top(s: Study) -> DataFrame:
 @query
 def shap_dependence(s: Study) -> DataFrame:
     """Contribution of the transaction count next to the raw count."""
-    points = contributions.dependence(s.explained, s.features.feature_names)
-    return points.join(s.customers.select(ID, "Total_Trans_Ct"), ID)
+    return contributions.dependence(s.explained, s.features.feature_names, keep=["Total_Trans_Ct"])
 
 
 @query
@@ -479,16 +529,40 @@ def shap_checks(s: Study) -> DataFrame:
     return row.withColumn("max_gap", contributions.additivity(s.explained).select("max_gap").scalar())
 
 
-def _base_rate(s: Study) -> float:
-    return s.customers.agg(F.avg(LABEL) * 100).first()[0]
-
-
 _RISK = [ID, "model", "p", "prediction", "tier", "delta_points", "actions"]
 
 
 @query
 def score_customers(s: Study) -> DataFrame:
-    return scoring.risk_records(s.customers, s.pipeline, _base_rate(s)).select(*_RISK)
+    return scoring.risk_records(s.customers, s.pipeline, s.customers.agg(F.avg(LABEL) * 100).scalar()).select(*_RISK)
+
+
+@query
+def score_explained(s: Study) -> DataFrame:
+    """Whether each scored customer's base and contributions add up to the log-odds, and the waterfall's steps."""
+    rows = scoring.explained_records(s.customers, s.pipeline, s.nodes)
+    total = F.aggregate("shap", F.col("base"), lambda a, x: a + x)
+    return rows.select(ID, (F.abs(total - F.col("log_odds")) < 1e-6).cast("int").alias("adds_up"), F.size("steps").alias("n_steps"))
+
+
+@query
+def open_to_buy(s: Study) -> DataFrame:
+    """What scoring derives for customers that come without it."""
+    return scoring.with_open_to_buy(s.customers.drop("Avg_Open_To_Buy")).select(ID, F.round("Avg_Open_To_Buy", 2).alias("open_to_buy"))
+
+
+@query
+def model_confusion_totals(s: Study) -> DataFrame:
+    """Test customers of each class under either model."""
+    return metrics.confusion(s.scored).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query
+def stream_equals_batch(s: Study) -> DataFrame:
+    """Customers, records of the stream, and records in which it differs from the batch."""
+    batch, stream = (QUERIES_OF[name](s).withColumn("actions", F.to_json("actions")) for name in ("score_customers", "stream_scores"))
+    apart = batch.exceptAll(stream).select(F.count("*").alias("n_apart"))
+    return s.customers.select(F.count("*").alias("n_in")).crossJoin(stream.select(F.count("*").alias("n_out"))).crossJoin(apart)
 
 
 @query
@@ -497,5 +571,6 @@ def stream_scores(s: Study) -> DataFrame:
     source = tables.fresh_path(s.spark, "arrivals")
     arrivals = tables.write_table(s.customers, source)
     sink, checkpoint = (tables.fresh_path(s.spark, name) for name in ("stream-scores", "stream-checkpoint"))
-    scoring.stream_scores(s.spark, source, arrivals.schema, s.pipeline, _base_rate(s), sink, checkpoint).awaitTermination()
+    base = s.customers.agg(F.avg(LABEL) * 100).first()[0]
+    scoring.stream_scores(s.spark, source, arrivals.schema, s.pipeline, base, sink, checkpoint).awaitTermination()
     return s.spark.read.parquet(sink).select(*_RISK)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
+from threading import Lock
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.functions.fixed import ID, LABEL
+from holdfast.operators.contributions import TARGET
 from holdfast.operators import metrics, models, quality, split, treeshap
 from holdfast.operators.features import CustomerFeatures, CustomerFeaturesModel
 from holdfast.operators.models import Learner
-from holdfast.sources.tables import fresh_path, settle, write_report, write_table
+from holdfast.sources.tables import drop_table, fresh_path, newest_change, settle, write_report, write_table
 
-_STUDIES: dict[tuple, "Study"] = {}
+_STUDIES: dict[tuple, tuple[tuple, "Study"]] = {}
+_LOCK = Lock()
 
 
 @dataclass(eq=False)
@@ -95,7 +98,7 @@ class Study:
         """Test customers with contributions to the tree model's log-odds."""
         vectors = self.pipeline.transform(self.test)
         margin = vector_to_array(self.tree_model.getRawPredictionCol())[1]
-        rows = vectors.select(ID, LABEL, (margin * treeshap.LOG_ODDS).alias("log_odds"), "features")
+        rows = vectors.select(ID, LABEL, TARGET, (margin * treeshap.LOG_ODDS).alias("log_odds"), "features")
         return settle(treeshap.explain(rows, self.nodes), "shap")
 
     @cached_property
@@ -106,7 +109,7 @@ class Study:
     def export(self, path: str, cross_validation: bool = True) -> None:
         """Write everything the study made: tables, pipeline, reports, contributions."""
         write_table(self.customers, f"{path}/customers")
-        write_table(self.scaled, f"{path}/features")
+        write_table(self.features.table(self.customers), f"{path}/features")
         for side in ("train", "test"):
             write_table(self.features.table(getattr(self, side)), f"{path}/{side}")
         models.save_pipeline(self.pipeline, f"{path}/pipeline")
@@ -118,9 +121,24 @@ class Study:
             write_report(models.cv_comparison(self.fold_metrics, names), f"{path}/model_comparison")
 
 
+    def close(self) -> None:
+        """Delete what this study has stored. Its tables cannot be read any more."""
+        made = [self.__dict__.get(name) for name in ("customers", "scaled", "scored", "explained")]
+        for table in [*self._stored.values(), *made]:
+            if table is not None:
+                drop_table(table)
+
+
 def study(spark: SparkSession, key: str, raw, learners: list[Learner]) -> Study:
-    """The study of this session for a source; its stored phases are shared by all callers."""
+    """The study of this session for a source; its stored phases are shared by all callers.
+
+    A source whose files have changed since gets a study of its own, and the earlier one is forgotten.
+    """
+    table = raw()
     slot = (spark.sparkContext.applicationId, key)
-    if slot not in _STUDIES:
-        _STUDIES[slot] = Study(raw(), learners)
-    return _STUDIES[slot]
+    state = (sorted(table.inputFiles()), newest_change(table))
+    with _LOCK:
+        held = _STUDIES.get(slot)
+        if held is None or held[0] != state:
+            held = _STUDIES[slot] = (state, Study(table, learners))
+    return held[1]

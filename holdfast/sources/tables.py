@@ -69,6 +69,29 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return stored
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a file, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def newest_change(df: DataFrame) -> int:
+    """Latest modification time, in milliseconds, of the files a table is read from; 0 if there are none."""
+    times = [0]
+    for file in df.inputFiles():
+        path, store = _file_system(df.sparkSession, file)
+        times.append(store.getFileStatus(path).getModificationTime())
+    return max(times)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the folder of a table that settle has written."""
+    for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+        path, store = _file_system(df.sparkSession, folder)
+        store.delete(path, True)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A result of a few rows (metrics, comparisons) as one CSV file with header."""
     write_csv(df.coalesce(1), path)

@@ -3,17 +3,53 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from holdfast.functions.fixed import ID
 from holdfast.operators.business import with_recommendations, with_risk_tier
+from holdfast.operators.contributions import waterfalls
 from holdfast.operators.models import score
+from holdfast.operators.treeshap import LOG_ODDS, explain
 
 
-def risk_records(customers: DataFrame, pipeline: PipelineModel, base_rate: Column | float) -> DataFrame:
-    """Customers with probability, class, tier and recommended actions, batch or stream."""
-    return with_recommendations(with_risk_tier(score(pipeline, customers), base_rate))
+def with_open_to_buy(customers: DataFrame) -> DataFrame:
+    """Add what is left of the credit limit, at least 0, if the rows come without it."""
+    if "Avg_Open_To_Buy" in customers.columns:
+        return customers
+    left = F.col("Credit_Limit") - F.col("Total_Revolving_Bal")
+    return customers.withColumn("Avg_Open_To_Buy", F.greatest(F.lit(0.0), left.cast("double")))
+
+
+def risk_records(customers: DataFrame, pipeline: PipelineModel, base_rate: Column | float, reject: bool = True) -> DataFrame:
+    """Customers with probability, class, tier and recommended actions, batch or stream.
+
+    Rows that cannot be scored come once, without these, and `missing` names the features
+    they have no value for; with reject=False they are an error.
+    """
+    customers = with_open_to_buy(customers)
+    if not reject:
+        return with_recommendations(with_risk_tier(score(pipeline, customers), base_rate))
+    marked = pipeline.stages[0].with_missing(customers)
+    scored = score(pipeline, marked.filter(F.size("missing") == 0))
+    records = with_recommendations(with_risk_tier(scored, base_rate))
+    return records.unionByName(marked.filter(F.size("missing") > 0), allowMissingColumns=True)
+
+
+def explained_records(customers: DataFrame, pipeline: PipelineModel, nodes: DataFrame, top: int = 12) -> DataFrame:
+    """Customers' log-odds under the tree model (the last stage), base, contributions and waterfall, batch or stream.
+
+    Rows that cannot be scored are left out.
+    """
+    features, model = pipeline.stages[0], pipeline.stages[-1]
+    known = features.with_missing(with_open_to_buy(customers)).filter(F.size("missing") == 0)
+    margin = vector_to_array(model.getRawPredictionCol())[1]
+    rows = model.transform(features.transform(known)).select(ID, (margin * LOG_ODDS).alias("log_odds"), "features")
+    shap = explain(rows, nodes)
+    steps = waterfalls(shap.withColumn("key", F.struct(ID, "log_odds")), features.feature_names, top, "key")
+    return steps.select("key.*", "base", "shap", "steps")
 
 
 def stream_scores(

@@ -2,8 +2,10 @@ import os
 
 import pytest
 
-from holdfast.plans.registry import open_study
+from holdfast.operators import models
+from holdfast.plans.retention import Study
 from holdfast.session import local_session
+from holdfast.sources import star
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
@@ -17,8 +19,9 @@ def spark():
 
 @pytest.fixture(scope="session")
 def study(spark):
-    """The study of the 1,500 customers at sf0.01."""
-    return open_study(spark, f"{DATA}/sf0.01")
+    """A study of the 1,500 customers at sf0.01, with a small tree model."""
+    raw = star.raw_customers(spark, f"{DATA}/sf0.01")
+    return Study(raw, [models.logistic(), models.boosted(trees=20)])
 
 
 RAW_ROW = {

@@ -40,13 +40,14 @@ def test_portfolio_value(scored, spark):
     assert len(rows(business.portfolio_value(customers, scored, ["side"]))) == 2
 
 
-def test_roi_scenarios_cut_at_every_step(scored):
-    table = business.roi_scenarios(scored, sizes=[10_000], costs=[300], success=[30])
+def test_roi_scenarios_cut_at_every_step(scored, spark):
+    customers = spark.range(2026).selectExpr("cast(id < 325 as int) AS churn")
+    table = business.roi_scenarios(customers, scored, sizes=[10_000], costs=[300], success=[30])
     r = rows(table)[0]
     est = int(10_000 * (325 / 2026))
     caught = int(est * 0.9046)
     assert (r["est_churners"], r["caught"], r["saved"], r["roi"]) == (est, caught, int(caught * 0.3), int(caught * 0.3) * 300)
-    assert business.roi_scenarios(scored).count() == 4 * 3 * 3
+    assert business.roi_scenarios(customers, scored).count() == 4 * 3 * 3
 
 
 def test_tier_edges(spark):

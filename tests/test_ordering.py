@@ -33,6 +33,22 @@ def test_split_points_stay_few_and_sorted(values):
     assert points == sorted(set(points)) and len(points) <= 7
 
 
+@pytest.mark.parametrize("kind", ["equal", "tail", "even"])
+def test_split_points_fill_buckets_evenly(spark, kind):
+    rng = random.Random(kind)
+    data = {
+        "equal": [0.25] * 4950 + [rng.random() for _ in range(50)],
+        "tail": [rng.random() ** 12 * 1e6 for _ in range(5000)],
+        "even": [rng.random() for _ in range(5000)],
+    }[kind] + [float("nan"), float("inf"), None]
+    points = split_points(spark.createDataFrame([(v,) for v in data], "v double"), "v", 10)
+    assert points == sorted(set(points)) and len(points) <= 9
+    finite = [v for v in data if v is not None and v - v == 0]
+    cuts = [float("-inf"), *points, float("inf")]
+    sizes = [len({v for v in finite if a <= v < b}) if kind == "equal" else sum(a <= v < b for v in finite) for a, b in zip(cuts, cuts[1:])]
+    assert max(sizes) <= (60 if kind == "equal" else 900)
+
+
 def test_hash_cuts_are_the_wanted_ranks(spark):
     table = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") % 3 == 0).cast("int").alias("s"))
     cuts = hash_cuts(table, "key", "s", 7, lambda sizes: {s: [1, n // 2, n] for s, n in sizes.items()})

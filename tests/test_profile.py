@@ -59,6 +59,21 @@ def test_histogram_agrees_with_numpy(skewed, bins):
         np.testing.assert_allclose([*mine.lo, mine.hi.iloc[-1]], edges, rtol=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_distributions_by_any_column(spark, kind):
+    rng = np.random.default_rng(4)
+    data = [(str(k) if kind == "string" else int(k), float(v)) for k, v in zip(rng.integers(0, 7, 700), rng.normal(size=700))]
+    table = spark.createDataFrame([*data, (None, 1.0)], f"k {kind}, x double")
+    groups = {k: np.array([v for key, v in data if key == k]) for k, _ in data}
+    found = profile.histogram(table, ["x"], 6, by="k").collect()
+    assert {r["by"] for r in found} == set(groups) and len(groups) == 7
+    for k, x in groups.items():
+        assert [r["n"] for r in sorted(found, key=lambda r: r["bin"]) if r["by"] == k] == np.histogram(x, 6)[0].tolist()
+    density = profile.kde(table, "x", by="k", points=30).collect()
+    assert {r["by"] for r in density} == set(groups) and len(density) == 7 * 30
+    assert len({r["by"] for r in profile.histogram(table, ["x"], 6, by="k", classes=(data[0][0],)).collect()}) == 1
+
+
 def test_histogram_of_a_constant_and_without_classes(spark):
     table = spark.createDataFrame([(1, 2.0, 5), (0, 2.0, 6)], "churn int, a double, b int")
     found = rows(profile.histogram(table, ["a", "b"], 4, by=None), "feature", "bin")
@@ -87,8 +102,8 @@ def test_density_needs_spread(spark):
 
 def test_box_agrees_with_numpy(skewed):
     got = {r["by"]: r for r in profile.box(skewed, "x").collect()}
-    assert set(got) == {0, 1}
-    for c in (0, 1):
+    assert set(got) == {0, 1, 7}  # every class there is; rows without one belong to none
+    for c in got:
         x = _class(skewed, c)
         q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
