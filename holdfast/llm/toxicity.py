@@ -79,8 +79,8 @@ def word_ids(texts: list[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarra
 
 
 def padded(ids: np.ndarray, counts: np.ndarray, embedding: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word vectors with zeros after each text so that no window spans two texts, the texts' starts, and
-    for each word its place."""
+    """Word vectors with zeros after each text so that no window that starts at a word spans two texts, the texts' starts,
+    and for each word its place."""
     pad = max(WIDTHS)
     starts = np.cumsum(counts + pad) - (counts + pad)
     place = np.arange(len(ids)) + np.repeat(np.arange(len(counts)) * pad, counts)
@@ -100,10 +100,16 @@ def responses(vectors: np.ndarray, filters: np.ndarray) -> np.ndarray:
     return out
 
 
+def stops(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where the windows of each text end: they start at its words, or at one of the zeros if it has none."""
+    return starts + np.maximum(counts, 1)
+
+
 def logits(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Raw outputs. A text without words has only the bias of each filter."""
     vectors, starts, _ = padded(ids, counts, model.embedding)
-    pooled = [np.maximum(np.maximum.reduceat(responses(vectors, f), starts) + b, 0) for f, b in zip(model.filters, model.bias)]
+    ends = np.stack([starts, stops(starts, counts)], axis=1).ravel()
+    pooled = [np.maximum(np.maximum.reduceat(responses(vectors, f), ends)[::2] + b, 0) for f, b in zip(model.filters, model.bias)]
     return np.concatenate(pooled, axis=1) @ model.output + model.constant
 
 
@@ -170,11 +176,10 @@ def _descend(model: Model, ids: np.ndarray, counts: np.ndarray, toxic: np.ndarra
             docs = order[at : at + s.batch]
             mine = np.concatenate([ids[ends[d] - counts[d] : ends[d]] for d in docs])
             vectors, starts, place = padded(mine, counts[docs], model.embedding)
-            stops = np.append(starts[1:], len(vectors) - max(WIDTHS))
             pooled, best = [], []
             for f, b in zip(model.filters, model.bias):
                 out = responses(vectors, f)
-                top = np.stack([a + np.argmax(out[a:z], axis=0) for a, z in zip(starts, stops)])
+                top = np.stack([a + np.argmax(out[a:z], axis=0) for a, z in zip(starts, stops(starts, counts[docs]))])
                 best.append(top)
                 pooled.append(np.take_along_axis(out, top, 0) + b)
             active = np.maximum(np.concatenate(pooled, axis=1), 0)
