@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(context.applicationId)
     if named is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="holdfast-")
     if context.getCheckpointDir() is None:
