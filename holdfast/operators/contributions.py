@@ -70,15 +70,22 @@ def highest_risk(scored: DataFrame, label: str = "label", key: str = ID) -> Data
 
 
 def waterfall(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -> DataFrame:
-    """From the base to the prediction, strongest contribution last (rank 1)."""
-    return waterfalls(shap, names, top, key).select(key, F.inline("steps"))
+    """From the base to the prediction, strongest contribution last (rank 1).
+
+    Computed inside the row, so any number of customers takes no shuffle.
+    """
+    laid, steps = _laid(shap, names, top, key)
+    return laid.select(key, F.inline(F.array(*steps)))
 
 
 def waterfalls(shap: DataFrame, names: list[str], top: int = 15, key: str = ID) -> DataFrame:
-    """The waterfall of each row as an array of steps, next to its base and contributions.
+    """The waterfall of each row as an array of steps, next to its base and contributions."""
+    laid, steps = _laid(shap, names, top, key)
+    return laid.select(key, "base", "shap", F.array(*steps).alias("steps"))
 
-    Computed inside the row, so any number of customers takes no shuffle.
-    """
+
+def _laid(shap: DataFrame, names: list[str], top: int, key: str) -> tuple[DataFrame, list[Column]]:
+    """Rows with their contributions in order, and the columns of the steps."""
     n = len(names)
     shown = n if n <= top else top - 1
     cells = [F.struct((-F.abs(F.col("shap")[i])).alias("order"), F.lit(i).alias("position")) for i in range(n)]
@@ -105,7 +112,7 @@ def waterfalls(shap: DataFrame, names: list[str], top: int = 15, key: str = ID)
             F.col(f"s{r}").alias("shap"), levels[at - 1].alias("start"), levels[at].alias("end"),
         )
 
-    return laid.select(key, "base", "shap", F.array(*[row(r) for r in range(len(steps))]).alias("steps"))
+    return laid, [row(r) for r in range(len(steps))]
 
 
 def _target(shap: DataFrame, names: list[str], target: str) -> int:
