@@ -1,12 +1,13 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has CHUNKS x CHUNK positions of one byte, each the low byte of the smallest of all shingles
-under one hash function. Two signatures that differ in fewer than 2 x CHUNKS positions have, by pigeonhole,
-a chunk in which they differ in one position at most. So a document is entered, for every chunk and every
-position of it, under the other positions' bytes: pairs within the distance meet under some key.
+A signature has POSITIONS positions of one byte, each the low byte of the smallest of all shingles under one
+hash function, dealt into chunks. Two signatures that differ in fewer positions than twice the number of chunks have,
+by pigeonhole, a chunk in which they differ in one position at most. So a document is entered, for every chunk and
+every position of it, under the other positions' bytes: pairs within the distance meet under some key.
 
-For documents at the similarity threshold the distance has mean 18 and deviation 4; that it exceeds 39 has
-a probability of about one in ten million. Pairs that meet are confirmed on their full shingle sets.
+Chunks are as long as the similarity threshold allows: documents at it are beyond the distance with a probability
+of LOST at most (4e-7 at 0.85, chunks of 6, distance 39, and at 0.80, chunks of 5, distance 47). Pairs that meet are
+confirmed on their full shingle sets.
 
 Within a key only links to its smallest document are tried first. Where that leaves documents of several
 components under a key, these are compared by signature, and components with documents within the distance form a
@@ -17,6 +18,8 @@ components and no others, so what they return grows with the documents and not w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,32 @@ from pyspark.sql import DataFrame, functions as F
 from holdfast.llm.components import components
 from holdfast.sources.tables import settle
 
-CHUNKS, CHUNK = 20, 6
-POSITIONS = CHUNKS * CHUNK
-DISTANCE = 2 * CHUNKS - 1
+POSITIONS = 120
+#: Chunk sizes to choose from; shorter ones would be shared by chance too often.
+SIZES = (6, 5, 4)
+LOST = 1e-6
+PERCENT = 85
 WORDS = 5
 
+
+def distance(chunk: int) -> int:
+    """The largest distance at which signatures always meet."""
+    return 2 * (POSITIONS // chunk) - 1
+
+
+@lru_cache
+def chunk_size(percent: int) -> int:
+    """The largest chunk with which documents of this similarity are beyond the distance with a probability of LOST at most."""
+    p = (1 - percent / 100) * 255 / 256  # that a position differs
+    for chunk in SIZES:
+        beyond = range(distance(chunk) + 1, POSITIONS + 1)
+        if sum(comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in beyond) <= LOST:
+            return chunk
+    raise ValueError(f"{POSITIONS} positions do not find pairs of similarity {percent} % with the probability {1 - LOST}")
+
+
+DISTANCE = distance(chunk_size(PERCENT))
+
 _draw = np.random.default_rng(20_240_229)
 BYTE_VALUES = _draw.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
@@ -158,17 +182,19 @@ def signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
 
 
-def index_keys(signed: DataFrame) -> DataFrame:
+def index_keys(signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, id) for every chunk and every position of it that may differ."""
+    size = chunk_size(percent)
+    count = POSITIONS // size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch["id"].to_numpy(), signature_rows(batch["signature"]).astype(np.int64)
             for at in range(0, len(ids), 2_000):
-                some, keys = rows[at : at + 2_000].reshape(-1, CHUNKS, CHUNK), []
-                for gap in range(CHUNK):
-                    key = np.arange(CHUNKS, dtype=np.int64) * CHUNK + gap + np.zeros((len(some), 1), np.int64)
-                    for j in range(CHUNK):
+                some, keys = rows[at : at + 2_000].reshape(-1, count, size), []
+                for gap in range(size):
+                    key = np.arange(count, dtype=np.int64) * size + gap + np.zeros((len(some), 1), np.int64)
+                    for j in range(size):
                         if j != gap:
                             key = key << 8 | some[:, :, j]
                     keys.append(key)
@@ -182,10 +208,11 @@ def within_distance(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFr
     """The pairs (a, b) whose signatures are within the distance and whose set sizes allow the similarity."""
     one, two = (signed.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    most = distance(chunk_size(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (signature_rows(batch["sa"]) != signature_rows(batch["sb"])).sum(1) <= DISTANCE
+            near = (signature_rows(batch["sa"]) != signature_rows(batch["sb"])).sum(1) <= most
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(near))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
@@ -264,19 +291,19 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def joins(table: pa.Table, confirmed=None) -> list[tuple[int, int]]:
-    """Pairs within the distance that join components of a group, nearest first; with `confirmed` only those it says yes to.
+def joins(table: pa.Table, most: int, confirmed=None) -> list[tuple[int, int]]:
+    """Pairs within the distance `most` that join components of a group, nearest first; with `confirmed` only those it says yes to.
 
     Pairs of rows whose components are joined already are not looked at.
     """
     ids, labels = table["id"].to_numpy(), table["component"].to_numpy().copy()
     signed, left, right, apart = signature_rows(table["signature"]), [], [], []
     for k in range(len(ids) - 1):
-        distance = (signed[k + 1 :] != signed[k]).sum(1)
-        near = np.flatnonzero((distance <= DISTANCE) & (labels[k + 1 :] != labels[k]))
+        differ = (signed[k + 1 :] != signed[k]).sum(1)
+        near = np.flatnonzero((differ <= most) & (labels[k + 1 :] != labels[k]))
         left.append(np.full(len(near), k))
         right.append(near + k + 1)
-        apart.append(distance[near])
+        apart.append(differ[near])
     if not left:
         return []
     left, right, apart = map(np.concatenate, (left, right, apart))
@@ -293,18 +320,20 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def across(members: DataFrame, block: int = 1024) -> DataFrame:
+def across(members: DataFrame, block: int = 1024, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) within the distance that join components of members (key, id, component, signature) of a key."""
+    most = distance(chunk_size(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "key"):
-            yield _pairs(joins(table))
+            yield _pairs(joins(table, most))
 
     return _blocks_of_pairs(members, "key", block).mapInArrow(run, "a bigint, b bigint")
 
 
 def links_in_families(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) that join components of members (family, id, component, signature, text) of a family."""
+    most = distance(chunk_size(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -314,12 +343,12 @@ def links_in_families(members: DataFrame, percent: int, block: int = 512) -> Dat
             def similar(a: int, b: int) -> bool:
                 return alike(sets[a], sets[b], percent)
 
-            yield _pairs(joins(table, similar))
+            yield _pairs(joins(table, most, similar))
 
     return _blocks_of_pairs(members, "family", block).mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Documents are linked if 100 x shared shingles >= percent x all shingles of both. Empty documents and
@@ -332,7 +361,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = settle(
         linkable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes"
     )
-    keys = index_keys(classes)
+    keys = index_keys(classes, percent)
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most"))
     members = settle(keys.join(shared.select("key", "least"), "key"), "members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
@@ -344,7 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
     rest = placed.join(mixed_keys.select("key"), "key", "left_semi").join(classes.select("id", "signature"), "id")
-    near = settle(across(rest).distinct(), "near")
+    near = settle(across(rest, percent=percent).distinct(), "near")
     if not near.isEmpty():
         of = found.select(F.col("id"), "component")
         ties = near.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
