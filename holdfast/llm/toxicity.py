@@ -5,7 +5,8 @@ words, and each filter's largest response in the whole text feeds a logistic out
 trained in numpy by one task, on a bounded sample of labelled rows; scoring is a projection.
 
 The decision threshold depends on the language, which is guessed from the words (the language column only
-teaches that guess). It is subtracted before the logistic function, so 0.5 is the border in every language.
+teaches that guess). Thresholds are taken from all labelled rows the network was not trained on, by a histogram of
+outputs. A threshold is subtracted before the logistic function, so 0.5 is the border in every language.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.pieces import PieceCache, groups
+from holdfast.sources.tables import settle
 
 #: A word's hashes: the whole word and its first so many characters.
 BEGINNINGS = (4, 5)
 HASHES = 1 + len(BEGINNINGS)
 WIDTHS = (1, 2, 3)
+#: Bins of the histogram of outputs: so many a unit, for outputs up to the limit.
+BINS, LIMIT = 256, 40
 
 
 @dataclass
 class Settings:
-    """Sizes. At most `sample` rows of either label are used in each of the three parts of the labelled
-    rows: one for the words' first weights, one for training, one for the thresholds."""
+    """Sizes. At most `sample` rows of either label are drawn from each of the three parts of the labelled
+    rows: one for the words' first weights, one for training, one that with the others teaches the languages."""
 
     bits: int = 18
     size: int = 8
@@ -227,18 +231,27 @@ def best_threshold(z: np.ndarray, toxic: np.ndarray) -> float:
     the outputs beside it, the middle one of equals."""
     if not len(z):
         return 0.0
-    order = np.argsort(z)
-    z, toxic = z[order], toxic[order]
-    caught = toxic.sum() - np.cumsum(toxic)
-    wrong = (1 - toxic).sum() - np.cumsum(1 - toxic)
-    gain = caught / max(1, toxic.sum()) - wrong / max(1, (1 - toxic).sum())
-    gain[:-1][z[1:] == z[:-1]] = -1
+    values, place = np.unique(z, return_inverse=True)
+    ones, zeros = (np.bincount(place[toxic == x], minlength=len(values)) for x in (1, 0))
+    k = _best_cut(ones, zeros)
+    return 0.0 if k is None else float((values[k] + values[k + 1]) / 2)
+
+
+def best_border(bins: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float:
+    """The same from a histogram: distinct bins of outputs in order and the rows of either label in each."""
+    k = _best_cut(ones, zeros)
+    return 0.0 if k is None else float((bins[k] + 1 + bins[k + 1]) / 2 / BINS)
+
+
+def _best_cut(ones: np.ndarray, zeros: np.ndarray) -> int | None:
+    """The group after which to cut, none if no cut is better than chance."""
+    caught, wrong = ones.sum() - np.cumsum(ones), zeros.sum() - np.cumsum(zeros)
+    gain = caught / max(1, ones.sum()) - wrong / max(1, zeros.sum())
     gain[-1] = -1
     if gain.max() <= 0:
-        return 0.0
+        return None
     equal = np.flatnonzero(gain == gain.max())
-    k = equal[len(equal) // 2]
-    return float((z[k] + z[k + 1]) / 2)
+    return int(equal[len(equal) // 2])
 
 
 def _calibrate(model: Model, ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> None:
@@ -263,15 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Train on labelled documents that are not held out; the pickled model.
 
     The sample is chosen by a hash of the id, settings.sample rows of either label in each part at
-    most (in expectation). Labels other than 0 and 1 and documents without text do not count. Without
-    rows the model scores every text 0.5 or less.
+    most (in expectation). All labelled rows but those of the first two parts' samples set the thresholds.
+    Labels other than 0 and 1 and documents without text do not count. Without rows the model scores every
+    text 0.5 or less.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = known.where(~held_out()).withColumn("part", (F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) % 3).cast("int"))
+    rows = settle(rows, "labels")
     sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*(x for (p, t), n in sizes.items() for x in (F.lit(f"{p}{t}"), F.lit(settings.sample / n)))) if sizes else F.create_map(F.lit(""), F.lit(1.0))
     draw = (F.crc32(F.concat(F.lit("draw"), F.col("doc_id").cast("string"))) % 1_000_000) / 1_000_000
-    chosen = rows.where(draw < share[F.concat(F.col("part").cast("string"), F.col("toxic").cast("string"))])
+    drawn = draw < share[F.concat(F.col("part").cast("string"), F.col("toxic").cast("string"))]
+    chosen = rows.where(drawn)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "lang", F.col("toxic").cast("int"), "part")
 
@@ -284,7 +300,49 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
-    return bytes(found[0]["model"]) if found else pickle.dumps(train([], np.empty(0, np.int64), [], np.empty(0, np.int64), settings))
+    if not found:
+        return pickle.dumps(train([], np.empty(0, np.int64), [], np.empty(0, np.int64), settings))
+    return calibrated(bytes(found[0]["model"]), texts.select("doc_id", "text"), rows.where(~((F.col("part") < 2) & drawn)).select("doc_id", "toxic"))
+
+
+def calibrated(model: bytes, texts: DataFrame, labels: DataFrame, small: int = 1_000_000) -> bytes:
+    """The model with thresholds from all of these labels (doc_id unique); with its own where they are of one kind only.
+
+    Up to `small` labels are sent to the texts, so that only labelled ones are judged; else all are judged and what
+    came out, two numbers a text, is joined. A row per guessed language and bin reaches the driver.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    schema = texts.select("doc_id").schema.add("guess", "integer").add("bin", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = pickle.loads(shared.value)
+        cache = hashed_words(fitted.settings.bits)
+        for batch in batches:
+            for first, some in groups(batch["text"].to_pylist(), 1_000_000):
+                words = word_ids(some, cache)
+                bins = np.floor(np.clip(logits(fitted, *words).astype(np.float64), -LIMIT, LIMIT) * BINS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(first, len(some)), pa.array(languages(fitted, *words), pa.int32()), pa.array(bins.astype(np.int32))], ["doc_id", "guess", "bin"]
+                )
+
+    few = labels.count() <= small
+    some = texts.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi") if few else texts
+    judged = some.mapInArrow(run, schema).join(F.broadcast(labels) if few else labels, "doc_id")
+    counts = judged.groupBy("guess", "bin").agg(F.sum("toxic").cast("bigint"), F.sum(1 - F.col("toxic")).cast("bigint")).collect()
+    guess, bins, ones, zeros = np.array(counts, np.int64).reshape(-1, 4).T
+    fitted = pickle.loads(model)
+
+    def border(mine: np.ndarray) -> float:
+        distinct, place = np.unique(bins[mine], return_inverse=True)
+        return best_border(distinct, *(np.bincount(place, x[mine], len(distinct)) for x in (ones, zeros)))
+
+    if min(ones.sum(), zeros.sum()) > 0:
+        fitted.thresholds[:] = border(np.ones(len(bins), bool))
+        for k in range(len(fitted.languages)):
+            mine = guess == k
+            if min(ones[mine].sum(), zeros[mine].sum()) >= fitted.settings.least_rows:
+                fitted.thresholds[k] = border(mine)
+    return pickle.dumps(fitted)
 
 
 def score(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
