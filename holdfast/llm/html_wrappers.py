@@ -5,8 +5,8 @@ one after the other: what only some have becomes optional, what follows itself b
 each place holds a text slot. The wrapper says which slots of a host's pages hold the article.
 
 Equal streams are counted before they meet, repeats already folded, so a host with many pages has few streams; these
-are merged in groups of bounded size, wrappers with wrappers. What a slot's texts are like (their number, whether
-they differ, how much of them is links) is summed by host and path.
+are merged in groups of bounded size, wrappers with wrappers. Then each page is matched, and what the texts of a slot are
+like (different pages, whether they differ, their length, how much of them is links) is summed by host and slot.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -34,7 +35,13 @@ BLOCKS = set(
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 PLAIN = set("html body div center table tbody thead tfoot tr ul ol dl menu section details figure blockquote fieldset".split())
 MARKS = {"article", "main"}
+#: Elements whose class and id say nothing: ids of headings are made from their texts.
+NAMED_FREELY = MARKS | set("p h1 h2 h3 h4 h5 h6".split())
+#: Mean characters of a block below which a hint is believed.
+SHORT = 200
 DROPPED = set("head nav header footer aside form button select dialog menu".split())
+#: Hints only, as are the words: what the slot is like decides.
+DOUBTFUL = {"header", "form"}
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 DROPPED_WORDS = set(
     "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
@@ -51,32 +58,51 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+DIGITS = re.compile(r"[0-9]+")
 WORD = re.compile(r"[a-z]+")
 
 
-def dropped(tag: str, attrs: str) -> bool:
-    """Whether an element is none of an article's: a menu, advert, notice, comment and so on."""
+def region(tag: str, attrs: str, inside: bool = False) -> str:
+    """"!" for an element that is none of an article's, "?" for one whose name hints at that (a menu, advert, notice, comment
+    and so on), else nothing. `inside`: in a marked element, whose header is its own."""
     if tag in DROPPED:
-        return True
+        return "!"
+    found = "?" if tag == "form" or tag == "header" and not inside else ""
     if not attrs or tag in ("html", "body"):
-        return False
+        return found
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in DROPPED_ROLES or name in ("class", "id") and DROPPED_WORDS & set(WORD.findall(value)):
-            return True
-    return False
+            return "!"
+        if name == "role" and value in DROPPED_ROLES:
+            found = "!"
+        elif name in ("class", "id") and DROPPED_WORDS & set(WORD.findall(value)):
+            found = "!"
+    return found
+
+
+def dropped(tag: str, attrs: str) -> bool:
+    """Whether an element is none of an article's, or hinted to be none."""
+    return bool(region(tag, attrs))
+
+
+def labelled(tag: str, attrs: str) -> str:
+    """A container with its first class, without digits."""
+    if tag in PLAIN and attrs:
+        for name, *values in ATTRIBUTE.findall(attrs):
+            if name.lower() == "class" and (words := "".join(values).lower().split()):
+                return f"{tag}.{DIGITS.sub('', words[0])}".replace(">", "")
+    return tag
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """The page's texts in order: path, text, and how many of its characters are in links.
 
-    A path names the regions around a text (marked and dropped elements) and the innermost element that is no mere
-    container. White space is one space; character references are decoded.
+    A path names the regions around a text (marked, dropped and hinted elements), the innermost container with a
+    class and the innermost element that is no mere container. White space is one space; character references are decoded.
     """
     out: list[tuple[str, str, int]] = []
-    opened: list[tuple[str, bool]] = []
+    opened: list[tuple[str, str, str]] = []
     parts: list[str] = []
     links, linked = 0, 0
 
@@ -84,9 +110,10 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            regions = [("!" if out_of else "") + tag for tag, out_of in opened if out_of or tag in MARKS]
-            last = next((tag for tag, _ in reversed(opened) if tag not in PLAIN), "body")
-            path = ">".join(dict.fromkeys([*regions, last]))
+            regions = [out_of + (label if out_of else tag) for tag, out_of, label in opened if out_of or tag in MARKS]
+            within = [label for tag, out_of, label in opened if label != tag and not out_of][-1:]
+            last = next((tag for tag, *_ in reversed(opened) if tag not in PLAIN), "body")
+            path = ">".join(dict.fromkeys([*regions, *within, last]))
             out.append((path, text, min(linked, len(text))))
         parts.clear()
         linked = 0
@@ -124,7 +151,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     del opened[k:]
                 elif opened[k][0] in NESTS and opened[k][0] != tag:
                     break
-            opened.append((tag, dropped(tag, token["attrs"])))
+            inside = any(o[0] in MARKS for o in opened)
+            opened.append((tag, region(tag, token["attrs"], inside), labelled(tag, token["attrs"])))
     flush()
     return out
 
@@ -176,29 +204,42 @@ def host_of(url: str) -> Column:
 
 
 def streams(pages: DataFrame) -> DataFrame:
-    """Per host: `stream` rows (a folded stream) and slot rows (a path, its texts' number, hashes, characters), summed by batch."""
-    schema = pa.schema([("host", pa.string()), ("stream", pa.string()), ("path", pa.string()), *((n, pa.int64()) for n in ("pages", "low", "high", "chars", "links"))])
+    """Distinct folded streams (host, stream) of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple, list[int]] = {}
-            for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-                found = blocks(page or "")
-                rows[(host, json.dumps(fold([p for p, _, _ in found])), None)] = [0, 0, 0, 0, 0]
-                texts: dict[str, list[int]] = {}
-                for path, text, linked in found:
-                    slot = texts.setdefault(path, [0, 0, 0])
-                    slot[0] = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), slot[0]) >> 1
-                    slot[1] += len(text)
-                    slot[2] += linked
-                for path, (mark, chars, linked) in texts.items():
-                    s = rows.setdefault((host, None, path), [0, mark, mark, 0, 0])
-                    s[:] = [s[0] + 1, min(s[1], mark), max(s[2], mark), s[3] + chars, s[4] + linked]
-            columns = list(zip(*((*k, *v) for k, v in rows.items())))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            rows = {(h, json.dumps(fold([p for p, _, _ in blocks(page or "")]))) for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["host", "stream"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, stream string")
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, stream string, path string, pages bigint, low bigint, high bigint, chars bigint, links bigint")
+def slots(pages: DataFrame, few: int) -> DataFrame:
+    """(host, slot, digest, low, high, blocks, chars, links): the texts of a slot in pages (host, html, wrapper), summed by
+    batch, in up to `few` rows with a page's digest each."""
+    schema = pa.schema([("host", pa.string()), ("slot", pa.string()), *((n, pa.int64()) for n in ("digest", "low", "high", "blocks", "chars", "links"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            digests: dict[tuple, set[int]] = {}
+            for host, page, wrapper in zip(*(batch[c].to_pylist() for c in ("host", "html", "wrapper"))):
+                digest = uuid.uuid4().int >> 65
+                texts: dict[str, list[int]] = {}
+                for slot, _, text, linked in matched(page or "", wrapper):
+                    t = texts.setdefault(slot, [0, 0, 0, 0])
+                    t[0] = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), t[0]) >> 1
+                    t[1:] = [t[1] + 1, t[2] + len(text), t[3] + linked]
+                for slot, (mark, *more) in texts.items():
+                    s = sums.setdefault((host, slot), [mark, mark, 0, 0, 0])
+                    s[:] = [min(s[0], mark), max(s[1], mark), *(x + y for x, y in zip(s[2:], more))]
+                    if len(seen := digests.setdefault((host, slot), set())) < few:
+                        seen.add(digest)
+            rows = [(*k, d, *s[:2], *([0, 0, 0] if n else s[2:])) for k, s in sums.items() for n, d in enumerate(digests[k])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+    return pages.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, digest bigint, low bigint, high bigint, blocks bigint, chars bigint, links bigint")
 
 
 def merge_streams(found: DataFrame, crowd: int = 32) -> DataFrame:
@@ -220,29 +261,29 @@ def merge_streams(found: DataFrame, crowd: int = 32) -> DataFrame:
         found = settle(dealt.groupBy("host", "part").applyInArrow(run, "host string, stream string"), "wrappers")
 
 
-def wrappers(pages: DataFrame, few: int = 3) -> DataFrame:
-    """(host, wrapper): the host's regular expression and for each path whether it is the article's.
-
-    In pages with marked elements the article is what is marked and not dropped. In others it is
-    what is not dropped, not mostly links and, on hosts with `few` pages or more, not the same on all of them.
-    """
-    found = settle(streams(pages), "streams")
-    wrapper = merge_streams(settle(found.where(F.col("stream").isNotNull()).select("host", "stream").distinct(), "streams"))
-    slots = found.where(F.col("path").isNotNull()).groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("same"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+def wrappers(pages: DataFrame, few: int = 3, small: int = 100_000) -> DataFrame:
+    """(host, wrapper): the host's regular expression and what its slots' texts are like: "c" the same on all of `few`
+    different pages or more, "l" mostly links, "s" short."""
+    found = settle(merge_streams(settle(streams(pages).distinct(), "streams")), "wrappers")
+    bare = found.select("host", F.to_json(F.struct("stream")).alias("wrapper"))
+    sums = slots(with_wrappers(pages, bare, small), few).groupBy("host", "slot").agg(
+        F.count_distinct("digest").alias("pages"), (F.min("low") == F.max("high")).alias("same"), F.sum("blocks").alias("blocks"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
-    own = ~(F.col("path").startswith("!") | F.col("path").contains(">!"))
-    marked = F.col("path").rlike("(^|>)(article|main)(>|$)")
-    loose = own & (F.col("links") * 2 <= F.col("chars")) & ~((F.col("pages") >= few) & F.col("same"))
-    kept = slots.select("host", F.when(own & marked, F.col("path")).alias("marked"), F.when(loose, F.col("path")).alias("loose"))
-    lists = kept.groupBy("host").agg(F.sort_array(F.collect_set("marked")).alias("marked"), F.sort_array(F.collect_set("loose")).alias("loose"))
-    return wrapper.join(lists, "host", "left").select("host", F.to_json(F.struct("stream", "marked", "loose")).alias("wrapper"))
+    traits = {"c": (F.col("pages") >= few) & F.col("same"), "l": F.col("links") * 2 > F.col("chars"), "s": F.col("chars") < SHORT * F.col("blocks")}
+    traits = F.concat(*(F.when(held, letter).otherwise("") for letter, held in traits.items()))
+    lists = sums.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", traits))).alias("slots"))
+    return found.join(lists, "host", "left").select("host", F.to_json(F.struct("stream", "slots")).alias("wrapper"))
+
+
+def with_wrappers(pages: DataFrame, known: DataFrame, small: int) -> DataFrame:
+    """Pages with their host's wrapper: up to `small` wrappers are sent to the pages; more are joined."""
+    return pages.join(F.broadcast(known) if known.count() <= small else known, "host")
 
 
 @lru_cache(maxsize=4096)
-def compiled(wrapper: str) -> tuple[re.Pattern, dict[str, str], set[str], set[str]]:
+def compiled(wrapper: str) -> tuple[re.Pattern, dict[str, str], dict[str, str]]:
     """A wrapper as a regular expression over one character per path, with a group for each element; the characters;
-    and the article's paths in marked and in other pages."""
+    and the slots' traits."""
     found = json.loads(wrapper)
     elements, letters = json.loads(found["stream"]), {}
     for paths, _, _ in elements:
@@ -250,19 +291,48 @@ def compiled(wrapper: str) -> tuple[re.Pattern, dict[str, str], set[str], set[st
             letters.setdefault(p, chr(0xF0000 + len(letters)))
     times = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}
     body = "".join(f"((?:{''.join(letters[p] for p in paths)}){times[optional, many]})" for paths, optional, many in elements)
-    return re.compile(body), letters, set(found.get("marked") or ()), set(found.get("loose") or ())
+    return re.compile(body), letters, found.get("slots") or {}
 
 
-def article(page: str, wrapper: str) -> str:
-    """The texts in the article's slots of a page, one block a line."""
+def matched(page: str, wrapper: str) -> Iterator[tuple[str, str, str, int]]:
+    """A page's blocks with the slot each is in: the wrapper's element and, as that may be a group, the path in it."""
     found = blocks(page)
-    expression, letters, marked, loose = compiled(wrapper)
+    expression, letters, _ = compiled(wrapper)
     fit = expression.fullmatch("".join(letters.get(path, "-") for path, _, _ in found))
     if fit is None:
         raise ValueError("a page that its host's wrapper does not describe")
-    slots = marked if any(path in marked for path, _, _ in found) else loose
-    spans = (found[fit.start(k) : fit.end(k)] for k in range(1, expression.groups + 1) if fit.start(k) >= 0)
-    return "\n".join(text for span in spans for path, text, _ in span if path in slots)
+    for k in range(1, expression.groups + 1):
+        for path, text, linked in found[max(0, fit.start(k)) : max(0, fit.end(k))]:
+            yield f"{k} {path}", path, text, linked
+
+
+def article(page: str, wrapper: str) -> str:
+    """The texts in the article's slots of a page, one block a line.
+
+    In pages with marked elements the article is what is marked and not dropped; in others what is not dropped, not mostly
+    links and not the same on all of the host's pages. A hint drops what is short, mostly
+    links or the same on all pages (a form or header: the last two), but not where most of the page's text is.
+    """
+    traits = compiled(wrapper)[2]
+    rows = [(path.split(">"), text, traits.get(slot, "")) for slot, path, text, _ in matched(page, wrapper)]
+    rows = [r for r in rows if not any(name[0] == "!" for name in r[0])]
+    marked = [r for r in rows if not MARKS.isdisjoint(r[0])]
+    rows, loose = marked or rows, "" if marked else "cl"
+    chars: dict[str, int] = {}
+    for names, text, _ in rows:
+        for name in names:
+            if name[0] == "?":
+                chars[name] = chars.get(name, 0) + len(text)
+    half = sum(len(text) for _, text, _ in rows) / 2
+
+    def kept(names: list[str], like: str, against: str) -> bool:
+        for name in names:
+            if name[0] == "?" and chars[name] <= half:
+                against += "cl" if name[1:].split(".")[0] in DOUBTFUL else "cls"
+        return not set(against) & set(like)
+
+    texts = [text for names, text, like in rows if kept(names, like, loose)]
+    return "\n".join(texts)
 
 
 def extract(pages: DataFrame, small: int = 100_000) -> DataFrame:
@@ -272,8 +342,7 @@ def extract(pages: DataFrame, small: int = 100_000) -> DataFrame:
     the pages; more are joined. Rows are neither merged nor dropped; other columns are not read.
     """
     rows = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    known = settle(wrappers(rows), "wrappers")
-    joined = rows.join(F.broadcast(known) if known.count() <= small else known, "host")
+    joined = with_wrappers(rows, settle(wrappers(rows, small=small), "wrappers"), small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
