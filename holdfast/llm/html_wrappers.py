@@ -39,7 +39,7 @@ MARKS = {"article", "main"}
 NAMED_FREELY = MARKS | set("p h1 h2 h3 h4 h5 h6".split())
 #: Mean characters of a block below which a hint is believed.
 SHORT = 200
-DROPPED = set("head nav header footer aside form button select dialog menu".split())
+DROPPED = set("head nav footer aside button select dialog menu".split())
 #: Hints only, as are the words: what the slot is like decides.
 DOUBTFUL = {"header", "form"}
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -59,7 +59,6 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 DIGITS = re.compile(r"[0-9]+")
-WORD = re.compile(r"[a-z]+")
 
 
 def region(tag: str, attrs: str, inside: bool = False) -> str:
@@ -76,8 +75,8 @@ def region(tag: str, attrs: str, inside: bool = False) -> str:
             return "!"
         if name == "role" and value in DROPPED_ROLES:
             found = "!"
-        elif name in ("class", "id") and DROPPED_WORDS & set(WORD.findall(value)):
-            found = "!"
+        elif name in ("class", "id") and tag not in NAMED_FREELY and DROPPED_WORDS & set(value.split()):
+            found = found or "?"
     return found
 
 
