@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import json
 import re
-import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -223,7 +222,7 @@ def slots(pages: DataFrame, few: int) -> DataFrame:
             sums: dict[tuple, list[int]] = {}
             digests: dict[tuple, set[int]] = {}
             for host, page, wrapper in zip(*(batch[c].to_pylist() for c in ("host", "html", "wrapper"))):
-                digest = uuid.uuid4().int >> 65
+                digest = xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
                 texts: dict[str, list[int]] = {}
                 for slot, _, text, linked in matched(page or "", wrapper):
                     t = texts.setdefault(slot, [0, 0, 0, 0])
@@ -309,7 +308,7 @@ def article(page: str, wrapper: str) -> str:
     """The texts in the article's slots of a page, one block a line.
 
     In pages with marked elements the article is what is marked and not dropped; in others what is not dropped, not mostly
-    links and not the same on all of the host's pages. A hint drops what is short, mostly
+    links and not the same on all of the host's pages, unless nothing else is left. A hint drops what is short, mostly
     links or the same on all pages (a form or header: the last two), but not where most of the page's text is.
     """
     traits = compiled(wrapper)[2]
@@ -331,7 +330,7 @@ def article(page: str, wrapper: str) -> str:
         return not set(against) & set(like)
 
     texts = [text for names, text, like in rows if kept(names, like, loose)]
-    return "\n".join(texts)
+    return "\n".join(texts or [text for names, text, like in rows if kept(names, like, loose.replace("c", ""))])
 
 
 def extract(pages: DataFrame, small: int = 100_000) -> DataFrame:

@@ -31,3 +31,19 @@ def test_names_alone_drop_nothing(spark, before, after):
 def test_hints_drop_what_is_short_constant_or_links(spark):
     page = "<div class='ad'>Buy {}</div><div class=related><a href=x>" + LEAD + "</a></div><div class=notice>" + 9 * LEAD.format(0) + "</div><p>" + 12 * LEAD
     assert texts(spark, [page.format(*[k] * 14) for k in range(4)]) == {k: (12 * LEAD).format(*[k] * 12) for k in range(4)}
+
+
+@pytest.mark.parametrize("copies", [1, 3, 10])
+def test_copies_of_a_page_keep_its_text(spark, copies):
+    page = "<h1>T</h1><p>" + LEAD.format(1)
+    assert texts(spark, [page] * copies) == {k: "T\n" + LEAD.format(1) for k in range(copies)}
+
+
+def test_a_page_is_not_emptied(spark):
+    """Different pages of equal texts."""
+    assert texts(spark, [f"<p title={k}>{LEAD.format(1)}" for k in range(5)]) == {k: LEAD.format(1) for k in range(5)}
+
+
+def test_an_equal_lead_of_two_pages_and_copies_stays(spark):
+    pages = ["<h1>Same</h1><p>" + LEAD.format(k % 2) for k in range(8)]
+    assert texts(spark, pages) == {k: "Same\n" + LEAD.format(k % 2) for k in range(8)}
