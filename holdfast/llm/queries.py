@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, html_wrappers, minhash, packing, records, rp_forest, suffixes, token_counts, topk, toxicity
+from holdfast.llm import byte_bpe, exact_radix, html_wrappers, minhash, packing, records, rp_forest, suffixes, token_counts, topk, toxicity
 from holdfast.sources.tables import read_table
 
 
@@ -62,9 +62,17 @@ def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
     return rp_forest.nearest(table(spark, folder, "embeddings"))
 
 
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    text = exact_radix.normalised(F.col("text"))
+    return exact_radix.exact_duplicates(table(spark, folder, "documents"), text, also={"text_sha256": F.sha2(text, 256)})
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_suffixes, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest)
+    for f in (
+        op1_minhash, op2_suffixes, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest,
+        op13_exact,
+    )
 }
 
 #: Integer scores of every query with every other row.
@@ -82,4 +90,14 @@ WITH rows AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op7_topk": TOPK}
+#: Documents equal but for the case of A-Z.
+EXACT = """
+WITH texts AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), classes AS (
+    SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN classes USING (t)
+"""
+
+ORACLES: dict[str, str] = {"op7_topk": TOPK, "op13_exact": EXACT}
