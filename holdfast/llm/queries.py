@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, exact_radix, html_wrappers, minhash, packing, records, rp_forest, suffixes, token_counts, topk, toxicity
+from holdfast.llm import byte_bpe, exact_radix, html_wrappers, minhash, packing, periodic_runs, records, rp_forest, suffixes, token_counts, topk, toxicity
 from holdfast.sources.tables import read_table
 
 
@@ -62,6 +62,34 @@ def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
     return rp_forest.nearest(table(spark, folder, "embeddings"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts of one document in ten, by the crc32 of its id, end in copies of some of their words.
+
+    Of n words those from a = g % n on repeat the first p = 1 + floor((n - a) / (3 + g % 8)) of them, g being the crc32 without its last digit.
+    """
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    planted = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, folder, "documents")))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
     text = exact_radix.normalised(F.col("text"))
     return exact_radix.exact_duplicates(table(spark, folder, "documents"), text, also={"text_sha256": F.sha2(text, 256)})
@@ -71,7 +99,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_suffixes, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest,
-        op13_exact,
+        op12_runs, op13_exact,
     )
 }
 
