@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from holdfast.llm import byte_bpe, exact_radix, html_wrappers, minhash, packing, periodic_runs, records, rp_forest, suffixes, token_counts, topk, toxicity
+from holdfast.llm import byte_bpe, exact_radix, html_wrappers, minhash, packing, periodic_runs, records, rp_forest, suffixes, token_counts, topk, toxicity, whitening
 from holdfast.sources.tables import read_table
 
 
@@ -62,6 +62,17 @@ def op10_rp_forest(spark: SparkSession, folder: str) -> DataFrame:
     return rp_forest.nearest(table(spark, folder, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.values]) if model else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Texts of one document in ten, by the crc32 of its id, end in copies of some of their words.
 
@@ -99,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_suffixes, op3_byte_bpe, op4_records, op5_token_counts, op6_toxicity, op7_topk, op8_html, op9_packing, op10_rp_forest,
-        op12_runs, op13_exact,
+        op11_whitening, op12_runs, op13_exact,
     )
 }
 
