@@ -7,12 +7,16 @@ trained in numpy by one task, on a bounded sample of labelled rows; scoring is a
 The decision threshold depends on the language, which is guessed from the words (the language column only
 teaches that guess). Thresholds are taken from all labelled rows the network was not trained on, by a histogram of
 outputs. A threshold is subtracted before the logistic function, so 0.5 is the border in every language.
+
+After training all weights are put on a grid and bounded so that every sum of a score is exact: a text's score
+does not depend on the texts it is judged together with, nor on the order of additions.
 """
 
 from __future__ import annotations
 
 import pickle
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +32,10 @@ from holdfast.sources.tables import settle
 BEGINNINGS = (4, 5)
 HASHES = 1 + len(BEGINNINGS)
 WIDTHS = (1, 2, 3)
+#: Grids of the fitted weights, and their bounds. Responses sum at most HASHES * size * sum(WIDTHS) products of a word's
+#: vector (below 8, in steps of 2**-7) and a filter (below 4, in steps of 2**-7): fewer than 2**24 steps, exact in 32 bits.
+#: Outputs then sum numbers below 2**11 in steps of 2**-14 times weights below 16 in steps of 2**-16: exact in 64 bits.
+GRIDS = {"embedding": (2.0**-7, 8 / HASHES), "filters": (2.0**-7, 4.0), "bias": (2.0**-14, 64.0), "output": (2.0**-16, 16.0), "language": (2.0**-10, 64.0)}
 #: Bins of the histogram of outputs: so many a unit, for outputs up to the limit.
 BINS, LIMIT = 256, 40
 
@@ -46,6 +54,7 @@ class Settings:
     rate: float = 0.02
     prior: float = 5.0
     least_rows: int = 40
+    least_texts: int = 5
     seed: int = 7
 
 
@@ -114,7 +123,7 @@ def logits(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     vectors, starts, _ = padded(ids, counts, model.embedding)
     ends = np.stack([starts, stops(starts, counts)], axis=1).ravel()
     pooled = [np.maximum(np.maximum.reduceat(responses(vectors, f), ends)[::2] + b, 0) for f, b in zip(model.filters, model.bias)]
-    return np.concatenate(pooled, axis=1) @ model.output + model.constant
+    return np.concatenate(pooled, axis=1).astype(np.float64) @ model.output.astype(np.float64) + model.constant
 
 
 def languages(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -127,7 +136,7 @@ def languages(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def scores(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    z = logits(model, ids, counts).astype(np.float64) - model.thresholds[languages(model, ids, counts)]
+    z = logits(model, ids, counts) - model.thresholds[languages(model, ids, counts)]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -143,6 +152,18 @@ def _log_odds(ids: np.ndarray, counts: np.ndarray, toxic: np.ndarray, size: int,
     return np.where(ones + zeros > 0, odds, 0).astype(np.float32)
 
 
+def on_grid(values: np.ndarray, kind: str) -> np.ndarray:
+    """Values rounded to the grid of their kind, those beyond its bound put on the last point within."""
+    step, bound = GRIDS[kind]
+    return (np.clip(np.rint(values / step), -(bound // step), bound // step) * step).astype(np.float32)
+
+
+def _settle_weights(model: Model) -> None:
+    model.embedding, model.output = on_grid(model.embedding, "embedding"), on_grid(model.output, "output")
+    model.filters, model.bias = [on_grid(f, "filters") for f in model.filters], [on_grid(b, "bias") for b in model.bias]
+    model.constant = float(on_grid(np.array(model.constant), "bias"))
+
+
 def _split(ids: np.ndarray, counts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[np.repeat(keep, counts)], counts[keep]
 
@@ -163,6 +184,7 @@ def train(texts: list[str], toxic: np.ndarray, lang: list[str], part: np.ndarray
     model = Model(settings, embedding, filters, [np.zeros(settings.filters, np.float32) for _ in WIDTHS], rng.normal(0, 0.1, len(WIDTHS) * settings.filters).astype(np.float32))
     if len(texts):
         _descend(model, *_split(ids, counts, keeps[1]), toxic[keeps[1]], rng)
+    _settle_weights(model)
     _learn_languages(model, ids, counts, lang)
     _calibrate(model, *_split(ids, counts, keeps[2]), toxic[keeps[2]])
     return model
@@ -215,14 +237,15 @@ def _descend(model: Model, ids: np.ndarray, counts: np.ndarray, toxic: np.ndarra
 
 
 def _learn_languages(model: Model, ids: np.ndarray, counts: np.ndarray, lang: list[str]) -> None:
-    """Log-probabilities of words in each language of the sample."""
-    model.languages = sorted({x for x in lang if x is not None}) or ["und"]
+    """Log-probabilities of words in each language with least_texts texts in the sample or more."""
+    seen_in = Counter(x for x in lang if x is not None)
+    model.languages = sorted(x for x, n in seen_in.items() if n >= model.settings.least_texts) or ["und"]
     number = {x: k for k, x in enumerate(model.languages)}
     of = np.repeat(np.array([number.get(x, -1) for x in lang], np.int64), counts)
     words = np.empty((1 << model.settings.bits, len(model.languages)), np.float32)
     for k in range(len(model.languages)):
         seen = np.bincount(ids[of == k, 0], minlength=len(words))
-        words[:, k] = np.log((seen + 0.1) / (seen.sum() + 0.1 * len(words)))
+        words[:, k] = on_grid(np.log((seen + 0.1) / (seen.sum() + 0.1 * len(words))), "language")
     model.language_words = words
 
 
@@ -320,7 +343,7 @@ def calibrated(model: bytes, texts: DataFrame, labels: DataFrame, small: int = 1
         for batch in batches:
             for first, some in groups(batch["text"].to_pylist(), 1_000_000):
                 words = word_ids(some, cache)
-                bins = np.floor(np.clip(logits(fitted, *words).astype(np.float64), -LIMIT, LIMIT) * BINS)
+                bins = np.floor(np.clip(logits(fitted, *words), -LIMIT, LIMIT) * BINS)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, len(some)), pa.array(languages(fitted, *words), pa.int32()), pa.array(bins.astype(np.int32))], ["doc_id", "guess", "bin"]
                 )

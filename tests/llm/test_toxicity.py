@@ -66,4 +66,29 @@ def test_batching_does_not_matter():
     cache = toxicity.hashed_words(SMALL.bits)
     together = toxicity.scores(model, *toxicity.word_ids(texts, cache))
     alone = [toxicity.scores(model, *toxicity.word_ids([t], cache))[0] for t in texts]
-    assert np.allclose(together, alone, atol=1e-5)
+    assert together.tolist() == alone
+
+
+def test_sums_are_exact():
+    """Any order of additions gives the same outputs: products in 32 bits equal those in whole numbers."""
+    rng = np.random.default_rng(1)
+    words = ["idiot", "tree", "a", "sea", "moron", "house", "über", "day"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(200)]
+    model = toxicity.train(texts, np.array([int("idiot" in t) for t in texts]), ["en"] * 200, np.arange(200) % 3, SMALL)
+    ids, counts = toxicity.word_ids(texts, toxicity.hashed_words(SMALL.bits))
+    vectors, _, _ = toxicity.padded(ids, counts, model.embedding)
+    for f in model.filters:
+        whole = np.zeros((len(vectors), f.shape[2]), np.int64)
+        for j in range(len(f)):
+            whole[: len(vectors) - j] += np.rint(vectors[j:] * 2**7).astype(np.int64) @ np.rint(f[j] * 2**7).astype(np.int64)
+        assert np.abs(whole).max() < 2**24 and np.array_equal(toxicity.responses(vectors, f), whole / 2.0**14)
+    order = rng.permutation(len(texts))
+    mixed = toxicity.scores(model, *toxicity.word_ids([texts[k] for k in order], toxicity.hashed_words(SMALL.bits)))
+    assert np.array_equal(mixed, toxicity.scores(model, ids, counts)[order])
+
+
+def test_rare_languages_are_not_learned():
+    texts = ["one two"] * 10 + ["drei vier"] * 10 + ["x"] * 30
+    lang = ["en"] * 10 + ["de"] * 10 + [f"noise{k}" for k in range(30)]
+    model = toxicity.train(texts, np.arange(50) % 2, lang, np.arange(50) % 3, SMALL)
+    assert model.languages == ["de", "en"] and model.language_words.shape[1] == 2
