@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.llm.pieces import byte_level_pieces, groups, library_cache
+from holdfast.llm.pieces import groups, merges_by_rank, text_encoder
 from holdfast.sources.tables import fresh_path, settle
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -32,16 +32,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 
     A null or empty text is the end id alone. Rows with equal doc_id are separate documents.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end, by_rank = np.array([end_id], "<u4").tobytes(), merges_by_rank(tokenizer)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer, "<u4")
+        encoder = text_encoder(tokenizer, "<u4", by_rank)
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
             for first, some in groups(texts):
                 rows = []
-                for doc, found in zip(ids[first:], cache.encode([byte_level_pieces(t) for t in some])):
+                for doc, found in zip(ids[first:], encoder.encode(some)):
                     found, start = found + end, 0
                     for k, n in enumerate(cut_lengths(len(found) // 4, capacity)):
                         rows.append((doc, k, start, n, zlib.crc32(found[4 * start : 4 * (start + n)])))

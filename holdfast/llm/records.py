@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from holdfast.llm.pieces import groups, library_cache, spaceless_pieces
+from holdfast.llm.pieces import groups, merges_by_rank, text_encoder
 from holdfast.sources.tables import fresh_path, settle
 
 #: Fixed values of the mask.
@@ -111,13 +111,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     written one after the other. No documents give no files. Files follow each other in doc_id order. A task that runs again
     writes new files; only those on the returned, stored list count.
     """
+    by_rank = merges_by_rank(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, writer = library_cache(tokenizer, width), np.array([end_id], width).tobytes(), None
+        encoder, end, writer = text_encoder(tokenizer, width, by_rank), np.array([end_id], width).tobytes(), None
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
             for first, some in groups(texts):
-                for doc, found in zip(ids[first:], cache.encode([spaceless_pieces(t) for t in some])):
+                for doc, found in zip(ids[first:], encoder.encode(some)):
                     writer = writer or Writer(folder, width)
                     writer.add(doc, found + end)
                     if writer.at >= file_bytes:

@@ -1,6 +1,7 @@
 """Piecewise encoding, the tree encoder, record files and section counts against the libraries themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from holdfast.llm import byte_bpe, records, token_counts
-from holdfast.llm.pieces import byte_level_pieces, groups, library_cache, library_tokenizer, rank_cache, rank_encoding, spaceless_pieces
+from holdfast.llm.pieces import TextEncoder, byte_level_pieces, groups, library_tokenizer, merges_by_rank, rank_cache, rank_encoding
 
 RANKS, MULTI = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_multi_50k.tiktoken")
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -21,13 +22,39 @@ def some_texts(count, seed, longest=60):
     return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, longest))) for _ in range(count)]
 
 
-def test_pieces_give_the_libraries_tokens():
-    byte_level, spaceless, encoding = library_tokenizer(BYTES), library_tokenizer(WORDS), rank_encoding(MULTI, P.PATTERN)
+ALPHABETS = (ALPHABET, "ab '’́éÉß\x1c\t\nİ漢😀09.,!\x85 sİª²½ĳ\x00~dʰ", "abC 'sétlÉßmdrv\n09.,!ª²½ĳ~", "ab  '\t\n9.!")
+
+
+def test_rank_pieces_give_the_librarys_tokens():
+    encoding = rank_encoding(MULTI, P.PATTERN)
     for text in some_texts(1500, 1, 30):
-        numbers = lambda cache, pieces, width: np.frombuffer(cache.encode([pieces])[0], width).tolist()
-        assert numbers(library_cache(BYTES, "<u4"), byte_level_pieces(text), "<u4") == byte_level.encode(text, add_special_tokens=False).ids
-        assert numbers(library_cache(WORDS, "<u2"), spaceless_pieces(text), "<u2") == spaceless.encode(text, add_special_tokens=False).ids
-        assert numbers(rank_cache(MULTI, P.PATTERN), byte_level_pieces(text), "<u4") == encoding.encode_ordinary(text)
+        assert np.frombuffer(rank_cache(MULTI, P.PATTERN).encode([byte_level_pieces(text)])[0], "<u4").tolist() == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("by_rank", [True, False])
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_text_encoder_gives_the_librarys_tokens(path, by_rank):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500) for letters in ALPHABETS]
+    texts += ["", " ", "<|endoftext|> a", "'S it's 'tis we'll 'LL don't", "x" * 3000 + " " + "y" * 3000, "\n\n a  b", "plain words, and 12 numbers"]
+    encoder = TextEncoder(path, "<u4", by_rank)
+    want = [e.ids for e in library_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_merging_by_rank_is_allowed_only_where_it_is_the_same(tmp_path):
+    assert merges_by_rank(BYTES) and merges_by_rank(WORDS)
+    letters = {c: k for k, c in enumerate("abc")}
+
+    def file(name, merges, vocab):
+        path = tmp_path / name
+        path.write_text(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+        return str(path)
+
+    assert merges_by_rank(file("good", ["a b", "ab c"], letters | {"ab": 3, "abc": 4}))
+    assert not merges_by_rank(file("falling", ["a b", "ab c"], letters | {"ab": 4, "abc": 3}))
+    # "bc" comes first, so that "abc" is never formed from "ab" and "c", but by rank it would be from "a" and "bc".
+    assert not merges_by_rank(file("unreachable", ["b c", "a b", "ab c"], letters | {"bc": 3, "ab": 4, "abc": 5}))
 
 
 def test_cache_stays_bounded():
