@@ -2,20 +2,24 @@
 
 Each root-to-leaf path is a product game over its distinct features: a feature
 inside the path's interval contributes 1, one outside 0, and an absent one the
-share of training weight that followed the path. A row therefore meets a path
-in one of 2**d patterns, whose Shapley values are tabulated once; rows only look
-them up. Reference: Lundberg et al. 2018 (path-dependent tree explanations).
+share of training weight that followed the path. A feature's value is its own
+change times the others' products, averaged over coalitions with weights
+s! (d - 1 - s)! / d!. As these weights are the integrals of t**s (1 - t)**(d - 1 - s)
+from 0 to 1, the average is the integral of one polynomial, the product of
+zero * (1 - t) + inside * t over the other features. It has degree d - 1, so
+Gauss-Legendre quadrature with d / 2 nodes is exact, and the work for a path is
+quadratic in its length. Reference: Lundberg et al. 2018 (path-dependent tree
+explanations).
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -23,6 +27,10 @@ from holdfast.sources.tables import settle
 
 LOG_ODDS = 2.0  # the probability is sigmoid(2 * margin)
 BROADCAST_BYTES = 256 * 1024 * 1024
+BLOCK_ROWS = 256
+BLOCK_PAIRS = 16_384  # paths times rows whose factors stay in the processor cache
+
+PATHS = "tree int, value double, share double, feature array<int>, low array<double>, high array<double>, zero array<double>"
 
 
 @dataclass
@@ -32,89 +40,121 @@ class Paths:
     features: np.ndarray  # (paths, d)
     low: np.ndarray  # (paths, d): inside means low < x <= high
     high: np.ndarray
-    table: np.ndarray  # (paths, d, 2**d): Shapley value by feature and pattern
+    zero: np.ndarray  # (paths, d): factor of an absent feature
+    value: np.ndarray  # (paths,)
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        return self.features, self.low, self.high, self.zero, self.value
 
     @property
     def nbytes(self) -> int:
-        return self.features.nbytes + self.low.nbytes + self.high.nbytes + self.table.nbytes
+        return sum(a.nbytes for a in self._arrays())
 
     def part(self, start: int, stop: int) -> Paths:
-        return Paths(*(a[start:stop] for a in (self.features, self.low, self.high, self.table)))
-
-
-def shapley_tables(zero: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    """Shapley values of all patterns of many product games.
-
-    zero (paths, d) holds the factor of an absent feature, leaf (paths,) the
-    value of the leaf. Bit j of a pattern tells whether feature j is inside.
-    """
-    paths, d = zero.shape
-    inside = (np.arange(2**d)[:, None] >> np.arange(d)) & 1  # (2**d, d)
-    weights = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-    table = np.empty((paths, d, 2**d))
-    for j in range(d):
-        # Coefficient s collects the coalitions of s other features.
-        sizes = np.zeros((paths, 2**d, d))
-        sizes[..., 0] = 1.0
-        for k in range(d):
-            if k != j:
-                joined = np.roll(sizes, 1, axis=-1) * inside[None, :, k, None]
-                joined[..., 0] = 0.0
-                sizes = sizes * zero[:, None, k, None] + joined
-        table[:, j, :] = (sizes @ np.array(weights)) * (inside[None, :, j] - zero[:, None, j]) * leaf[:, None]
-    return table
-
-
-def flatten(nodes: list) -> tuple[float, list[Paths]]:
-    """Baseline and paths of an ensemble given its node rows."""
-    trees: dict[int, dict[int, object]] = defaultdict(dict)
-    for node in nodes:
-        trees[node["treeID"]][node["node"]] = node
-    base = 0.0
-    grouped: dict[int, list] = defaultdict(list)
-    for tree in trees.values():
-        stack = [(tree[0], {}, 1.0)]
-        while stack:
-            node, seen, share = stack.pop()
-            if node["left"] < 0:
-                value = LOG_ODDS * node["weight"] * node["prediction"]
-                base += value * share
-                grouped[len(seen)].append((seen, value))
-                continue
-            if node["categories"] != -1:
-                raise ValueError("categorical splits are not expected: all features are numbers")
-            feature, threshold = node["feature"], node["threshold"]
-            for child, left in ((tree[node["left"]], True), (tree[node["right"]], False)):
-                part = child["cover"] / node["cover"]
-                low, high, zero = seen.get(feature, (-np.inf, np.inf, 1.0))
-                bounds = (low, min(high, threshold)) if left else (max(low, threshold), high)
-                stack.append((child, {**seen, feature: (*bounds, zero * part)}, share * part))
-    groups = []
-    for d, paths in sorted(grouped.items()):
-        if d == 0:
+        return Paths(*(a[start:stop] for a in self._arrays()))
+
+
+def _paths_of_tree(nodes: list[dict]) -> list[tuple]:
+    """Rows of PATHS for one tree."""
+    tree = {node["node"]: node for node in nodes}
+    found, stack = [], [(tree[0], {}, 1.0)]
+    while stack:
+        node, seen, share = stack.pop()
+        if node["left"] < 0:
+            value = LOG_ODDS * node["weight"] * node["prediction"]
+            low, high, zero = ([side[k] for side in seen.values()] for k in range(3))
+            found.append((node["treeID"], value, share, list(seen), low, high, zero))
             continue
-        sides = np.array([list(seen.values()) for seen, _ in paths])  # (paths, d, 3)
-        groups.append(
-            Paths(
-                np.array([list(seen) for seen, _ in paths]),
-                sides[..., 0],
-                sides[..., 1],
-                shapley_tables(sides[..., 2], np.array([value for _, value in paths])),
-            )
-        )
+        if node["categories"] != -1:
+            raise ValueError("categorical splits are not expected: all features are numbers")
+        feature, threshold = node["feature"], node["threshold"]
+        for child, left in ((tree[node["left"]], True), (tree[node["right"]], False)):
+            part = child["cover"] / node["cover"]
+            low, high, zero = seen.get(feature, (-np.inf, np.inf, 1.0))
+            bounds = (low, min(high, threshold)) if left else (max(low, threshold), high)
+            stack.append((child, {**seen, feature: (*bounds, zero * part)}, share * part))
+    return found
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """Paths of an ensemble's trees, a tree at a time: what a leaf adds to the log-odds, the share of training
+    weight that reaches it, and for each distinct feature on the way its interval and its factor when absent."""
+    schema = pa.schema([("tree", pa.int32()), ("value", pa.float64()), ("share", pa.float64()), ("feature", pa.list_(pa.int32()))])
+    for name in ("low", "high", "zero"):
+        schema = schema.append(pa.field(name, pa.list_(pa.float64())))
+
+    def work(tree: pa.Table) -> pa.Table:
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*_paths_of_tree(tree.to_pylist())), schema, strict=True)], schema=schema)
+
+    return nodes.groupBy("treeID").applyInArrow(work, PATHS)
+
+
+def collected_paths(paths: DataFrame) -> tuple[float, list[Paths]]:
+    """Baseline and paths by length; what reaches the driver is bounded by the model."""
+    table = paths.orderBy("tree").toArrow()
+    value = table["value"].to_numpy()
+    base, length = float(value @ table["share"].to_numpy()), pa.compute.list_value_length(table["feature"]).to_numpy()
+    groups = []
+    for d in sorted(set(length.tolist()) - {0}):
+        own = np.flatnonzero(length == d)
+        columns = [table[c].take(own).combine_chunks().flatten().to_numpy().reshape(-1, d) for c in ("feature", "low", "high", "zero")]
+        groups.append(Paths(*columns, value[own]))
     return base, groups
 
 
+def path_values(inside: np.ndarray, zero: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values (d, paths, rows) of product games; inside (d, paths, rows) is 0 or 1, zero (paths, d)."""
+    d = len(inside)
+    nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    out, factors, after = np.zeros(inside.shape), np.empty(inside.shape), np.empty(inside.shape)
+    for t, weight in zip((nodes + 1) / 2, weights / 2):
+        np.multiply(inside, t, out=factors)
+        factors += (zero.T * (1 - t))[:, :, None]
+        after[d - 1] = weight
+        for k in range(d - 1, 0, -1):  # products of the factors behind a feature, then of those before it
+            np.multiply(after[k], factors[k], out=after[k - 1])
+        before = factors[0]
+        out[0] += after[0]
+        for k in range(1, d):
+            after[k] *= before
+            out[k] += after[k]
+            if k < d - 1:
+                before = before * factors[k]
+    out *= inside - zero.T[:, :, None]
+    out *= value[None, :, None]
+    return out
+
+
 def contributions(x: np.ndarray, groups: list[Paths]) -> np.ndarray:
-    """Shapley values (features, rows) for the feature matrix x (features, rows)."""
-    phi = np.zeros_like(x)
+    """Shapley values (features, rows) for the feature matrix x (features, rows).
+
+    A row meets a path in one of 2**d patterns of features inside. The polynomials are evaluated for all patterns
+    or for all rows, whichever are fewer.
+    """
+    phi = np.zeros(x.shape)
     for group in groups:
-        for features, low, high, table in zip(group.features, group.low, group.high, group.table):
-            pattern = np.zeros(x.shape[1], dtype=np.int64)
-            for bit, (f, lo, hi) in enumerate(zip(features, low, high)):
-                pattern |= ((x[f] > lo) & (x[f] <= hi)).astype(np.int64) << bit
-            for f, values in zip(features, table):
-                phi[f] += values[pattern]
+        d = group.features.shape[1]
+        patterns = 1 << d if d < 20 and 1 << d < x.shape[1] else 0
+        size = max(1, BLOCK_PAIRS // min(x.shape[1], BLOCK_ROWS))
+        bits = (np.arange(patterns) >> np.arange(d)[:, None]) & 1
+        for start in range(0, len(group.value), size):
+            paths = group.part(start, start + size)
+            features, low, high = paths.features.T, paths.low.T[:, :, None], paths.high.T[:, :, None]
+            place = np.zeros((len(x), features.size))
+            place[features.ravel(), np.arange(features.size)] = 1.0
+            if patterns:
+                all_met = np.broadcast_to(bits[:, None, :], (d, len(paths.value), patterns)).astype(np.float64)
+                table = path_values(all_met, paths.zero, paths.value).reshape(d, -1)
+                offset = np.arange(len(paths.value))[:, None] * patterns
+            for first in range(0, x.shape[1], BLOCK_ROWS):
+                met = x[:, first : first + BLOCK_ROWS][features]  # (d, paths, rows)
+                inside = (met > low) & (met <= high)
+                if patterns:
+                    which = offset + sum(inside[k].astype(np.int64) << k for k in range(d))
+                    values = np.stack([table[k].take(which) for k in range(d)])
+                else:
+                    values = path_values(inside.astype(np.float64), paths.zero, paths.value)
+                phi[:, first : first + BLOCK_ROWS] += place @ values.reshape(features.size, -1)
     return phi
 
 
@@ -123,15 +163,15 @@ def _chunks(groups: list[Paths], limit: int) -> list[list[Paths]]:
     chunks: list[list[Paths]] = [[]]
     room = limit
     for group in groups:
-        per_path = max(1, group.nbytes // len(group.features))
+        per_path = max(1, group.nbytes // len(group.value))
         start = 0
-        while start < len(group.features):
+        while start < len(group.value):
             fit = room // per_path
             if fit == 0 and chunks[-1]:
                 chunks.append([])
                 room = limit
                 continue
-            stop = min(len(group.features), start + max(1, fit))
+            stop = min(len(group.value), start + max(1, fit))
             chunks[-1].append(group.part(start, stop))
             room -= per_path * (stop - start)
             start = stop
@@ -142,11 +182,11 @@ def explain(df: DataFrame, nodes: DataFrame, vector: str = "features", limit: in
     """Add base, value (array) and shap (array) to a table with a feature vector.
 
     The work is narrow: every task explains its own rows against the broadcast
-    path tables. Shapley values add up over paths, so an ensemble too large for
+    paths. Shapley values add up over paths, so an ensemble too large for
     one broadcast is explained in several passes over a stored table.
     """
     spark = df.sparkSession
-    base, groups = flatten(nodes.collect())
+    base, groups = collected_paths(tree_paths(nodes))
     kept = [c for c in df.columns if c != vector]
     out = df.select(
         *kept, F.lit(base).alias("base"), vector_to_array(vector).alias("value"), F.lit(None).cast("array<double>").alias("shap")

@@ -420,7 +420,67 @@ grid AS (SELECT low + i * ((high - low) / 199) AS x
          FROM (SELECT min(x) AS low, max(x) AS high FROM points), range(200) r(i))"""
 
 
+#: Rows walk down the hand-written trees; nodes count the rows that pass them.
+TREE_CTES = (
+    """rows_in AS (SELECT CLIENTNUM AS id, churn AS y, [CAST(Total_Trans_Ct AS DOUBLE), CAST(Contacts_Count_12_mon AS DOUBLE),
+                       CAST(Credit_Limit AS DOUBLE), CAST(Months_Inactive_12_mon AS DOUBLE)] AS f FROM customers)""",
+    """nodes(tree, node, l, r, feature, threshold, leaf) AS (VALUES
+        (0, 0, 1, 2, 0, 39.0, 0.0), (0, 1, 3, 4, 1, 1.0, 0.0), (0, 2, -1, -1, -1, 0.0, -1.6), (0, 3, 5, 6, 0, 25.0, 0.0),
+        (0, 4, -1, -1, -1, 0.0, 1.8), (0, 5, -1, -1, -1, 0.0, 0.8), (0, 6, -1, -1, -1, 0.0, -0.4),
+        (1, 0, 1, 2, 2, 14500.0, 0.0), (1, 1, 3, 4, 3, 4.0, 0.0), (1, 2, 5, 6, 0, 45.0, 0.0), (1, 3, -1, -1, -1, 0.0, -0.06),
+        (1, 4, -1, -1, -1, 0.0, 0.14), (1, 5, -1, -1, -1, 0.0, 0.02), (1, 6, -1, -1, -1, 0.0, -0.1))""",
+    """walk(id, tree, node) AS (
+        SELECT id, tree, 0 FROM rows_in, (VALUES (0), (1)) t(tree)
+        UNION ALL
+        SELECT w.id, w.tree, CASE WHEN f[feature + 1] <= threshold THEN l ELSE r END
+        FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node JOIN rows_in i ON w.id = i.id WHERE l >= 0)""",
+    """passed AS (SELECT tree, node, count(*) AS n, var_pop(y) AS spread FROM walk JOIN rows_in USING (id) GROUP BY tree, node)""",
+)
+
+
+def _fixed_shap() -> str:
+    """Expected outputs for all 16 sets of known columns, and Shapley's formula over them."""
+    names = ["Total_Trans_Ct", "Contacts_Count_12_mon", "Credit_Limit", "Months_Inactive_12_mon"]
+    weight = "CASE bit_count(a.s) WHEN 0 THEN 6 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 6 END / 24.0"
+    parts = ", ".join(
+        f"round(sum(CASE WHEN (a.s & {1 << k}) = 0 AND b.s = (a.s | {1 << k}) THEN {weight} * (b.v - a.v) END), 9) AS shap_{name}"
+        for k, name in enumerate(names)
+    )
+    sql = _with(
+        f"""SELECT a.id AS CLIENTNUM, round(any_value(CASE WHEN a.s = 0 THEN a.v END), 9) AS base, {parts}
+FROM expected a JOIN expected b ON a.id = b.id GROUP BY a.id""",
+        *TREE_CTES,
+        """known(id, s, tree, node, w) AS (
+        SELECT id, s, tree, 0, CAST(1 AS DOUBLE) FROM rows_in, range(16) c(s), (VALUES (0), (1)) t(tree)
+        UNION ALL
+        SELECT k.id, k.s, k.tree, c.node,
+               k.w * CASE WHEN (k.s >> n.feature) & 1 = 0 THEN c.n / CAST(p.n AS DOUBLE)
+                          WHEN (f[n.feature + 1] <= n.threshold) = (c.node = n.l) THEN 1 ELSE 0 END
+        FROM known k JOIN nodes n ON k.tree = n.tree AND k.node = n.node JOIN rows_in i ON k.id = i.id
+             JOIN passed p ON p.tree = k.tree AND p.node = k.node
+             JOIN passed c ON c.tree = k.tree AND (c.node = n.l OR c.node = n.r) WHERE n.l >= 0)""",
+        """expected AS (SELECT id, s, sum(w * leaf) AS v FROM known k JOIN nodes n ON k.tree = n.tree AND k.node = n.node WHERE l < 0 GROUP BY id, s)""",
+    )
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _fixed_gain() -> str:
+    sql = _with(
+        """SELECT name AS feature, round(coalesce(g, 0) / sum(coalesce(g, 0)) OVER (), 9) AS importance
+FROM (VALUES (0, 'Total_Trans_Ct'), (1, 'Contacts_Count_12_mon'), (2, 'Credit_Limit'), (3, 'Months_Inactive_12_mon')) f(feature, name)
+     LEFT JOIN by_feature USING (feature)""",
+        *TREE_CTES,
+        """by_feature AS (SELECT feature, avg(p.n * p.spread - coalesce(a.n * a.spread, 0) - coalesce(b.n * b.spread, 0)) AS g
+        FROM nodes n JOIN passed p ON p.tree = n.tree AND p.node = n.node
+             LEFT JOIN passed a ON a.tree = n.tree AND a.node = n.l LEFT JOIN passed b ON b.tree = n.tree AND b.node = n.r
+        WHERE n.l >= 0 GROUP BY feature)""",
+    )
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLES: dict[str, str] = {
+    "shap_fixed_trees": _fixed_shap(),
+    "gain_fixed_trees": _fixed_gain(),
     "ingest_customers": _with("SELECT * FROM customers"),
     "table_roundtrip": _with(
         """SELECT count(*) AS n_rows, 0 AS n_missing_columns, CAST(sum(CLIENTNUM) AS BIGINT) AS id_sum,

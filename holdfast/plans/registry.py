@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.functions import expressions as E
 from holdfast.functions.fixed import DISTRIBUTIONS, FEATURES, ID, LABEL
-from holdfast.operators import business, contributions, metrics, models, profile, quality, split
+from holdfast.operators import business, contributions, metrics, models, profile, quality, split, treeshap
 from holdfast.operators.features import (
     CustomerFeatures, count_unknowns, encode_gender, encode_nominals, encode_ordinals, engineer, fit_categories, log_columns,
 )
@@ -529,6 +530,40 @@ def shap_checks(s: Study) -> DataFrame:
     return row.withColumn("max_gap", contributions.additivity(s.explained).select("max_gap").scalar())
 
 
+#: Two small hand-written trees over these columns; on one path a column is asked for twice.
+TREE_COLUMNS = ["Total_Trans_Ct", "Contacts_Count_12_mon", "Credit_Limit", "Months_Inactive_12_mon"]
+TREE_NODES = [  # tree, weight, node, left, right, column, threshold, prediction
+    (0, 1.0, 0, 1, 2, 0, 39.0, 0.0), (0, 1.0, 1, 3, 4, 1, 1.0, 0.0), (0, 1.0, 2, -1, -1, -1, 0.0, -0.8), (0, 1.0, 3, 5, 6, 0, 25.0, 0.0),
+    (0, 1.0, 4, -1, -1, -1, 0.0, 0.9), (0, 1.0, 5, -1, -1, -1, 0.0, 0.4), (0, 1.0, 6, -1, -1, -1, 0.0, -0.2),
+    (1, 0.1, 0, 1, 2, 2, 14500.0, 0.0), (1, 0.1, 1, 3, 4, 3, 4.0, 0.0), (1, 0.1, 2, 5, 6, 0, 45.0, 0.0), (1, 0.1, 3, -1, -1, -1, 0.0, -0.3),
+    (1, 0.1, 4, -1, -1, -1, 0.0, 0.7), (1, 0.1, 5, -1, -1, -1, 0.0, 0.1), (1, 0.1, 6, -1, -1, -1, 0.0, -0.5),
+]
+
+
+def _fixed_trees(s: Study) -> tuple[DataFrame, DataFrame]:
+    """Customers with a vector, and the hand-written trees as these customers pass them."""
+    schema = "treeID int, weight double, node int, left int, right int, feature int, threshold double, prediction double"
+    shape = s.spark.createDataFrame(TREE_NODES, schema).withColumn("categories", F.lit(-1))
+    vector = array_to_vector(F.array(*[F.col(c).cast("double") for c in TREE_COLUMNS]))
+    rows = s.customers.select(ID, LABEL, vector.alias("features"))
+    return rows, s.stored("fixed-trees", lambda: models.measured_nodes(shape, rows))
+
+
+@query
+def shap_fixed_trees(s: Study) -> DataFrame:
+    """Exact contributions of the four columns under trees that SQL can walk."""
+    rows, nodes = _fixed_trees(s)
+    found = treeshap.explain(rows, nodes)
+    parts = [F.col("shap")[k].alias(f"shap_{name}") for k, name in enumerate(TREE_COLUMNS)]
+    return rounded(found.select(ID, "base", *parts), 9, "base", *(f"shap_{name}" for name in TREE_COLUMNS))
+
+
+@query
+def gain_fixed_trees(s: Study) -> DataFrame:
+    """Importance of the four columns by the fall in the churn flag's variance."""
+    return rounded(models.gain_importance(_fixed_trees(s)[1], TREE_COLUMNS), 9, "importance")
+
+
 _RISK = [ID, "model", "p", "prediction", "tier", "delta_points", "actions"]
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from holdfast.operators import treeshap
-from holdfast.operators.models import node_table
+from holdfast.operators.models import measured_nodes, node_table
 from holdfast.sources.tables import fresh_path
 
 
@@ -76,12 +76,90 @@ def test_passes_and_partitioning_do_not_matter(small):
 
     once = values(treeshap.explain(table, nodes))
     np.testing.assert_allclose(values(treeshap.explain(table.repartition(5), nodes)), once, atol=1e-12)
-    np.testing.assert_allclose(values(treeshap.explain(table, nodes, limit=20_000)), once, atol=1e-12)
+    np.testing.assert_allclose(values(treeshap.explain(table, nodes, limit=2_000)), once, atol=1e-12)
 
 
 def test_chunks_hold_every_path_once(small):
-    _, groups = treeshap.flatten(small[2].collect())
-    chunks = treeshap._chunks(groups, 20_000)
+    _, groups = treeshap.collected_paths(treeshap.tree_paths(small[2]))
+    chunks = treeshap._chunks(groups, 2_000)
     assert len(chunks) > 1
-    assert sum(len(p.features) for c in chunks for p in c) == sum(len(p.features) for p in groups)
-    assert all(sum(p.nbytes for p in c) <= 20_000 or len(c) == 1 for c in chunks)
+    assert sum(len(p.value) for c in chunks for p in c) == sum(len(p.value) for p in groups)
+    assert all(sum(p.nbytes for p in c) <= 2_000 or len(c) == 1 for c in chunks)
+
+
+def _games(d, inside, zero, value):
+    """Shapley values of one product game by its definition, all coalitions in turn."""
+    factor = [[zero[k], float(inside[k])] for k in range(d)]
+    worth = {}
+    for members in range(1 << d):
+        worth[members] = value * math.prod(factor[k][(members >> k) & 1] for k in range(d))
+    weight = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
+    return [sum(weight[m.bit_count()] * (worth[m | 1 << j] - worth[m]) for m in worth if not m >> j & 1) for j in range(d)]
+
+
+@pytest.mark.parametrize("d", [1, 2, 5, 12])
+def test_polynomials_against_all_coalitions(d):
+    rng = np.random.default_rng(d)
+    inside, zero, value = rng.random((d, 3, 4)) < 0.6, rng.random((3, d)), rng.normal(size=3)
+    zero[0, 0] = 0.0
+    found = treeshap.path_values(inside.astype(float), zero, value)
+    for p, r in itertools.product(range(3), range(4)):
+        np.testing.assert_allclose(found[:, p, r], _games(d, inside[:, p, r], zero[p], value[p]), atol=1e-13)
+
+
+@pytest.mark.parametrize("rows", [7, 700])
+def test_patterns_and_rows_give_the_same(rows, monkeypatch):
+    """Depth 12, fewer rows than patterns and more of them with shorter paths; additivity at each row."""
+    monkeypatch.setattr(treeshap, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(treeshap, "BLOCK_PAIRS", 256)
+    rng = np.random.default_rng(rows)
+    x, groups = rng.normal(size=(14, rows)), []
+    for d in (3, 8, 12):
+        low = rng.normal(-1, 1, (20, d))
+        features = np.array([rng.permutation(14)[:d] for _ in range(20)], np.int32)
+        groups.append(treeshap.Paths(features, low, low + 2, rng.random((20, d)), rng.normal(size=20)))
+    phi = treeshap.contributions(x, groups)
+    total = np.zeros(rows)
+    for g in groups:
+        for f, lo, hi, zero, value in zip(*g._arrays()):
+            total += value * (((x[f] > lo[:, None]) & (x[f] <= hi[:, None])).all(0) - zero.prod())
+    np.testing.assert_allclose(phi.sum(0), total, atol=1e-12)
+
+
+def test_deep_trees(spark, small):
+    """Trees of depth 12, all four features on most paths several times, against all coalitions."""
+    table, _, _ = small
+    model = GBTClassifier(labelCol="churn", maxIter=2, maxDepth=12, seed=3).fit(table)
+    nodes = node_table(spark, model, fresh_path(spark, "deep-trees"))
+    rows = nodes.collect()
+    for r in treeshap.explain(table.limit(10), nodes).collect():
+        base, phi = _brute(rows, r["value"])
+        assert r["base"] == pytest.approx(base, abs=1e-9)
+        np.testing.assert_allclose(r["shap"], phi, atol=1e-9)
+
+
+def test_measured_nodes(small):
+    """Covers and gains on another table, by sending its rows down one at a time."""
+    table, _, nodes = small
+    part = table.filter("CLIENTNUM % 3 = 0")
+    rows = [(r["features"].toArray(), r["churn"]) for r in part.collect()]
+    trees = {}
+    for n in nodes.collect():
+        trees.setdefault(n["treeID"], {})[n["node"]] = n
+    met = {}
+    for x, y in rows:
+        for t, tree in trees.items():
+            node = tree[0]
+            while True:
+                met.setdefault((t, node["node"]), []).append(y)
+                if node["left"] < 0:
+                    break
+                node = tree[node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]]
+    spread = lambda ys: np.var(ys) * len(ys) if ys else 0.0
+    found = measured_nodes(nodes, part).collect()
+    assert len(found) == sum(map(len, trees.values()))
+    for r in found:
+        mine, tree = met.get((r["treeID"], r["node"]), []), r["treeID"]
+        assert r["cover"] == len(mine)
+        gain = (spread(mine) - spread(met.get((tree, r["left"]), [])) - spread(met.get((tree, r["right"]), []))) / len(mine) if mine and r["left"] >= 0 else 0.0
+        assert r["gain"] == pytest.approx(gain, abs=1e-9)
