@@ -18,13 +18,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions import expressions as E
 from holdfast.functions.fixed import AGE_EDGES, AGE_LABELS, ID, LABEL, SEED, SEGMENTS
-from holdfast.functions.ordering import hash_key, running_totals, split_points
+from holdfast.functions.groups import with_group
+from holdfast.functions.ordering import hash_key
+from holdfast.functions.quantiles import quantiles
 from holdfast.sources.schema import numeric_columns
 from holdfast.sources.tables import settle
 
 PAIRS_PER_AGGREGATE = 16
-SENT = 10_000  # classes whose ranges are broadcast
 KERNEL_ROWS = 64  # a block of kernels stays in the processor cache
+LOSSLESS, CLOSE = 39.0, 8.5  # bandwidths a kernel reaches
+FEW = 64  # classes whose kernels every task sums for its own rows
+PIECE_ROWS = 100_000  # distinct values of a class that go to one task
+HELD = 4_000_000  # grid points a task holds before it hands them on
 
 
 def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -99,8 +104,8 @@ def histogram(
     """Equal-width histograms, the range taken per feature and class.
 
     Two scans for any number of columns. The last bin is closed; a constant
-    column has one bin of width 1; empty bins are kept. Ranges are a row per class;
-    up to SENT of them are sent to the rows, more are joined.
+    column has one bin of width 1; empty bins are kept. Ranges are a row per class
+    in a table joined to the rows.
     """
     df, group = _classed(df, by, classes)
     finite = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns]
@@ -109,8 +114,7 @@ def histogram(
         F.struct(F.min(f"x{i}").alias("low"), F.max(f"x{i}").alias("high"), F.count(f"x{i}").alias("total"))
         for i in range(len(columns))
     ]
-    by_class = settle(rows.groupBy("by").agg(F.array(*bounds).alias("bounds")), "ranges")
-    sent = F.broadcast(by_class) if by_class.count() <= SENT else by_class
+    by_class = settle(rows.groupBy("by").agg(F.array(*bounds).alias("bounds"), F.count("*").alias("n_rows")), "ranges")
 
     def width(low: Column, high: Column) -> Column:
         return F.when(high > low, (high - low) / bins).otherwise(1.0)
@@ -122,7 +126,7 @@ def histogram(
 
     places = F.array(*[F.struct(F.lit(c).alias("feature"), place(i).alias("bin")) for i, c in enumerate(columns)])
     counts = (
-        rows.join(sent, "by").select("by", F.inline(places)).filter("bin is not null")
+        with_group(rows, by_class, "by", "n_rows").select("by", F.inline(places)).filter("bin is not null")
         .groupBy("by", "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
     named = F.arrays_zip(F.array(*[F.lit(c) for c in columns]).alias("feature"), F.col("bounds").alias("bound"))
@@ -150,105 +154,103 @@ def kde(
     classes: tuple | None = None,
     points: int = 1000,
     cut: float | None = None,
+    reach: float = LOSSLESS,
 ) -> DataFrame:
     """Gaussian density per class on an even grid, bandwidth std * n**(-1/5).
 
     The grid spans the data plus half its range on both sides, or plus cut
-    bandwidths. Each task sums the kernels of its own rows, equal values of a
-    batch taken together, and hands on one number per class and grid point: no
-    row is shuffled. A class without spread has no density.
+    bandwidths. A value only touches the points within `reach` bandwidths, which
+    lowers a density by exp(-reach**2 / 2) / (sqrt(2 pi) * bandwidth) at most;
+    beyond LOSSLESS a kernel is 0 in double precision, beyond CLOSE below 2.1e-16 of its peak. A
+    class without spread has no density. Grids are a row per class in a table
+    that is joined to the rows. With few classes each task sums the kernels of
+    its own rows and no row is shuffled; with many, equal values are counted
+    first and a class goes to one task, a large one in pieces.
     """
     df, group = _classed(df, by, classes)
     data = df.select(group.alias("by"), F.col(f"`{column}`").cast("double").alias("x")).filter(
-        "x is not null and not isnan(x)"
+        "x is not null and not isnan(x) and abs(x) < double('infinity')"
     )
     shape = data.groupBy("by").agg(
         F.min("x").alias("low"), F.max("x").alias("high"), F.stddev_samp("x").alias("sd"), F.count("x").alias("total")
     )
-    grids = {}
-    for row in shape.collect():
-        width = (row["sd"] or 0.0) * row["total"] ** -0.2
-        if width > 0:
-            pad = (row["high"] - row["low"]) / 2 if cut is None else width * cut
-            start = row["low"] - pad
-            step = (row["high"] + pad - start) / (points - 1)
-            scale = row["total"] * width * math.sqrt(2 * math.pi)
-            grids[row["by"]] = (start + np.arange(points) * step, width, scale)
-
-    number = {key: k for k, key in enumerate(grids)}
-
-    def kernel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {key: np.zeros(points) for key in grids}
-        for batch in batches:
-            keys, values = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("by", "x"))
-            for key, (grid, width, _) in grids.items():
-                x, n = np.unique(values[keys == key], return_counts=True)
-                for start in range(0, len(x), KERNEL_ROWS):
-                    z = grid[None, :] - x[start : start + KERNEL_ROWS, None]
-                    z /= width
-                    z *= z
-                    z *= -0.5
-                    sums[key] += n[start : start + KERNEL_ROWS] @ np.exp(z, out=z)
-        for key, mass in sums.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "k": pa.array([number[key]] * points, pa.int32()),
-                    "point": pa.array(np.arange(points, dtype=np.int32)),
-                    "mass": pa.array(mass),
-                }
-            )
-
-    start, step, scale = (F.lit(None).cast("double") for _ in range(3))
-    own = F.lit(None).cast(data.schema["by"].dataType)
-    for key, (grid, _, total) in grids.items():
-        mine = F.col("k") == number[key]
-        own = F.when(mine, F.lit(key)).otherwise(own)
-        start = F.when(mine, float(grid[0])).otherwise(start)
-        step = F.when(mine, float(grid[1] - grid[0])).otherwise(step)
-        scale = F.when(mine, total).otherwise(scale)
-    table = (
-        data.mapInArrow(kernel_sums, "k int, point int, mass double")
-        .groupBy("k", "point")
-        .agg(F.sum("mass").alias("mass"))
-        .select(own.alias("by"), "point", (start + F.col("point") * step).alias("g"), (F.col("mass") / scale).alias("density"))
+    width = F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2))
+    pad = (F.col("high") - F.col("low")) / 2 if cut is None else F.col("width") * cut
+    grids = settle(
+        shape.withColumn("width", width).filter("width > 0").withColumn("pad", pad).select(
+            "by", F.monotonically_increasing_id().alias("k"), (F.col("low") - F.col("pad")).alias("start"), "width", "total",
+            ((F.col("high") + F.col("pad") - (F.col("low") - F.col("pad"))) / (points - 1)).alias("step"),
+        ),
+        "grids",
+    )
+    many = grids.count() > FEW
+    rows = data.groupBy("by", "x").agg(F.count("*").alias("n")) if many else data.withColumn("n", F.lit(1).cast("bigint"))
+    rows = with_group(rows, grids, "by", "total").select("k", "x", "n", "start", "step", "width", "total")
+    if many:
+        pieces = F.ceil(F.col("total") / PIECE_ROWS)
+        rows = rows.repartition("k", F.pmod(F.xxhash64("x"), pieces))
+    sums = rows.drop("total").mapInArrow(lambda batches: _kernel_sums(batches, points, reach), "k bigint, point int, mass double")
+    sums = sums.groupBy("k", "point").agg(F.sum("mass").alias("mass"))
+    scale = F.col("total") * F.col("width") * math.sqrt(2 * math.pi)
+    sizes = grids.select("k", "by", "start", "step", "width", "total")
+    table = with_group(sums, sizes, "k", "total").select(
+        "by", "point", (F.col("start") + F.col("point") * F.col("step")).alias("g"), (F.col("mass") / scale).alias("density")
     )
     return table.drop("by") if by is None else table
 
 
+def _kernel_sums(batches: Iterator[pa.RecordBatch], points: int, reach: float) -> Iterator[pa.RecordBatch]:
+    """Sums of kernels by class k and grid point, of batches with k, x, n and the class's start, step and width."""
+    held: dict[int, np.ndarray] = {}
+
+    def flushed() -> pa.RecordBatch:
+        k = np.repeat(np.fromiter(held, np.int64, len(held)), points)
+        point = np.tile(np.arange(points, dtype=np.int32), len(held))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(point), pa.array(np.concatenate(list(held.values())))], ["k", "point", "mass"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, x, n, start, step, width = (batch.column(i).to_numpy() for i in range(6))
+        order = np.lexsort((x, k))
+        k, x, n, start, step, width = (a[order] for a in (k, x, n, start, step, width))
+        ends = np.append(np.flatnonzero(np.diff(k)) + 1, len(k))
+        for first, last in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            values, place = np.unique(x[first:last], return_inverse=True)
+            copies = np.bincount(place, n[first:last])
+            low, gap, wide = float(start[first]), float(step[first]), float(width[first])
+            total = held.setdefault(int(k[first]), np.zeros(points))
+            for at in range(0, len(values), KERNEL_ROWS):
+                some = values[at : at + KERNEL_ROWS]
+                a = max(0, math.floor((some[0] - reach * wide - low) / gap))
+                b = min(points, math.ceil((some[-1] + reach * wide - low) / gap) + 1)
+                z = (low + np.arange(a, b) * gap)[None, :] - some[:, None]
+                z /= wide
+                z *= z
+                z *= -0.5
+                total[a:b] += copies[at : at + KERNEL_ROWS] @ np.exp(z, out=z)
+            if len(held) * points >= HELD:
+                yield flushed()
+                held.clear()
+    if held:
+        yield flushed()
+
+
 def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple | None = None) -> DataFrame:
     """Quartiles by linear interpolation, whiskers within 1.5 IQR, outlier counts.
 
-    Exact: equal values are counted once and ranked bucket by bucket, so neither
-    a hot value nor a large class ends up in one task.
+    Exact for any number of classes, without a sort or a window: see quantiles.
     """
     df, group = _classed(df, by, classes)
     data = df.select(group.alias("by"), F.col(f"`{column}`").cast("double").alias("x")).filter(
         "x is not null and not isnan(x)"
     )
-    ranked = running_totals(data, ["by"], "x", {"n": F.count(F.lit(1))}, ["n"], split_points(data, "x"))
-
-    def at(position: Column) -> Column:
-        covered = (F.col("cum_n") - F.col("n") <= position) & (position < F.col("cum_n"))
-        return F.max(F.when(covered, F.col("x")))
-
-    marks = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    position = {q: (F.col("total_n") - 1) * share for q, share in marks.items()}
-    ends = ranked.groupBy("by").agg(
-        F.max("total_n").alias("total_n"),
-        *[at(F.floor(p)).alias(f"{q}_below") for q, p in position.items()],
-        *[at(F.ceil(p)).alias(f"{q}_above") for q, p in position.items()],
-    )
-    quartiles = ends.select(
-        "by",
-        *[
-            (F.col(f"{q}_below") + (F.col(f"{q}_above") - F.col(f"{q}_below")) * (p - F.floor(p))).alias(q)
-            for q, p in position.items()
-        ],
-    )
+    found = quantiles(data, "by", "x", [0.25, 0.5, 0.75])
+    quartiles = settle(found.select("by", "total", *[F.col("quantiles")[k].alias(q) for k, q in enumerate(("q1", "q2", "q3"))]), "quartiles")
     spread = (F.col("q3") - F.col("q1")) * 1.5
     low, high = F.col("q1") - spread, F.col("q3") + spread
     table = (
-        data.join(F.broadcast(quartiles), "by")
+        with_group(data, quartiles, "by", "total")
         .groupBy("by", "q1", "q2", "q3")
         .agg(
             F.min(F.when(F.col("x") >= low, F.col("x"))).alias("whisker_lo"),

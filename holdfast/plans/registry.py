@@ -144,17 +144,17 @@ def hist_by_gender(s: Study) -> DataFrame:
 
 @query
 def kde_by_gender(s: Study) -> DataFrame:
-    return rounded(profile.kde(s.customers, "Customer_Age", by="Gender", points=50), 9, "g", "density")
+    return rounded(profile.kde(s.customers, "Customer_Age", by="Gender", points=50, reach=profile.CLOSE), 9, "g", "density")
 
 
 @query
 def kde_age(s: Study) -> DataFrame:
-    return rounded(profile.kde(s.customers, "Customer_Age"), 9, "g", "density")
+    return rounded(profile.kde(s.customers, "Customer_Age", reach=profile.CLOSE), 9, "g", "density")
 
 
 @query
 def violin_utilisation(s: Study) -> DataFrame:
-    return rounded(profile.kde(s.customers, "Avg_Utilization_Ratio", points=100, cut=2.0), 9, "g", "density")
+    return rounded(profile.kde(s.customers, "Avg_Utilization_Ratio", points=100, cut=2.0, reach=profile.CLOSE), 9, "g", "density")
 
 
 @query

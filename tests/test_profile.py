@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.functions import quantiles as quantile_search
 from holdfast.operators import profile
 
 from .conftest import by, rows
@@ -112,6 +113,76 @@ def test_box_agrees_with_numpy(skewed):
         np.testing.assert_allclose(mine, want, rtol=1e-12)
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """12,000 classes, one with a third of all rows, one value with a third of its rows."""
+    rng = np.random.default_rng(8)
+    keys = np.concatenate([np.repeat(np.arange(12_000), 3), np.full(18_000, 5)])
+    x = np.where(rng.random(len(keys)) < 0.33, 2.5, np.round(rng.normal(keys % 7, 1, len(keys)), 3))
+    table = spark.createDataFrame(pd.DataFrame({"k": keys, "x": x})).repartition(5)
+    return table, {int(k): x[keys == k] for k in (0, 5, 77, 11_999)}
+
+
+def test_boxes_of_very_many_classes(crowded):
+    table, some = crowded
+    got = {r["by"]: r for r in profile.box(table, "x", by="k").collect()}
+    assert len(got) == 12_000
+    for k, x in some.items():
+        q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        want = [q1, q2, q3, x[x >= low].min(), x[x <= high].max(), ((x < low) | (x > high)).sum()]
+        np.testing.assert_allclose([got[k][n] for n in ("q1", "q2", "q3", "whisker_lo", "whisker_hi", "n_out")], want, rtol=1e-12)
+
+
+def test_densities_of_very_many_classes(crowded):
+    table, some = crowded
+    got = profile.kde(table, "x", by="k", points=8).filter(F.col("by").isin(*some)).toPandas()
+    for k, x in some.items():
+        mine = got[got.by == k].sort_values("point")
+        bw = x.std(ddof=1) * len(x) ** -0.2
+        want = np.exp(-(((mine.g.to_numpy()[:, None] - x) / bw) ** 2) / 2).sum(axis=1) / (len(x) * bw * math.sqrt(2 * math.pi)) if bw else []
+        assert len(mine) == (8 if bw else 0)
+        np.testing.assert_allclose(mine.density, want, rtol=1e-9, atol=2.2e-16 / bw if bw else 0)
+
+
+@pytest.mark.parametrize("reach", [3.0, 8.5])
+def test_what_lies_beyond_the_reach_of_kernels_is_bounded(skewed, reach):
+    got = profile.kde(skewed, "x", points=200, reach=reach)
+    for c in (0, 1):
+        x = _class(skewed, c)
+        bw = x.std(ddof=1) * len(x) ** -0.2
+        mine = got.filter(F.col("by") == c).orderBy("point").toPandas()
+        exact = np.exp(-(((mine.g.to_numpy()[:, None] - x) / bw) ** 2) / 2).sum(axis=1) / (len(x) * bw * math.sqrt(2 * math.pi))
+        assert np.abs(mine.density - exact).max() <= math.exp(-(reach**2) / 2) / (math.sqrt(2 * math.pi) * bw) + 1e-15
+
+
+def test_histograms_of_very_many_classes(crowded):
+    table, some = crowded
+    got = profile.histogram(table, ["x"], 4, by="k")
+    for k, x in some.items():
+        assert [r["n"] for r in got.filter(F.col("by") == k).orderBy("bin").collect()] == (np.histogram(x, 4)[0].tolist() if np.ptp(x) else [len(x)])
+
+
+@pytest.mark.parametrize("kind", ["spread", "crowding", "infinite", "hot", "tiny"])
+def test_quantiles_narrow_whatever_the_values(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantile_search, "BY_VALUE", 8)
+    monkeypatch.setattr(quantile_search, "CELLS", 8)
+    rng = np.random.default_rng(2)
+    x = {
+        "spread": rng.normal(size=500), "crowding": 10.0 ** rng.uniform(-300, 300, 500) * rng.choice([-1, 1], 500),
+        "infinite": np.concatenate([[np.inf] * 20, [-np.inf] * 20, rng.normal(size=100)]),
+        "hot": np.concatenate([np.full(300, 1.5), rng.normal(size=200)]), "tiny": np.arange(40) * 5e-324,
+    }[kind]
+    table = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x})).repartition(3)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    row = quantile_search.quantiles(table, "k", "x", shares).first()
+    held = np.clip(x, -1.7976931348623157e308, 1.7976931348623157e308)
+    assert row["total"] == len(x)
+    s, places = np.sort(held), [(len(x) - 1) * p for p in shares]
+    want = [s[math.floor(p)] + (s[math.ceil(p)] - s[math.floor(p)]) * (p - math.floor(p)) for p in places]
+    assert row["quantiles"] == want
+
+
 def test_correlations_use_the_pairs_that_are_known(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame(rng.normal(size=(60, 4)), columns=list("abcd"))
