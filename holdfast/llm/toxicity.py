@@ -36,6 +36,10 @@ WIDTHS = (1, 2, 3)
 #: vector (below 8, in steps of 2**-7) and a filter (below 4, in steps of 2**-7): fewer than 2**24 steps, exact in 32 bits.
 #: Outputs then sum numbers below 2**11 in steps of 2**-14 times weights below 16 in steps of 2**-16: exact in 64 bits.
 GRIDS = {"embedding": (2.0**-7, 8 / HASHES), "filters": (2.0**-7, 4.0), "bias": (2.0**-14, 64.0), "output": (2.0**-16, 16.0), "language": (2.0**-10, 64.0)}
+#: Words whose hashes a task keeps; most of the others occur once.
+CACHED = 100_000
+#: Characters of texts that are scored together, unless one text is longer.
+TOGETHER = 500_000
 #: Bins of the histogram of outputs: so many a unit, for outputs up to the limit.
 BINS, LIMIT = 256, 40
 
@@ -81,7 +85,7 @@ def hashed_words(bits: int) -> PieceCache:
             parts = [core, *(core[:n] + "*" for n in BEGINNINGS)]
             yield pack(*[digest(p.encode("utf-8", "surrogatepass")) & mask for p in parts])
 
-    return PieceCache(encode_many)
+    return PieceCache(encode_many, limit=CACHED)
 
 
 def word_ids(texts: list[str], cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +345,7 @@ def calibrated(model: bytes, texts: DataFrame, labels: DataFrame, small: int = 1
         fitted = pickle.loads(shared.value)
         cache = hashed_words(fitted.settings.bits)
         for batch in batches:
-            for first, some in groups(batch["text"].to_pylist(), 1_000_000):
+            for first, some in groups(batch["text"].to_pylist(), TOGETHER):
                 words = word_ids(some, cache)
                 bins = np.floor(np.clip(logits(fitted, *words), -LIMIT, LIMIT) * BINS)
                 yield pa.RecordBatch.from_arrays(
@@ -378,7 +382,7 @@ def score(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
         cache = hashed_words(fitted.settings.bits)
         for batch in batches:
             rest = [c for c in batch.schema.names if c != name]
-            for first, some in groups([t or "" for t in batch["text"].to_pylist()], 1_000_000):
+            for first, some in groups([t or "" for t in batch["text"].to_pylist()], TOGETHER):
                 part = batch.slice(first, len(some))
                 found = pa.array(scores(fitted, *word_ids(some, cache)))
                 yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [found], rest + [name])
