@@ -30,7 +30,8 @@ def query(fn: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:
 
 
 def open_study(spark: SparkSession, directory: str) -> Study:
-    return study(spark, directory, lambda: star.raw_customers(spark, directory), [models.logistic(), models.boosted()])
+    learners = [models.logistic(), models.boosted()]
+    return study(spark, directory, lambda: star.raw_customers(spark, directory), learners, lambda: star.source_paths(directory))
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 from threading import Lock
+from time import monotonic
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -16,9 +17,19 @@ from holdfast.operators.contributions import TARGET
 from holdfast.operators import metrics, models, quality, split, treeshap
 from holdfast.operators.features import CustomerFeatures, CustomerFeaturesModel
 from holdfast.operators.models import Learner
-from holdfast.sources.tables import drop_table, fresh_path, newest_change, settle, write_report, write_table
+from holdfast.sources.tables import drop_table, files_state, fresh_path, settle, write_report, write_table
 
-_STUDIES: dict[tuple, tuple[tuple, "Study"]] = {}
+TRUSTED = 60.0  # seconds
+
+
+@dataclass
+class _Held:
+    study: Study
+    state: tuple
+    compared: float
+
+
+_STUDIES: dict[tuple, _Held] = {}
 _LOCK = Lock()
 
 
@@ -129,16 +140,28 @@ class Study:
                 drop_table(table)
 
 
-def study(spark: SparkSession, key: str, raw, learners: list[Learner]) -> Study:
-    """The study of this session for a source; its stored phases are shared by all callers.
+def study(spark: SparkSession, key: str, raw: Callable[[], DataFrame], learners: list[Learner], paths: Callable[[], list[str]], now: Callable[[], float] = monotonic) -> Study:
+    """The study of this session for a source, opened once; its stored phases are shared by all callers.
 
-    A source whose files have changed since gets a study of its own, and the earlier one is forgotten.
+    paths names the source's files. They are compared with what they were when more than TRUSTED seconds have
+    passed since the last comparison, or after refresh(). A source whose files have changed is opened anew, and
+    the earlier study is forgotten.
     """
-    table = raw()
     slot = (spark.sparkContext.applicationId, key)
-    state = (sorted(table.inputFiles()), newest_change(table))
     with _LOCK:
         held = _STUDIES.get(slot)
-        if held is None or held[0] != state:
-            held = _STUDIES[slot] = (state, Study(table, learners))
-    return held[1]
+        if held is not None and now() - held.compared < TRUSTED:
+            return held.study
+        state = files_state(spark, paths())
+        if held is None or held.state != state:
+            held = _STUDIES[slot] = _Held(Study(raw(), learners), state, 0.0)
+        held.compared = now()
+        return held.study
+
+
+def refresh(spark: SparkSession) -> None:
+    """Compare every source's files again before its study is next used in this session."""
+    with _LOCK:
+        for slot, held in _STUDIES.items():
+            if slot[0] == spark.sparkContext.applicationId:
+                held.compared = -float("inf")

@@ -46,11 +46,17 @@ def order_activity(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
+TABLES = ("customer", "orders", "lineitem")
+
+
+def source_paths(directory: str) -> list[str]:
+    """The tables that raw customers are derived from."""
+    return [f"{directory}/{name}.parquet" for name in TABLES]
+
+
 def raw_customers(spark: SparkSession, directory: str) -> DataFrame:
     """The 23-column raw table of FIXTURES.md, leak columns included."""
-    customer, orders, lineitem = (
-        spark.read.parquet(f"{directory}/{name}.parquet") for name in ("customer", "orders", "lineitem")
-    )
+    customer, orders, lineitem = (spark.read.parquet(path) for path in source_paths(directory))
     key = F.col("c_custkey")
     base = (
         customer.join(order_activity(orders, lineitem), key == F.col("o_custkey"), "left")
