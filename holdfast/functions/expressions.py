@@ -50,8 +50,15 @@ def whole(column: Column) -> Column:
     return column.cast("long")
 
 
-def fingerprint(columns: list[str], digits: int = 6) -> Column:
-    """Row key made of all values rounded to the given digits and joined with '_'."""
-    return F.concat_ws(
-        "_", *[F.coalesce(F.bround(F.col(c).cast("double"), digits).cast("string"), F.lit("null")) for c in columns]
-    )
+def rounded_values(columns: list[str], digits: int = 6) -> list[Column]:
+    """The columns as doubles of the given digits."""
+    return [F.bround(F.col(f"`{c}`").cast("double"), digits).alias(c) for c in columns]
+
+
+def fingerprint(columns: list[Column]) -> Column:
+    """16 bytes that equal rows share: two hashes over all values and over which of them are missing.
+
+    Different rows may share them too: whoever counts equal rows compares the values of those that do.
+    """
+    gaps = [c.isNull().cast("tinyint") for c in columns]
+    return F.struct(F.xxhash64(*columns, *gaps).alias("a"), F.xxhash64(*gaps, F.lit("second"), *reversed(columns)).alias("b"))

@@ -167,11 +167,11 @@ class CustomerFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, Defaul
     def _steps(self) -> list[Step]:
         return [*steps(self.getOrDefault("categories")), scaled(*self._fitted())]
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Key, scaled features as named columns and, if present, the label."""
+    def table(self, df: DataFrame, *keep: str) -> DataFrame:
+        """Key, scaled features as named columns and, if present, the label; and columns to keep."""
         kept = [c for c in (self.getOrDefault("idCol"),) if c in df.columns]
         label = [c for c in (self.getOrDefault("labelCol"),) if c in df.columns]
-        return apply(df, *self._steps()).select(*kept, *self.feature_names, *label)
+        return apply(df, *self._steps()).select(*kept, *self.feature_names, *label, *keep)
 
     def with_missing(self, df: DataFrame, name: str = "missing") -> DataFrame:
         """Add the names of the features a row has no value for: missing values and unmapped categories."""

@@ -7,13 +7,13 @@ column, a group for each value it has; a list of classes leaves out the others.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions import expressions as E
@@ -24,7 +24,7 @@ from holdfast.functions.quantiles import quantiles
 from holdfast.sources.schema import numeric_columns
 from holdfast.sources.tables import settle
 
-PAIRS_PER_AGGREGATE = 16
+MERGED = 64  # sums of more tasks than this are joined by tasks before the driver joins the rest
 KERNEL_ROWS = 64  # a block of kernels stays in the processor cache
 LOSSLESS, CLOSE = 39.0, 8.5  # bandwidths a kernel reaches
 FEW = 64  # classes whose kernels every task sums for its own rows
@@ -261,37 +261,69 @@ def box(df: DataFrame, column: str, by: str | None = LABEL, classes: tuple | Non
     return table.drop("by") if by is None else table
 
 
+#: What a task keeps for each pair of columns (a, b), over the rows that know both: their number, the mean of a, the
+#: squares of a about it, and the products of both about theirs.
+PAIR_SUMS = 4
+
+
+def _pair_sums(x: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """PAIR_SUMS matrices of a block of rows; missing values are NaN. Values are moved by `shift` first."""
+    known = ~np.isnan(x)
+    moved = np.where(known, x - shift, 0.0)
+    mask = known.astype(np.float64)
+    n, total, squares, products = mask.T @ mask, moved.T @ mask, (moved**2).T @ mask, moved.T @ moved
+    size = np.maximum(n, 1)
+    return np.stack([n, shift[:, None] + total / size, squares - total**2 / size, products - total * total.T / size])
+
+
+def _joined_sums(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """PAIR_SUMS of the rows of both."""
+    n = one[0] + two[0]
+    size, gap = np.maximum(n, 1), np.where((one[0] > 0) & (two[0] > 0), two[1] - one[1], 0.0)
+    mean = np.where(one[0] > 0, one[1] + gap * two[0] / size, two[1])
+    weight = one[0] * two[0] / size
+    return np.stack([n, mean, one[2] + two[2] + gap**2 * weight, one[3] + two[3] + gap * gap.T * weight])
+
+
+def _added_up(tables: Iterable[bytes], p: int) -> np.ndarray:
+    return reduce(_joined_sums, (np.frombuffer(t).reshape(PAIR_SUMS, p, p) for t in tables), np.zeros((PAIR_SUMS, p, p)))
+
+
 def correlations(df: DataFrame, exclude: tuple[str, ...] = (ID,)) -> DataFrame:
     """Pearson r of every pair of numeric columns (strict lower triangle).
 
-    Columns without nulls go through one matrix computation. Pairs with a null
-    somewhere use the rows where both are known, a few pairs per aggregate: wider
-    ones leave compiled code. A constant column has no r.
+    A pair counts the rows where both are known. One job for any pattern of nulls: each task multiplies its rows'
+    values and masks as matrices, and the tasks' sums are joined, in groups first where tasks are many. A
+    column that is constant in a pair's rows has no r.
     """
     names = numeric_columns(df, exclude)
-    x = {name: F.col(f"`{name}`").cast("double") for name in names}
-    known = {name: ~(x[name].isNull() | F.isnan(x[name])) for name in names}
-    gaps = df.agg(*[F.count_if(~known[name]).alias(name) for name in names]).first()
-    whole = [name for name in names if not gaps[name]]
-    pairs = [(a, b) for b, a in combinations(names, 2)]
-    found: list[tuple] = []
-    if len(whole) > 1 and df.select(F.lit(1)).limit(2).count() > 1:
-        vector = array_to_vector(F.array(*[x[name] for name in whole]))
-        matrix = Correlation.corr(df.select(vector.alias("v")), "v").first()[0].toArray()
-        place = {name: i for i, name in enumerate(whole)}
-        found = [(a, b, float(matrix[place[a], place[b]])) for a, b in pairs if a in place and b in place]
-        pairs = [(a, b) for a, b in pairs if a not in place or b not in place]
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        part = pairs[start : start + PAIRS_PER_AGGREGATE]
-        both = [known[a] & known[b] for a, b in part]
-        row = df.agg(
-            *[
-                E.correlation(F.when(ok, x[a]), F.when(ok, x[b])).alias(f"r{i}")
-                for i, ((a, b), ok) in enumerate(zip(part, both))
-            ]
-        ).first()
-        found += [(a, b, row[f"r{i}"]) for i, (a, b) in enumerate(part)]
-    rows = [(a, b, None if r is None or math.isnan(r) else r) for a, b, r in found]
+    p = len(names)
+    x = F.array(*[F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(float("nan"))) for name in names])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shift = np.zeros((PAIR_SUMS, p, p)), np.full(p, np.nan)
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, p)
+            for at in range(0, len(rows), 4_096):
+                some = rows[at : at + 4_096]
+                first = some[np.argmin(np.isnan(some), axis=0), np.arange(p)]
+                shift = np.where(np.isnan(shift), first, shift)  # a column's first known value: constants stay exact
+                total = _joined_sums(total, _pair_sums(some, np.where(np.isnan(shift), 0.0, shift)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table["task"].to_pylist(), table["sums"].to_pylist()))
+        return pa.table({"task": pa.array([parts[0][0]], pa.int32()), "sums": pa.array([_added_up((t for _, t in parts), p).tobytes()], pa.binary())})
+
+    found = df.select(x.alias("x")).mapInArrow(work, "task int, sums binary")
+    if df.sparkSession.sparkContext.defaultParallelism > MERGED:
+        found = found.groupBy(F.col("task") % MERGED).applyInArrow(merge, "task int, sums binary")
+    _, _, squares, products = _added_up((t for _, t in sorted(map(tuple, found.collect()))), p)
+    rows = []
+    for b, a in combinations(range(p), 2):
+        spread = math.sqrt(squares[a, b]) * math.sqrt(squares[b, a]) if squares[a, b] > 0 and squares[b, a] > 0 else 0.0
+        r = products[a, b] / spread if spread else None
+        rows.append((names[a], names[b], None if r is None or math.isnan(r) else float(r)))
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from holdfast.functions import expressions as E
 from holdfast.functions.fixed import CHURNED_VALUE, ID, LABEL, LEAK_MARKER, RAW_TARGET
+from holdfast.functions.groups import with_group
 from holdfast.sources.schema import numeric_columns, string_columns
+from holdfast.sources.tables import settle
 
 
 def drop_leak_columns(df: DataFrame) -> DataFrame:
@@ -47,19 +50,36 @@ def _tidy(row: DataFrame, checks: list[tuple[str, str, str]]) -> DataFrame:
     return row.select(F.inline(F.array(*parts)))
 
 
+def met_again(df: DataFrame, columns: list[Column], digest: Callable[[list[Column]], Column] = E.fingerprint, among: Column | None = None) -> DataFrame:
+    """The rows whose digest over the columns is met more than once, with the digest as __digest.
+
+    among: a group's condition instead of its size, an aggregate. Only digests are shuffled to find them; then
+    few rows are left whose values must be compared.
+    """
+    marked = df.withColumn("__digest", digest(columns))
+    per_digest = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"), (F.count(F.lit(1)) > 1 if among is None else among).alias("__again"))
+    again = settle(per_digest.filter("__again").drop("__again"), "digests")
+    return with_group(marked, again, "__digest", "__n").drop("__n")
+
+
+def duplicate_rows(df: DataFrame, digest: Callable[[list[Column]], Column] = E.fingerprint) -> DataFrame:
+    """Number of rows that equal an earlier one, nulls being equal.
+
+    Digests are counted first; whole rows are compared only where a digest is met again, copies merged on the map
+    side. So the result is exact whatever the digest.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    groups = met_again(df, columns, digest).groupBy("__digest", *columns).agg(F.count(F.lit(1)).alias("__n"))
+    return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
+
+
 def quality_audit(df: DataFrame) -> DataFrame:
     """Rows, columns, nulls, fully empty columns, duplicates and column kinds.
 
-    One shuffle: equal rows meet once, already counted on the map side, and all
-    checks are sums over the distinct rows.
+    One scan counts, another finds duplicates by their digests: no wide row is shuffled but those met again.
     """
-    distinct = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    row = distinct.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("__rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("__duplicates"),
-        *[F.coalesce(F.sum(F.when(_empty(df, c), n)), F.lit(0)).alias(c) for c in df.columns],
-    )
+    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(_empty(df, c)).alias(c) for c in df.columns])
+    row = row.withColumn("__duplicates", duplicate_rows(df).scalar())
     total = sum((F.col(f"`{c}`") for c in df.columns), F.lit(0))
     empty = sum(((F.col(f"`{c}`") == F.col("__rows")).cast("int") for c in df.columns), F.lit(0))
     row = row.withColumns(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from holdfast.functions import expressions as E
 from holdfast.functions.fixed import FEATURES, FOLDS, ID, LABEL, SEED, TEST_SHARE
 from holdfast.functions.ordering import hash_cuts, with_cuts_passed
+from holdfast.operators.quality import met_again
 
 
 def test_quota(sizes: dict, share: float) -> dict:
@@ -64,19 +65,15 @@ def split_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
     ).withColumn("share", F.col("n") / total)
 
 
-def leaked_rows(train: DataFrame, test: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """Number of distinct feature rows found on both sides; 0 for a clean split.
+def leaked_rows(train: DataFrame, test: DataFrame, columns: list[str] = FEATURES, digits: int = 6) -> DataFrame:
+    """Number of distinct feature rows, at the given digits, found on both sides; 0 for a clean split.
 
-    One grouping instead of an intersect: copies collapse on the map side, so a
-    row repeated many times does not weigh on one task.
+    Digests that occur on both sides are found first, copies merged on the map side. The values of their rows are
+    then compared, so that rows which only share a digest do not count.
     """
-    sides = [
-        side.select(E.fingerprint(columns).alias("row"), F.lit(int(is_test)).alias("is_test"))
-        for side, is_test in ((train, False), (test, True))
-    ]
-    return (
-        sides[0].unionByName(sides[1])
-        .groupBy("row")
-        .agg(F.min("is_test").alias("low"), F.max("is_test").alias("high"))
-        .agg(F.count_if(F.col("low") < F.col("high")).alias("n_shared"))
-    )
+    values = E.rounded_values(columns, digits)
+    sides = train.select(*values, F.lit(0).alias("__test")).unionByName(test.select(*values, F.lit(1).alias("__test")))
+    names = [F.col(f"`{c}`") for c in columns]
+    both = F.min("__test") < F.max("__test")
+    rows = met_again(sides, names, among=both).groupBy("__digest", *names).agg(both.alias("shared"))
+    return rows.agg(F.count_if("shared").alias("n_shared"))

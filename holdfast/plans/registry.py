@@ -227,7 +227,7 @@ def scaled_features(s: Study) -> DataFrame:
 
 @query
 def feature_audit(s: Study) -> DataFrame:
-    return quality.feature_audit(s.scaled.drop(ID))
+    return quality.feature_audit(s.scaled.drop(ID, "split"))
 
 
 # Split and folds
@@ -245,9 +245,7 @@ def split_balance(s: Study) -> DataFrame:
 
 @query
 def split_leakage(s: Study) -> DataFrame:
-    scaled = _scaled(s).withColumnRenamed(ID, "key")
-    marked = split.with_split(scaled, key="key")
-    return split.leaked_rows(marked.filter("split = 'train'"), marked.filter("split = 'test'"))
+    return split.leaked_rows(s.scaled.filter("split = 'train'"), s.scaled.filter("split = 'test'"))
 
 
 @query

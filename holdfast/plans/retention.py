@@ -79,8 +79,8 @@ class Study:
 
     @cached_property
     def scaled(self) -> DataFrame:
-        """Feature table of all customers, scaling learned on all of them."""
-        return settle(CustomerFeatures().fit(self.customers).table(self.customers), "features")
+        """Feature table of all customers with their side of the split, scaling learned on all of them."""
+        return settle(CustomerFeatures().fit(self.customers).table(self.divided, "split"), "features")
 
     @cached_property
     def pipeline(self) -> PipelineModel:

@@ -200,6 +200,22 @@ def test_correlations_use_the_pairs_that_are_known(spark):
             assert r["r"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-12)
 
 
+def test_correlations_of_far_off_values_and_many_tasks(spark, monkeypatch):
+    """Values far from 0, every pattern of nulls, constants, and sums joined in groups."""
+    monkeypatch.setattr(profile, "MERGED", 2)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) + 1e8
+    x[:, 4] = 1e8 + 1 / 3
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:100, 0] = np.nan
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    table = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in x.tolist()], "a double, b double, c double, d double, e double").repartition(6)
+    want = pdf.corr()
+    for r in profile.correlations(table).collect():
+        assert r["r"] is None if "e" in (r["a"], r["b"]) else r["r"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-6)
+    assert [r["r"] for r in profile.correlations(table.limit(0)).collect()] == [None] * 10
+
+
 def test_sample_is_the_same_after_repartitioning(study):
     a = profile.sample(study.customers, 50).select("CLIENTNUM").collect()
     b = profile.sample(study.customers.repartition(7), 50).select("CLIENTNUM").collect()

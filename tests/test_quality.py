@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
+from holdfast.functions import expressions as E, groups
 from holdfast.functions.fixed import LEAK_COLUMNS
 from holdfast.operators import quality
+from holdfast.sources.tables import settle
 
 from .conftest import by, rows
 
@@ -47,3 +50,32 @@ def test_key_uniqueness(make_raw):
     assert rows(quality.key_uniqueness(make_raw({}, {}))) == [{"n_rows": 2, "n_keys": 2, "is_unique": 1}]
     twice = quality.key_uniqueness(make_raw({"CLIENTNUM": 1}, {"CLIENTNUM": 1}, {"CLIENTNUM": None}))
     assert rows(twice) == [{"n_rows": 3, "n_keys": 1, "is_unique": 0}]
+
+
+def _copies(make_raw):
+    odd = {"CLIENTNUM": 7, "Gender": None, "Credit_Limit": float("nan"), "Total_Amt_Chng_Q4_Q1": -0.0}
+    return make_raw(odd, {**odd, "Total_Amt_Chng_Q4_Q1": 0.0}, odd, {"CLIENTNUM": 7}, {"CLIENTNUM": 7}, {"CLIENTNUM": 8, "Gender": None}, {"CLIENTNUM": 8, "Education_Level": None})
+
+
+@pytest.mark.parametrize("digest", [E.fingerprint, lambda columns: F.lit(1), lambda columns: F.xxhash64(*columns) % 2])
+def test_duplicates_are_exact_whatever_the_digest(make_raw, digest):
+    """Rows that share a digest without being equal do not count."""
+    assert quality.duplicate_rows(_copies(make_raw), digest).first()["duplicates"] == 3
+    assert quality.duplicate_rows(_copies(make_raw).limit(0), digest).first()["duplicates"] == 0
+
+
+def test_duplicates_in_more_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(groups.with_group, "__defaults__", (3,))
+    table = spark.range(90).selectExpr("id % 30 AS a", "if(id % 30 < 5, null, 'x') AS b").unionByName(spark.range(200).selectExpr("99L AS a", "'hot' AS b"))
+    assert quality.duplicate_rows(table).first()["duplicates"] == 60 + 199
+
+
+def test_only_digests_are_shuffled(make_raw, monkeypatch):
+    """The wide rows of a table without duplicates stay where they are."""
+    seen = []
+    monkeypatch.setattr(quality, "settle", lambda df, name: seen.append(df) or settle(df, name))
+    table = make_raw(*[{} for _ in range(50)])
+    assert quality.duplicate_rows(table).first()["duplicates"] == 0
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    assert shuffled and all("__digest" in line and "CLIENTNUM" not in line for line in shuffled)
