@@ -119,6 +119,25 @@ def running_totals(
     )
 
 
+def with_following(df: DataFrame, keys: list[str], value: str, measures: list[str], borders: list[float], descending: bool = False) -> DataFrame:
+    """Add next_<m>: the measures of the row with the next value of its key; null at the last. Values are distinct.
+
+    Each window sees one bucket; the first row of the buckets that follow comes from a grouping of a row per bucket.
+    Any borders give the same result.
+    """
+    along = (lambda name: F.col(name).desc()) if descending else F.col
+    first = F.max_by if descending else F.min_by
+    placed = _with_bucket(df, value, borders)
+    row = F.struct(*measures)
+    within = Window.partitionBy(*keys, "bucket").orderBy(along(value))
+    later = Window.partitionBy(*keys).orderBy(along("bucket"))
+    heads = placed.groupBy(*keys, "bucket").agg(first(row, value).alias("head"))
+    heads = heads.select(*keys, "bucket", F.lead("head").over(later).alias("beyond"))
+    following = F.coalesce(F.lead(row).over(within), F.col("beyond"))
+    out = placed.join(heads, [*keys, "bucket"]).withColumn("following", following)
+    return out.withColumns({f"next_{m}": F.col("following").getField(m) for m in measures}).drop("bucket", "beyond", "following")
+
+
 def hash_key(id_column: str, seed: int) -> Column:
     """Pseudo-random order that depends on the id and the seed alone."""
     return F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed))))

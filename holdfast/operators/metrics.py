@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from holdfast.functions.expressions import half_even, ratio
 from holdfast.functions.fixed import METRICS
-from holdfast.functions.ordering import running_totals, split_points
+from holdfast.functions.ordering import running_totals, split_points, with_following
 
 KEYS = ["model"]
 
@@ -61,19 +61,57 @@ def _with_end(table: DataFrame, keys: list[str], point: dict[str, Column], end:
     return table.select(*keys, F.inline(rows))
 
 
-def roc_curve(scored: DataFrame, keys: list[str] = KEYS, label: str = "label") -> DataFrame:
-    """Points of the ROC curve at every distinct score, with the start (0, 0)."""
+def roc_curve(scored: DataFrame, keys: list[str] = KEYS, label: str = "label", corners: bool = False, cells: int | None = None) -> DataFrame:
+    """Points of the ROC curve at every distinct score, with the start (0, 0).
+
+    corners: without the points that lie on the straight line between their neighbours, across the borders of
+    buckets too; the curve is the same. cells: one point at most for each of so many equal parts of fpr + tpr, the
+    last in it, next to the start. Every point of the full curve then lies within 2 / cells of a kept one, in
+    fpr + tpr, and the area between kept points differs by 4 / cells at most; areas() reads all scores anyway.
+    """
+    borders = split_points(scored, "p") if corners else None
+    table = cumulative(scored, keys, label, borders)
+    if corners:
+        step = with_following(table, keys, "p", ["tp", "fp"], borders, descending=True)
+        turn = F.col("tp").cast("double") * F.col("next_fp") - F.col("fp").cast("double") * F.col("next_tp")
+        highest = F.col("cum_n") == F.col("tp") + F.col("fp")
+        table = step.withColumn("corner", turn.isNull() | (turn != 0))
+        # The start goes with the highest score's row, which stays to carry it even where it is no corner.
+        table = table.filter(F.col("corner") | highest)
     point = {"threshold": F.col("p"), "fpr": F.col("fpr"), "tpr": F.col("tpr")}
     start = {"threshold": F.lit(None), "fpr": F.lit(0.0), "tpr": F.lit(0.0)}
-    return _with_end(cumulative(scored, keys, label), keys, point, start)
-
-
-def pr_curve(scored: DataFrame, keys: list[str] = KEYS, label: str = "label") -> DataFrame:
-    """Precision and recall at every distinct score, the end (1, 0) and the baseline rate."""
+    if corners:
+        point["corner"] = F.col("corner").cast("double")
+        start["corner"] = F.lit(1.0)
+    curve = _with_end(table, keys, point, start)
+    if corners:
+        curve = curve.filter("corner = 1").drop("corner")
+    if cells is None:
+        return curve
+    part = F.when(F.col("threshold").isNull(), -1).otherwise(F.floor((F.col("fpr") + F.col("tpr")) / 2 * cells))
+    last = F.max_by(F.struct("threshold", "fpr", "tpr"), F.coalesce(-F.col("threshold"), F.lit(0.0)))
+    return curve.groupBy(*keys, part.alias("part")).agg(last.alias("kept")).select(*keys, "kept.*")
+
+
+def pr_curve(scored: DataFrame, keys: list[str] = KEYS, label: str = "label", cells: int | None = None) -> DataFrame:
+    """Precision and recall at every distinct score, the end (1, 0) and the baseline rate.
+
+    cells: for each of so many equal parts of recall only the last point and those of least and greatest precision
+    (of equal ones the highest score), so that what is left out lies between them.
+    """
     baseline = F.col("total_tp") / (F.col("total_tp") + F.col("total_fp"))
     point = {"threshold": F.col("p"), "precision": F.col("precision"), "recall": F.col("recall"), "baseline": baseline}
     end = {"threshold": F.lit(None), "precision": F.lit(1.0), "recall": F.lit(0.0), "baseline": baseline}
-    return _with_end(cumulative(scored, keys, label), keys, point, end)
+    curve = _with_end(cumulative(scored, keys, label), keys, point, end)
+    if cells is None:
+        return curve
+    row = F.struct("threshold", "precision", "recall", "baseline")
+    score = F.coalesce("threshold", F.lit(float("inf")))
+    part = F.when(F.col("threshold").isNull(), -1).otherwise(F.floor(F.col("recall") * cells))
+    kept = curve.groupBy(*keys, part.alias("part")).agg(
+        F.array(F.min_by(row, score), F.min_by(row, F.struct("precision", -score)), F.max_by(row, F.struct("precision", score))).alias("kept")
+    )
+    return kept.select(*keys, F.inline(F.array_distinct("kept")))
 
 
 def areas(scored: DataFrame, keys: list[str] = KEYS, label: str = "label") -> DataFrame:

@@ -573,6 +573,32 @@ FROM (SELECT count(*) FILTER (churn = 0) AS neg, count(*) FILTER (churn = 1) AS
 UNION ALL SELECT DISTINCT model, NULL, 0, 0 FROM running""",
         SCORES, CUMULATIVE,
     ),
+    "roc_curve_corners": _with(
+        """SELECT model, threshold, fpr, tpr FROM (
+    SELECT model, p AS threshold, x / n AS fpr, y / m AS tpr,
+           (x - lag(x, 1, 0) OVER w) * (lead(y) OVER w - y) - (y - lag(y, 1, 0) OVER w) * (lead(x) OVER w - x) AS turn
+    FROM (SELECT model, p, CAST(cum_fp AS DOUBLE) AS x, CAST(cum_tp AS DOUBLE) AS y, neg AS n, pos AS m FROM running)
+    WINDOW w AS (PARTITION BY model ORDER BY p DESC)) WHERE turn IS NULL OR turn <> 0
+UNION ALL SELECT DISTINCT model, NULL, 0, 0 FROM running""",
+        SCORES, CUMULATIVE,
+    ),
+    "roc_curve_cells": _with(
+        """SELECT model, p AS threshold, fpr, tpr FROM (
+    SELECT *, row_number() OVER (PARTITION BY model, floor((fpr + tpr) / 2 * 40) ORDER BY p) AS place
+    FROM (SELECT model, p, cum_fp / neg AS fpr, cum_tp / pos AS tpr FROM running)) WHERE place = 1
+UNION ALL SELECT DISTINCT model, NULL, 0, 0 FROM running""",
+        SCORES, CUMULATIVE,
+    ),
+    "pr_curve_cells": _with(
+        """SELECT model, p AS threshold, precision, recall, baseline FROM (
+    SELECT *, row_number() OVER (PARTITION BY model, cell ORDER BY p) AS last,
+           row_number() OVER (PARTITION BY model, cell ORDER BY precision, p DESC) AS least,
+           row_number() OVER (PARTITION BY model, cell ORDER BY precision DESC, p DESC) AS most
+    FROM (SELECT model, p, cum_tp / (cum_tp + cum_fp) AS precision, cum_tp / pos AS recall, pos / (pos + neg) AS baseline,
+                 floor(cum_tp / pos * 20) AS cell FROM running)) WHERE 1 IN (last, least, most)
+UNION ALL SELECT DISTINCT model, NULL, 1, 0, pos / (pos + neg) FROM running""",
+        SCORES, CUMULATIVE,
+    ),
     "pr_curve": _with(
         """SELECT model, p AS threshold, cum_tp / (cum_tp + cum_fp) AS precision, cum_tp / pos AS recall,
        pos / (pos + neg) AS baseline FROM running

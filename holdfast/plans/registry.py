@@ -294,6 +294,24 @@ def pr_curve(s: Study) -> DataFrame:
     return metrics.pr_curve(rule_scores(s.customers))
 
 
+@query
+def roc_curve_corners(s: Study) -> DataFrame:
+    """The same curve without points on straight lines."""
+    return metrics.roc_curve(rule_scores(s.customers), corners=True)
+
+
+@query
+def roc_curve_cells(s: Study) -> DataFrame:
+    """40 points of the curve at most, and the start."""
+    return metrics.roc_curve(rule_scores(s.customers), cells=40)
+
+
+@query
+def pr_curve_cells(s: Study) -> DataFrame:
+    """Three points at most for each of 20 parts of recall, and the end."""
+    return metrics.pr_curve(rule_scores(s.customers), cells=20)
+
+
 @query
 def roc_auc(s: Study) -> DataFrame:
     return rounded(metrics.areas(rule_scores(s.customers)).select("model", "roc_auc"), 9, "roc_auc")

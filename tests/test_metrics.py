@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -106,3 +107,44 @@ def test_scorecard_names_the_winner(make_scored):
     assert card["recall"]["winner"] == "tie" and card["roc_auc"]["winner"] == "b"
     assert card["roc_auc"]["delta"] == pytest.approx(0.3333)
     assert not math.isnan(card["f1"]["delta"])
+
+
+def _shape(curve):
+    return sorted((r["model"], r["fpr"], r["tpr"]) for r in curve.collect())
+
+
+def _area(points):
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+
+@pytest.mark.parametrize("borders", [[], [0.2, 0.21, 0.5, 0.77], [k / 50 for k in range(50)]])
+def test_corners_are_the_same_curve_whatever_the_borders(spark, monkeypatch, borders):
+    """Points between collinear neighbours go, also where the neighbours are in other buckets."""
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(600), 2)
+    label = np.where(p > 0.8, 1, np.where(p < 0.3, 0, rng.integers(0, 2, 600)))
+    scored = spark.createDataFrame([("m", int(c), float(v), int(v >= 0.5)) for c, v in zip(label, p)], "model string, label int, p double, prediction int")
+    monkeypatch.setattr(metrics, "split_points", lambda *_: borders)
+    full, corners = ([(f, t) for _, f, t in _shape(metrics.roc_curve(scored, corners=c))] for c in (False, True))
+    assert set(corners) < set(full) and corners[0] == (0.0, 0.0) and corners[-1] == (1.0, 1.0)
+    assert _area(corners) == pytest.approx(_area(full), abs=1e-12)
+    turns = [(b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(corners, corners[1:], corners[2:])]
+    assert all(abs(t) > 1e-9 for t in turns)
+
+
+@pytest.mark.parametrize("cells", [5, 40])
+def test_thinned_curves_are_bounded_and_close(spark, cells):
+    rng = np.random.default_rng(4)
+    p = rng.random(3000)
+    label = (rng.random(3000) < p).astype(int)
+    scored = spark.createDataFrame([("m", int(c), float(v), int(v >= 0.5)) for c, v in zip(label, p)], "model string, label int, p double, prediction int")
+    full, thin = ([(f, t) for _, f, t in _shape(metrics.roc_curve(scored, cells=c))] for c in (None, cells))
+    assert len(thin) <= cells + 2 and thin[0] == (0.0, 0.0) and thin[-1] == (1.0, 1.0)
+    assert abs(_area(thin) - _area(full)) <= 4 / cells
+    assert all(min(abs(a - f) + abs(b - t) for f, t in thin) <= 2 / cells for a, b in full)
+    thin = metrics.pr_curve(scored, cells=cells).toPandas()
+    assert len(thin) <= 3 * (cells + 1) + 1
+    whole = metrics.pr_curve(scored).toPandas().dropna()
+    parts = np.floor(whole.recall * cells)
+    kept = thin.dropna().groupby(np.floor(thin.dropna().recall * cells)).precision.agg(["min", "max"])
+    assert (whole.precision >= parts.map(kept["min"])).all() and (whole.precision <= parts.map(kept["max"])).all()
