@@ -20,6 +20,7 @@ from holdfast.functions.fixed import CV_METRICS, FOLDS, ID, LABEL, LOGISTIC, SEE
 from holdfast.operators.features import CustomerFeaturesModel
 from holdfast.operators.metrics import metric_rows
 from holdfast.sources.tables import fresh_path, settle, shared_folder
+from holdfast.sources.versions import resolve
 
 WEIGHT = "weight"
 
@@ -148,21 +149,24 @@ def _name(model: Model) -> str:
     return model.getProbabilityCol().removeprefix("probability_")
 
 
-def _scores(models: list[Model]) -> Column:
-    return F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(_name(m)).alias("model"),
-                    vector_to_array(m.getProbabilityCol())[1].alias("p"),
-                    F.col(m.getPredictionCol()).cast("int").alias("prediction"),
-                )
-                for m in models
-            ]
-        )
+def score_array(models: list[Model]) -> Column:
+    """Name, probability and class of each model, as an array."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(_name(m)).alias("model"),
+                vector_to_array(m.getProbabilityCol())[1].alias("p"),
+                F.col(m.getPredictionCol()).cast("int").alias("prediction"),
+            )
+            for m in models
+        ]
     )
 
 
+def _scores(models: list[Model]) -> Column:
+    return F.inline(score_array(models))
+
+
 def score(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
     """Class and probability of each model: the given columns plus model, p, prediction.
 
@@ -209,7 +213,7 @@ def save_pipeline(pipeline: PipelineModel, path: str) -> None:
 
 
 def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    return PipelineModel.load(resolve(SparkSession.active(), path))
 
 
 def node_table(spark: SparkSession, model: GBTClassificationModel, path: str) -> DataFrame:

@@ -178,15 +178,16 @@ def _chunks(groups: list[Paths], limit: int) -> list[list[Paths]]:
     return chunks
 
 
-def explain(df: DataFrame, nodes: DataFrame, vector: str = "features", limit: int = BROADCAST_BYTES) -> DataFrame:
+def explain(df: DataFrame, nodes: DataFrame | tuple[float, list[Paths]], vector: str = "features", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add base, value (array) and shap (array) to a table with a feature vector.
 
     The work is narrow: every task explains its own rows against the broadcast
     paths. Shapley values add up over paths, so an ensemble too large for
-    one broadcast is explained in several passes over a stored table.
+    one broadcast is explained in several passes over a stored table. Instead of
+    nodes their collected paths can be given, where several tables are explained.
     """
     spark = df.sparkSession
-    base, groups = collected_paths(tree_paths(nodes))
+    base, groups = collected_paths(tree_paths(nodes)) if isinstance(nodes, DataFrame) else nodes
     kept = [c for c in df.columns if c != vector]
     out = df.select(
         *kept, F.lit(base).alias("base"), vector_to_array(vector).alias("value"), F.lit(None).cast("array<double>").alias("shap")

@@ -573,6 +573,23 @@ FROM (SELECT count(*) FILTER (churn = 0) AS neg, count(*) FILTER (churn = 1) AS
 UNION ALL SELECT DISTINCT model, NULL, 0, 0 FROM running""",
         SCORES, CUMULATIVE,
     ),
+    "stream_sinks": _with(
+        """SELECT 2 * count(*) FILTER (CLIENTNUM % 10 <> 0) AS n_records, count(*) FILTER (CLIENTNUM % 10 <> 0) AS n_scored,
+       CAST(2 * sum(CLIENTNUM) FILTER (CLIENTNUM % 10 <> 0) AS BIGINT) AS id_sum, 0 AS n_not_adding_up,
+       count(*) FILTER (CLIENTNUM % 10 = 0) AS n_rejected, count(*) FILTER (CLIENTNUM % 10 = 0) AS n_without_income FROM customers"""
+    ),
+    "model_artifacts": _with(
+        """SELECT 'customers' AS artifact, count(*) AS n_rows FROM customers UNION ALL SELECT 'features', count(*) FROM customers
+UNION ALL SELECT split, count(*) FROM divided GROUP BY split
+UNION ALL SELECT 'scored', 2 * count(*) FROM divided WHERE split = 'test' UNION ALL SELECT 'contributions', count(*) FROM divided WHERE split = 'test'""",
+        _split_ctes(),
+    ),
+    "monitor_two_ingests": _with(
+        """SELECT count(*) AS n_rows, count(*) - count(CLIENTNUM) AS n_without_key,
+       CASE WHEN count(DISTINCT CLIENTNUM) = count(*) THEN 1 ELSE 0 END AS may_be_unique, 1 AS keys_close,
+       count(*) - count(Gender) AS n_missing_gender,
+       greatest(count(*) FILTER (CLIENTNUM % 2 = 0), count(*) FILTER (CLIENTNUM % 2 = 1)) AS most_in_one_ingest FROM customers"""
+    ),
     "roc_curve_corners": _with(
         """SELECT model, threshold, fpr, tpr FROM (
     SELECT model, p AS threshold, x / n AS fpr, y / m AS tpr,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,10 +14,11 @@ from holdfast.operators import business, contributions, metrics, models, profile
 from holdfast.operators.features import (
     CustomerFeatures, count_unknowns, encode_gender, encode_nominals, encode_ordinals, engineer, fit_categories, log_columns,
 )
+from holdfast.plans import artifacts
 from holdfast.plans.retention import Study, study
 from holdfast.sources import star, tables
 from holdfast.sources.schema import CUSTOMERS, missing_columns, numeric_columns
-from holdfast.streaming import scoring
+from holdfast.streaming import monitor, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -626,3 +628,44 @@ def stream_scores(s: Study) -> DataFrame:
     base = s.customers.agg(F.avg(LABEL) * 100).first()[0]
     scoring.stream_scores(s.spark, source, arrivals.schema, s.pipeline, base, sink, checkpoint).awaitTermination()
     return s.spark.read.parquet(sink).select(*_RISK)
+
+
+@query
+def stream_sinks(s: Study) -> DataFrame:
+    """Records and rejects of a stream in which every tenth customer has an income band nobody has mapped."""
+    source, scores, rejects, checkpoint = (tables.fresh_path(s.spark, name) for name in ("arrivals", "stream-records", "stream-rejects", "stream-checkpoint"))
+    odd = F.when(F.col(ID) % 10 == 0, "$1 a day").otherwise(F.col("Income_Category"))
+    arrivals = tables.write_table(s.customers.withColumn("Income_Category", odd), source)
+    base = s.customers.agg(F.avg(LABEL) * 100).first()[0]
+    scoring.stream_to_sinks(s.spark, source, arrivals.schema, s.pipeline, s.nodes, base, scores, rejects, checkpoint).awaitTermination()
+    records, left = s.spark.read.parquet(scores), s.spark.read.parquet(rejects)
+    total = F.aggregate("shap", F.col("base"), lambda a, x: a + x)
+    return records.agg(
+        F.count("*").alias("n_records"), F.count_distinct(ID).alias("n_scored"), F.sum(ID).alias("id_sum"),
+        F.count_if(F.abs(total - F.col("log_odds")) > 1e-6).alias("n_not_adding_up"),
+    ).crossJoin(left.agg(F.count("*").alias("n_rejected"), F.count_if(F.array_contains("missing", "Income_Category")).alias("n_without_income")))
+
+
+@query
+def model_artifacts(s: Study) -> DataFrame:
+    """Rows of every table of an exported and reloaded set."""
+    path = tables.fresh_path(s.spark, "study")
+    s.export(path, cross_validation=False)
+    found = artifacts.load_artifacts(s.spark, path).tables
+    names = ["customers", "features", "train", "test", "scored", "contributions"]
+    counts = [found[name].agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("artifact"), "n_rows") for name in names]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@query
+def monitor_two_ingests(s: Study) -> DataFrame:
+    """A table measured as it grows, the second time from its new files alone."""
+    source, store, checkpoint = (tables.fresh_path(s.spark, name) for name in ("growing", "measures", "measures-checkpoint"))
+    for half in (0, 1):
+        s.customers.filter(F.col(ID) % 2 == half).write.mode("append").parquet(source)
+        monitor.measure_arrivals(s.spark, source, s.customers.schema, ID, store, checkpoint).awaitTermination()
+    measures = s.spark.read.parquet(store)
+    near = F.abs(F.col("keys_estimated") - F.col("n_rows")) <= 4 * monitor.error() * F.col("n_rows")
+    return monitor.report(measures).select(
+        "n_rows", "n_without_key", "may_be_unique", near.cast("int").alias("keys_close"), F.col("n_missing")["Gender"].alias("n_missing_gender")
+    ).crossJoin(measures.agg(F.max("n_rows").alias("most_in_one_ingest")))

@@ -17,7 +17,9 @@ from holdfast.operators.contributions import TARGET
 from holdfast.operators import metrics, models, quality, split, treeshap
 from holdfast.operators.features import CustomerFeatures, CustomerFeaturesModel
 from holdfast.operators.models import Learner
+from holdfast.plans import artifacts
 from holdfast.sources.tables import drop_table, files_state, fresh_path, settle, write_report, write_table
+from holdfast.sources.versions import new_folder, publish
 
 TRUSTED = 60.0  # seconds
 
@@ -118,19 +120,25 @@ class Study:
         return models.cross_validate(self.learners, models.vector_table(self.features, folded, "fold"), self.folds)
 
     def export(self, path: str, cross_validation: bool = True) -> None:
-        """Write everything the study made: tables, pipeline, reports, contributions."""
-        write_table(self.customers, f"{path}/customers")
-        write_table(self.features.table(self.customers), f"{path}/features")
-        for side in ("train", "test"):
-            write_table(self.features.table(getattr(self, side)), f"{path}/{side}")
-        models.save_pipeline(self.pipeline, f"{path}/pipeline")
-        write_table(self.scored, f"{path}/scored")
-        write_table(self.explained, f"{path}/contributions")
-        write_report(metrics.metric_rows(self.scored), f"{path}/test_metrics")
+        """Write everything the study made, as one set: tables, pipeline, nodes, reports, contributions.
+
+        The set replaces the one at path when it is complete; see load_artifacts.
+        """
+        folder = new_folder(path)
+        tables = {"customers": self.customers, "features": self.features.table(self.customers)}
+        tables |= {side: self.features.table(getattr(self, side)) for side in ("train", "test")}
+        tables |= {"scored": self.scored, "nodes": self.nodes, "contributions": self.explained}
+        counts = {name: write_table(table, f"{folder}/{name}").count() for name, table in tables.items()}
+        models.save_pipeline(self.pipeline, f"{folder}/pipeline")
+        reports = {"test_metrics": metrics.metric_rows(self.scored)}
         if cross_validation:
-            names = [learner.name for learner in self.learners]
-            write_report(models.cv_comparison(self.fold_metrics, names), f"{path}/model_comparison")
-
+            reports["model_comparison"] = models.cv_comparison(self.fold_metrics, [learner.name for learner in self.learners])
+        for name, report in reports.items():
+            write_report(report, f"{folder}/{name}")
+        schemas = {name: report.schema.simpleString() for name, report in reports.items()}
+        about = artifacts.described(self.pipeline, counts, schemas)
+        artifacts.load(self.spark, folder, about)  # raises if the parts do not fit each other
+        publish(self.spark, path, folder, about)
 
     def close(self) -> None:
         """Delete what this study has stored. Its tables cannot be read any more."""

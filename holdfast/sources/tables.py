@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from holdfast.sources.schema import RAW
+from holdfast.sources.versions import file_system, new_folder, publish, resolve
 
 
 _OWN: dict[str, str] = {}
@@ -47,7 +48,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType = RAW) -> DataFr
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A parquet table; of one that has been replaced the version that is current now."""
+    return spark.read.parquet(resolve(spark, path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -55,7 +57,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at path and return it, read back.
+    """Write a table to path, where nothing that matters is, and return it, read back.
 
     The rows are counted on their way out and again in the written files; a
     difference is an error.
@@ -69,11 +71,15 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return stored
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Hadoop's path and file system of a file, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    found = jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at path, whatever df is computed from, and return it, read back.
+
+    Readers (read_table) find the old table until the new one is written and verified, then the new one.
+    """
+    folder = new_folder(path)
+    stored = write_table(df, folder)
+    publish(df.sparkSession, path, folder, {"columns": df.columns})
+    return stored
 
 
 def files_state(spark: SparkSession, paths: list[str]) -> tuple:
@@ -89,7 +95,7 @@ def files_state(spark: SparkSession, paths: list[str]) -> tuple:
 def drop_table(df: DataFrame) -> None:
     """Delete the folder of a table that settle has written."""
     for folder in {os.path.dirname(file) for file in df.inputFiles()}:
-        path, store = _file_system(df.sparkSession, folder)
+        path, store = file_system(df.sparkSession, folder)
         store.delete(path, True)
 
 
@@ -99,7 +105,7 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return read_csv(spark, path, schema)
+    return read_csv(spark, resolve(spark, path), schema)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,8 +12,8 @@ from pyspark.sql.types import StructType
 from holdfast.functions.fixed import ID
 from holdfast.operators.business import with_recommendations, with_risk_tier
 from holdfast.operators.contributions import waterfalls
-from holdfast.operators.models import score
-from holdfast.operators.treeshap import LOG_ODDS, explain
+from holdfast.operators.models import score, score_array
+from holdfast.operators.treeshap import LOG_ODDS, collected_paths, explain, tree_paths
 
 
 def with_open_to_buy(customers: DataFrame) -> DataFrame:
@@ -52,6 +53,58 @@ def explained_records(customers: DataFrame, pipeline: PipelineModel, nodes: Data
     return steps.select("key.*", "base", "shap", "steps")
 
 
+def explained_scores(
+    customers: DataFrame, pipeline: PipelineModel, nodes: DataFrame | tuple, base_rate: Column | float, top: int = 12
+) -> DataFrame:
+    """risk_records with the tree model's log-odds, base, contributions and waterfall in each, from one pass over the rows."""
+    marked = pipeline.stages[0].with_missing(with_open_to_buy(customers))
+    margin = vector_to_array(pipeline.stages[-1].getRawPredictionCol())[1]
+    made = pipeline.transform(marked.filter(F.size("missing") == 0))
+    row = F.struct(*marked.columns, score_array(pipeline.stages[1:]).alias("scores"), (margin * LOG_ODDS).alias("log_odds"))
+    shap = explain(made.select(row.alias("row"), "features"), nodes)
+    steps = waterfalls(shap, pipeline.stages[0].feature_names, top, "row").select("row.*", "base", "shap", "steps")
+    scored = steps.select("*", F.inline("scores")).drop("scores")
+    records = with_recommendations(with_risk_tier(scored, base_rate))
+    return records.unionByName(marked.filter(F.size("missing") > 0), allowMissingColumns=True)
+
+
+def _write_batch(rows: DataFrame, folder: str, batch: int) -> None:
+    """One batch's rows in a folder of its own, whatever an earlier attempt has left there."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def stream_to_sinks(
+    spark: SparkSession,
+    source: str,
+    schema: StructType,
+    pipeline: PipelineModel,
+    nodes: DataFrame,
+    base_rate: float,
+    scores: str,
+    rejects: str,
+    checkpoint: str,
+    files_per_trigger: int = 1000,
+) -> StreamingQuery:
+    """Explain all parquet files in source not seen before, then stop: records to `scores`, rows that cannot be scored to `rejects`.
+
+    A batch is computed once and written to both sinks, each time into the folder of its number. A batch that was
+    killed between the sinks is run again under its number and replaces what it left, so that a
+    restart neither repeats nor loses rows. `rejects` holds the customers as they came, and `missing`.
+    """
+    paths = collected_paths(tree_paths(nodes))
+
+    def write(rows: DataFrame, number: int) -> None:
+        records = explained_scores(rows, pipeline, paths, base_rate).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write_batch(records.filter("model is not null"), scores, number)
+            _write_batch(records.filter("model is null").select(*with_open_to_buy(rows).columns, "missing"), rejects, number)
+        finally:
+            records.unpersist()
+
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_scores(
     spark: SparkSession,
     source: str,
