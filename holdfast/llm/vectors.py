@@ -32,9 +32,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def best(found: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The k best rows of each query, ranked from 1; ties go to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id")
+def best(found: DataFrame, k: int, score: str = "score", by: str | None = None) -> DataFrame:
+    """The k best rows of each query, by the score or the column `by`, ranked from 1; ties go to the smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by or score), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", score)
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -43,6 +45,50 @@ def test_top_k(odd_vectors):
     assert topk.top_k(odd_vectors.limit(0)).count() == 0
 
 
+def exact(x):
+    return int(x) * 256 if abs(x) >= 2.0**52 else math.floor(256 * x)
+
+
+@pytest.mark.parametrize("size", [1e8, 1e15, 1e36])
+def test_top_k_of_any_finite_size(spark, size):
+    """Large components among small ones, scores beyond a long, huge ties; against whole numbers of any size."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(150)]
+    rows += [(200 + i, [float(np.float32(x)) for x in rng.normal(size=6) * size]) for i in range(40)]
+    rows += [(300 + i, [size, 0.0, -size, 1.0, 0.0, 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = {i: [exact(float(np.float32(x))) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in held if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(held[q], w)), i) for i, w in held.items() if i != q)[:5]
+        want += [(q, n, i, -s if abs(s) < 2**63 else None) for n, (s, i) in enumerate(best, 1)]
+    for block in (32, 8192):
+        assert sorted(tuple(r) for r in topk.top_k(df, block=block, query_block=2).collect()) == want
+
+
+def test_doubles_near_the_largest(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e-300, 5.0]), (2, [-1e300, 0.0]), (3, [1e300, 2.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(df, k=4).orderBy("rank").collect()] == [3, 4, 1, 2]
+
+
+def test_places_sort_like_numbers():
+    numbers = [0, 1, -1, 9, 10, -9, -10, 99, -100, 2**63, -(2**63), 10**300, -(10**300), 10**300 + 1]
+    assert sorted(numbers, key=topk.place) == sorted(numbers)
+
+
+def test_a_bound_from_another_block_leaves_out_only_what_cannot_reach_it():
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(3000, 16))
+    lists, query = topk.Lists(rows), rng.normal(size=16)
+    score = np.array(lists.scores(np.arange(3000), query))
+    own = np.zeros(3000, bool)
+    for least in (-np.inf, float(np.sort(score)[-3]), float(score.max()), float(score.max()) + 1e6):
+        kept, _ = topk.search(lists, query, 5, own, least)
+        need = [i for i in np.argsort(-score, kind="stable")[:5].tolist() if score[i] >= least]
+        assert set(need) <= set(kept.tolist())
+    assert len(topk.search(lists, query, 5, own, 1e12)[0]) == 0
+
+
 def test_reading_stops_early_and_bounds_hold():
     rng = np.random.default_rng(5)
     rows = np.floor(256 * rng.normal(size=(4000, 32)) * np.linspace(2, 0.1, 32)).astype(np.int32)
