@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -208,6 +208,25 @@ def cv_comparison(fold_metrics: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def optimality(model: LogisticRegressionModel, vectors: DataFrame, C: float = LOGISTIC["C"], label: str = LABEL) -> DataFrame:
+    """How far a balanced L2 logistic regression is from solving its penalised likelihood on these rows: one row with
+    n_rows, n_features and max_gradient, the largest entry of beta - C * sum of weighted residuals times x, and of the
+    residuals' sum, which the intercept makes 0."""
+    row = class_weights(vectors, label).first()
+    retained, churned = balanced_weights(row["n_retained"], row["n_churned"])
+    beta = model.coefficients.toArray().tolist()
+    x = vector_to_array("features")
+    margin = sum((x[i] * b for i, b in enumerate(beta)), F.lit(float(model.intercept)))
+    y = F.col(label).cast("double")
+    residual = F.when(y == 1, churned).otherwise(retained) * (y - 1 / (1 + F.exp(-margin)))
+    rows = vectors.select(x.alias("x"), residual.alias("r"))
+    sums = [F.lit(b) - C * F.sum(F.col("r") * F.col("x")[i]) for i, b in enumerate(beta)]
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(beta)).alias("n_features"),
+        F.array_max(F.array(*[F.abs(s) for s in [*sums, F.sum("r")]])).alias("max_gradient"),
+    )
+
+
 def save_pipeline(pipeline: PipelineModel, path: str) -> None:
     pipeline.write().overwrite().save(path)
 

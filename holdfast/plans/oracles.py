@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
-from holdfast.functions.fixed import (
-    AGE_EDGES, AGE_LABELS, DISTRIBUTIONS, EDUCATION_CODES, FEATURES, INCOME_CODES, SEED, SEGMENTS,
-    SCENARIO_COSTS, SCENARIO_SIZES, SCENARIO_SUCCESS, TIERS,
-)
-from holdfast.plans.registry import rule_bend, rule_shift, rule_weight
-from holdfast.sources.schema import CUSTOMERS
+# Fixed values, written out here once more: the SQL shares nothing with the engine.
+AGE_EDGES = [25, 35, 45, 55, 65, 75]
+AGE_LABELS = ["26-35", "36-45", "46-55", "56-65", "66-75"]
+EDUCATION_CODES = {"Uneducated": 0, "High School": 1, "College": 2, "Graduate": 3, "Post-Graduate": 4, "Doctorate": 5, "Unknown": -1}
+INCOME_CODES = {"Less than $40K": 0, "$40K - $60K": 1, "$60K - $80K": 2, "$80K - $120K": 3, "$120K +": 4, "Unknown": -1}
+SEGMENTS = ["Income_Category", "Education_Level", "Card_Category", "Marital_Status"]
+SEED = 42
+SCENARIO_SIZES, SCENARIO_COSTS, SCENARIO_SUCCESS = [1_000, 10_000, 100_000, 500_000], [50, 300, 1_000], [10, 30, 60]
+TIERS = [
+    (0.6, "HIGH RISK", "Immediate intervention recommended."),
+    (0.3, "MEDIUM RISK", "Monitor closely and consider proactive outreach."),
+    (0.0, "LOW RISK", "Customer appears engaged. Continue standard service."),
+]
+TEXT = ["Gender", "Education_Level", "Marital_Status", "Income_Category", "Card_Category"]
+COLUMNS = [
+    "CLIENTNUM", "Customer_Age", "Gender", "Dependent_count", "Education_Level", "Marital_Status", "Income_Category", "Card_Category",
+    "Months_on_book", "Total_Relationship_Count", "Months_Inactive_12_mon", "Contacts_Count_12_mon", "Credit_Limit",
+    "Total_Revolving_Bal", "Avg_Open_To_Buy", "Total_Amt_Chng_Q4_Q1", "Total_Trans_Amt", "Total_Trans_Ct",
+    "Total_Ct_Chng_Q4_Q1", "Avg_Utilization_Ratio", "churn",
+]
+NUMERIC = [c for c in COLUMNS if c not in TEXT]
+DISTRIBUTIONS = [
+    "Customer_Age", "Months_on_book", "Credit_Limit", "Total_Trans_Amt", "Total_Trans_Ct", "Avg_Utilization_Ratio",
+    "Total_Revolving_Bal", "Total_Relationship_Count",
+]
+FEATURES = [
+    "Customer_Age", "Gender", "Dependent_count", "Education_Level", "Income_Category", "Months_on_book", "Total_Relationship_Count",
+    "Months_Inactive_12_mon", "Contacts_Count_12_mon", "Total_Revolving_Bal", "Total_Amt_Chng_Q4_Q1", "Total_Trans_Ct",
+    "Total_Ct_Chng_Q4_Q1", "Avg_Utilization_Ratio", "Credit_Limit_log", "Avg_Open_To_Buy_log", "Total_Trans_Amt_log",
+    "transaction_velocity", "inactivity_risk", "credit_usage_gap", "Marital_Status_Married", "Marital_Status_Single",
+    "Marital_Status_Unknown", "Card_Category_Gold", "Card_Category_Platinum", "Card_Category_Silver",
+]
+
+
+def rule_weight(i: int) -> float:
+    return ((7 * i) % 11 - 5) / 7
+
+
+def rule_bend(i: int) -> float:
+    return ((3 * i) % 5) / 13
+
+
+def rule_shift(i: int) -> float:
+    return (5 * i) % 7 - 2.5
 
-COLUMNS = CUSTOMERS.fieldNames()
-NUMERIC = [f.name for f in CUSTOMERS if f.dataType.typeName() != "string"]
-TEXT = [c for c in COLUMNS if c not in NUMERIC]
 
 RAW = """
 hz AS (SELECT max(year(o_orderdate) * 12 + month(o_orderdate)) AS m FROM orders),
@@ -478,7 +513,32 @@ FROM (VALUES (0, 'Total_Trans_Ct'), (1, 'Contacts_Count_12_mon'), (2, 'Credit_Li
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _cv() -> str:
+    """Metrics of each rule and fold, then their mean and deviation; a rule's fold is a model of its own on the way."""
+    parts = ", ".join(
+        f"round_even(avg(v) FILTER (rule = '{r}'), 4) AS {r}_mean, round_even(stddev_pop(v) FILTER (rule = '{r}'), 4) AS {r}_std" for r in ("rule_count", "rule_activity")
+    )
+    return _with(
+        f"SELECT metric, {parts} FROM long GROUP BY metric",
+        _split_ctes(),
+        f"""folded AS (SELECT *, ntile(5) OVER (PARTITION BY churn ORDER BY md5(CAST(CLIENTNUM AS VARCHAR) || ':{SEED + 1}'), CLIENTNUM) - 1 AS fold
+            FROM divided WHERE split = 'train')""",
+        SCORES.replace("FROM customers", "FROM folded").replace("SELECT * RENAME (churn AS label)", "SELECT * EXCLUDE (model) RENAME (churn AS label), model || ':' || fold AS model"),
+        CUMULATIVE, AREAS, COUNTS,
+        """by_fold AS (SELECT split_part(model, ':', 1) AS rule, roc_auc, 2 * tp / (tp + fp + pos) AS f1,
+                   CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, tp / pos AS recall FROM counts JOIN auc USING (model))""",
+        "long AS (UNPIVOT by_fold ON roc_auc, f1, precision, recall INTO NAME metric VALUE v)",
+    )
+
+
 ORACLES: dict[str, str] = {
+    "cv_fixed_scores": _cv(),
+    "model_logistic_optimum": _with("SELECT count(*) AS n_rows, 26 AS n_features, 1 AS at_optimum FROM divided WHERE split = 'train'", _split_ctes()),
+    "shap_flags": _with(
+        """SELECT count(*) AS n_explained, 0 AS n_bad, 1 AS adds_up, 1 AS base_in_range, 1 AS means_in_range, 1 AS mostly_spread
+FROM divided WHERE split = 'test'""",
+        _split_ctes(),
+    ),
     "shap_fixed_trees": _fixed_shap(),
     "gain_fixed_trees": _fixed_gain(),
     "ingest_customers": _with("SELECT * FROM customers"),

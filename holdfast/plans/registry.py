@@ -505,6 +505,31 @@ def cv_comparison(s: Study) -> DataFrame:
     return models.cv_comparison(s.fold_metrics, [learner.name for learner in s.learners])
 
 
+@query
+def cv_fixed_scores(s: Study) -> DataFrame:
+    """The comparison over folds, of the hand-written scores."""
+    folded = rule_scores(split.with_folds(s.train))
+    return models.cv_comparison(metrics.metric_rows(folded, ["model", "fold"], digits=12), ["rule_count", "rule_activity"])
+
+
+@query
+def model_logistic_optimum(s: Study) -> DataFrame:
+    """Whether the fitted coefficients solve the penalised likelihood of the training rows."""
+    row = models.optimality(s.pipeline.stages[1], models.vector_table(s.features, s.train))
+    return row.select("n_rows", "n_features", (F.col("max_gradient") < 0.05).cast("int").alias("at_optimum"))
+
+
+@query
+def shap_flags(s: Study) -> DataFrame:
+    """The checks of shap_checks, as flags."""
+    row = shap_checks(s)
+    return row.select(
+        F.col("n").alias("n_explained"), "n_bad", (F.col("max_gap") < 1e-6).cast("int").alias("adds_up"),
+        (F.abs("base") < 20).cast("int").alias("base_in_range"), (F.col("max_abs_mean") < 5).cast("int").alias("means_in_range"),
+        (F.col("n_flat") < 0.5 * len(FEATURES)).cast("int").alias("mostly_spread"),
+    )
+
+
 @query
 def gain_importance(s: Study) -> DataFrame:
     return models.gain_importance(s.nodes, s.features.feature_names)

@@ -118,3 +118,11 @@ def test_exported_study_can_be_read_again(study, spark, tmp_path):
     contributions_again = tables.read_table(spark, f"{tmp_path}/contributions")
     assert contributions_again.count() == 300 and "base" in contributions_again.columns
     assert models.load_pipeline(f"{tmp_path}/pipeline").stages[0].feature_names == FEATURES
+
+
+def test_optimality_tells_a_fit_from_another(study):
+    vectors = models.vector_table(study.features, study.train)
+    fitted = models.optimality(study.pipeline.stages[1], vectors).first()
+    assert (fitted["n_rows"], fitted["n_features"]) == (1200, 26) and fitted["max_gradient"] < 0.05
+    hasty = models.fit(models.logistic(max_iter=2), vectors)
+    assert models.optimality(hasty, vectors).first()["max_gradient"] > 1
