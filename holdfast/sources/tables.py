@@ -108,6 +108,32 @@ def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return read_csv(spark, resolve(spark, path), schema)
 
 
+#: Folders that settle has written, by session, in order.
+_STORED: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder so that several jobs can read it."""
-    return write_table(df, fresh_path(df.sparkSession, name))
+    """Write df once into the shared folder so that several jobs can read it.
+
+    The table stays until drop_table, clear_since or the end of the folder.
+    """
+    path = fresh_path(df.sparkSession, name)
+    _STORED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return write_table(df, path)
+
+
+def stored_so_far(spark: SparkSession) -> int:
+    """A mark for clear_since."""
+    return len(_STORED.get(spark.sparkContext.applicationId, []))
+
+
+def clear_since(spark: SparkSession, mark: int) -> None:
+    """Delete the tables settle has written since the mark, once what was computed from them is itself written.
+
+    Tables of other threads count too: a session that computes several things side by side clears at its end.
+    """
+    paths = _STORED.get(spark.sparkContext.applicationId, [])
+    for path in paths[mark:]:
+        place, store = file_system(spark, path)
+        store.delete(place, True)
+    del paths[mark:]

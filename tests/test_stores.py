@@ -138,3 +138,15 @@ def test_measures_of_nothing_and_without_keys(spark):
     assert (row["n_rows"], row["keys_estimated"]) == (0, 0)
     row = monitor.report(monitor.measured(spark.createDataFrame([(None, "x"), (1, None)], "id long, a string"), "id")).first()
     assert (row["n_rows"], row["n_without_key"], row["may_be_unique"], row["n_missing"]) == (2, 1, 0, {"id": 1, "a": 1})
+
+
+def test_intermediate_tables_are_deleted_when_asked(spark, tmp_path):
+    before = tables.settle(spark.range(3), "kept")
+    mark = tables.stored_so_far(spark)
+    made = [tables.settle(spark.range(n), "made") for n in (4, 5)]
+    tables.replace_table(made[0].union(made[1]), str(tmp_path / "result"))
+    files = [f for t in made for f in t.inputFiles()]
+    tables.clear_since(spark, mark)
+    assert tables.stored_so_far(spark) == mark and before.count() == 3
+    assert not any(versions.file_system(spark, f)[1].exists(versions.file_system(spark, f)[0]) for f in files)
+    assert tables.read_table(spark, str(tmp_path / "result")).count() == 9
