@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from holdfast.sources.tables import settle
+from holdfast.sources.tables import drop_table, settle
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b); component is the smallest id that can be reached.
 
-    Contracts stars until nothing changes, a logarithmic number of rounds as a rule. Each round is stored.
+    Contracts stars until nothing changes, a logarithmic number of rounds as a rule. Each round is stored, and the one before deleted.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct()
     links, before = settle(links, "links"), None
@@ -38,6 +38,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        links = settle(_star(_star(links, large=True), large=False), "links")
+        old, links = links, settle(_star(_star(links, large=True), large=False), "links")
+        drop_table(old)
     roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from holdfast.llm.components import components
-from holdfast.sources.tables import settle
+from holdfast.sources.tables import drop_table, settle
 
 POSITIONS = 120
 #: Chunk sizes to choose from; shorter ones would be shared by chance too often.
@@ -368,12 +368,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = members.where(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     tried = settle(within_distance(first, classes, percent), "pairs")
     links = settle(confirm(tried, texts, percent), "confirmed")
+    drop_table(tried)
     found = settle(components(links), "components")
     # Keys with documents of more than one component: what joins these within the distance makes them a family.
     placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
     rest = placed.join(mixed_keys.select("key"), "key", "left_semi").join(classes.select("id", "signature"), "id")
     near = settle(across(rest, percent=percent).distinct(), "near")
+    drop_table(members)
     if not near.isEmpty():
         of = found.select(F.col("id"), "component")
         ties = near.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
