@@ -188,16 +188,16 @@ FROM grid JOIN vals USING ("by") GROUP BY "by", point, g""",
     )
 
 
-def _box(column: str) -> str:
+def _box(column: str, by: str = "churn") -> str:
     return _with(
-        f"""SELECT churn AS "by", round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3,
+        f"""SELECT {by} AS "by", round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3,
        round(CAST(min({column}) FILTER ({column} >= q1 - 1.5 * (q3 - q1)) AS DOUBLE), 6) AS whisker_lo,
        round(CAST(max({column}) FILTER ({column} <= q3 + 1.5 * (q3 - q1)) AS DOUBLE), 6) AS whisker_hi,
        count(*) FILTER ({column} < q1 - 1.5 * (q3 - q1) OR {column} > q3 + 1.5 * (q3 - q1)) AS n_out
-FROM customers JOIN q USING (churn) GROUP BY churn, q1, q2, q3""",
-        f"""q AS (SELECT churn, CAST(quantile_cont({column}, 0.25) AS DOUBLE) AS q1,
+FROM customers JOIN q USING ({by}) GROUP BY {by}, q1, q2, q3""",
+        f"""q AS (SELECT {by}, CAST(quantile_cont({column}, 0.25) AS DOUBLE) AS q1,
             CAST(quantile_cont({column}, 0.5) AS DOUBLE) AS q2,
-            CAST(quantile_cont({column}, 0.75) AS DOUBLE) AS q3 FROM customers GROUP BY churn)""",
+            CAST(quantile_cont({column}, 0.75) AS DOUBLE) AS q3 FROM customers GROUP BY {by})""",
     )
 
 
@@ -531,7 +531,46 @@ def _cv() -> str:
     )
 
 
+#: Missing values, and rows that occur two or three times.
+DIRTY = """customers AS (SELECT * EXCLUDE (copy) FROM (
+    SELECT * REPLACE (CASE WHEN CLIENTNUM % 7 <> 0 THEN Credit_Limit END AS Credit_Limit,
+                      CASE WHEN CLIENTNUM % 5 <> 0 THEN Total_Trans_Ct END AS Total_Trans_Ct,
+                      CASE WHEN CLIENTNUM % 9 <> 0 THEN Gender END AS Gender),
+           unnest(range(CASE WHEN CLIENTNUM % 33 = 0 THEN 3 WHEN CLIENTNUM % 11 = 0 THEN 2 ELSE 1 END)) AS copy FROM clean))"""
+
+
+def _on_dirty(sql: str) -> str:
+    """The same SQL over the dirty table."""
+    raw = RAW.strip()
+    return sql.replace(raw, raw.replace("customers AS (", "clean AS (") + ", " + DIRTY)
+
+
+def _known(sql: str, column: str, by: str) -> str:
+    """Without rows that lack the column or the class."""
+    return sql.replace("FROM customers", f"FROM (SELECT * FROM customers WHERE {column} IS NOT NULL AND {by} IS NOT NULL)")
+
+
 ORACLES: dict[str, str] = {
+    "dirty_audit": _on_dirty(_audit()),
+    "dirty_keys": _on_dirty(
+        _with("SELECT count(*) AS n_rows, count(DISTINCT CLIENTNUM) AS n_keys, CASE WHEN count(*) = count(DISTINCT CLIENTNUM) THEN 1 ELSE 0 END AS is_unique FROM customers")
+    ),
+    "dirty_correlations": _on_dirty(_correlations()),
+    "dirty_box": _on_dirty(_box("Total_Trans_Ct")),
+    "box_by_age": _box("Total_Trans_Amt", "Customer_Age"),
+    "dirty_kde": _on_dirty(_known(_kde("Total_Trans_Ct", 40, "(high - low) / 2", by="Gender"), "Total_Trans_Ct", "Gender")),
+    "dirty_hist": _on_dirty(
+        _histogram({c: c for c in ("Credit_Limit", "Total_Trans_Ct")}, 15, by="Gender").replace(
+            "FROM melted", 'FROM (SELECT * FROM melted WHERE x IS NOT NULL AND "by" IS NOT NULL)'
+        )
+    ),
+    "dirty_leak": _on_dirty(
+        _with(
+            """SELECT count(*) AS n_shared FROM (
+    SELECT Customer_Age, Total_Trans_Ct, Credit_Limit FROM customers WHERE CLIENTNUM % 2 = 0
+    INTERSECT SELECT Customer_Age, Total_Trans_Ct, Credit_Limit FROM customers WHERE CLIENTNUM % 3 = 0)"""
+        )
+    ),
     "cv_fixed_scores": _cv(),
     "model_logistic_optimum": _with("SELECT count(*) AS n_rows, 26 AS n_features, 1 AS at_optimum FROM divided WHERE split = 'train'", _split_ctes()),
     "shap_flags": _with(

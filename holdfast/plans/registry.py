@@ -190,6 +190,62 @@ def preview_churned(s: Study) -> DataFrame:
     return profile.preview(s.customers, churned_only=True)
 
 
+# The same operators on a table with missing values, rows that occur two or three times and keys that repeat
+
+
+def dirty(customers: DataFrame) -> DataFrame:
+    def without(column: str, every: int) -> Column:
+        return F.when(F.col(ID) % every != 0, F.col(column))
+
+    copies = F.lit(1) + (F.col(ID) % 11 == 0).cast("int") + (F.col(ID) % 33 == 0).cast("int")
+    gaps = {"Credit_Limit": without("Credit_Limit", 7), "Total_Trans_Ct": without("Total_Trans_Ct", 5), "Gender": without("Gender", 9)}
+    return customers.withColumns(gaps).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
+
+
+@query
+def dirty_audit(s: Study) -> DataFrame:
+    return quality.quality_audit(dirty(s.customers))
+
+
+@query
+def dirty_keys(s: Study) -> DataFrame:
+    return quality.key_uniqueness(dirty(s.customers))
+
+
+@query
+def dirty_correlations(s: Study) -> DataFrame:
+    return rounded(profile.correlations(dirty(s.customers)), 6, "r")
+
+
+@query
+def dirty_box(s: Study) -> DataFrame:
+    return rounded(profile.box(dirty(s.customers), "Total_Trans_Ct"), 6, "q1", "q2", "q3", "whisker_lo", "whisker_hi")
+
+
+@query
+def box_by_age(s: Study) -> DataFrame:
+    """A box for each age there is."""
+    return rounded(profile.box(s.customers, "Total_Trans_Amt", by="Customer_Age"), 6, "q1", "q2", "q3", "whisker_lo", "whisker_hi")
+
+
+@query
+def dirty_kde(s: Study) -> DataFrame:
+    return rounded(profile.kde(dirty(s.customers), "Total_Trans_Ct", by="Gender", points=40, reach=profile.CLOSE), 9, "g", "density")
+
+
+@query
+def dirty_hist(s: Study) -> DataFrame:
+    return _histogram(dirty(s.customers), ["Credit_Limit", "Total_Trans_Ct"], 15, by="Gender")
+
+
+@query
+def dirty_leak(s: Study) -> DataFrame:
+    """Distinct rows of three columns, missing values among them, on both of two overlapping sides."""
+    table = dirty(s.customers)
+    sides = (table.filter(F.col(ID) % 2 == 0), table.filter(F.col(ID) % 3 == 0))
+    return split.leaked_rows(*sides, ["Customer_Age", "Total_Trans_Ct", "Credit_Limit"])
+
+
 # Features
 
 
