@@ -32,6 +32,20 @@ FOUND = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
+def common_uri(uri: str) -> str:
+    """A place in the terms of Arrow: Hadoop has names of its own for S3."""
+    scheme, found, rest = uri.partition("://")
+    return f"s3://{rest}" if found and scheme in ("s3a", "s3n") else uri
+
+
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and place of a file or folder."""
+    try:
+        return fs.FileSystem.from_uri(common_uri(uri))
+    except (pa.ArrowInvalid, OSError) as error:
+        raise ValueError(f"record files cannot be written to {uri}: spark.checkpoint.dir must name a folder that is mounted, or in hdfs, s3, gs or abfs") from error
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> MASK_SHIFT | crc << (32 - MASK_SHIFT)) + MASK_DELTA) & 0xFFFFFFFF
@@ -60,7 +74,7 @@ class Writer:
     """One data file and its index, written under a name no other attempt uses."""
 
     def __init__(self, folder: str, width: str):
-        self.store, place = fs.FileSystem.from_uri(folder)
+        self.store, place = store_of(folder)
         self.store.create_dir(place, recursive=True)
         self.file = f"{place}/{uuid.uuid4().hex}.records"
         self.uri = f"{folder}/{self.file.rsplit('/', 1)[1]}"
@@ -87,14 +101,14 @@ class Writer:
 
 def read_index(file: str) -> np.ndarray:
     """(has id, id, offset, tokens) of a file's documents."""
-    store, place = fs.FileSystem.from_uri(file)
+    store, place = store_of(file)
     with store.open_input_stream(f"{place}.index") as source:
         return np.frombuffer(read_frame(source), "<i8").reshape(-1, 4)
 
 
 def read_at(file: str, offsets: list[int]) -> Iterator[tuple[int | None, np.ndarray]]:
     """Documents and ids at places of the index, in any order."""
-    store, place = fs.FileSystem.from_uri(file)
+    store, place = store_of(file)
     with store.open_input_file(place) as source:
         width = json.loads(read_frame(source))["width"]
         for offset in offsets:
@@ -111,6 +125,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     written one after the other. No documents give no files. Files follow each other in doc_id order. A task that runs again
     writes new files; only those on the returned, stored list count.
     """
+    store_of(folder)  # an error here and not in the tasks
     by_rank = merges_by_rank(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,3 +147,11 @@ def test_crossing_tokens_follow_the_rule():
     assert [x.tolist() for x in token_counts.attribute(starts, ends, borders, "first")] == [[2, 1, 0], [1, 1, 0]]
     assert token_counts.attribute(np.array([3]), np.array([7]), np.array([0, 4, 9]), "most")[0].tolist() == [0, 1]
     assert token_counts.attribute(np.array([3]), np.array([5]), np.array([0, 4, 9]), "most")[0].tolist() == [1, 0]
+
+
+def test_stores_by_the_names_of_hadoop():
+    assert records.common_uri("s3a://bucket/a/b") == "s3://bucket/a/b"
+    assert records.common_uri("hdfs://host/a") == "hdfs://host/a" and records.common_uri("/a/b") == "/a/b"
+    assert records.store_of("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        records.store_of("nosuchstore://store/x")
