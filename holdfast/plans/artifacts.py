@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from holdfast.functions.fixed import ID, LABEL
 from holdfast.operators import treeshap
@@ -35,7 +35,7 @@ class Artifacts:
         return self.pipeline.stages[0].feature_names
 
 
-def described(pipeline: PipelineModel, counts: dict[str, int], schemas: dict[str, str]) -> dict:
+def described(pipeline: PipelineModel, counts: dict[str, int], schemas: dict[str, dict]) -> dict:
     """What is kept about a set: which models, on which features in which order, rows by table, columns by report."""
     return {"features": pipeline.stages[0].feature_names, "models": [m.uid for m in pipeline.stages[1:]], "rows": counts, "reports": schemas}
 
@@ -60,7 +60,7 @@ def load(spark: SparkSession, folder: str, about: dict) -> Artifacts:
     if names != about["features"] or [m.uid for m in pipeline.stages[1:]] != about["models"]:
         raise ArtifactError("the pipeline is another than the one described")
     tables = {name: read_table(spark, f"{folder}/{name}") for name in about["rows"]}
-    reports = {name: read_report(spark, f"{folder}/{name}", _schema(text)) for name, text in about["reports"].items()}
+    reports = {name: read_report(spark, f"{folder}/{name}", StructType.fromJson(kind)) for name, kind in about["reports"].items()}
     for name in ("features", "train", "test"):
         if tables[name].columns != [ID, *names, LABEL]:
             raise ArtifactError(f"{name}: its columns are not the pipeline's features")
@@ -76,10 +76,6 @@ def load(spark: SparkSession, folder: str, about: dict) -> Artifacts:
     return Artifacts(pipeline, tables, reports)
 
 
-def _schema(text: str) -> StructType:
-    return _parse_datatype_string(text.removeprefix("struct<").removesuffix(">"))
-
-
 def _check_contributions(pipeline: PipelineModel, table: DataFrame, nodes: DataFrame, names: list[str]) -> None:
     base, _ = treeshap.collected_paths(treeshap.tree_paths(nodes))
     trees = nodes.select(F.count_distinct("treeID").alias("n")).first()["n"]

@@ -135,7 +135,7 @@ class Study:
             reports["model_comparison"] = models.cv_comparison(self.fold_metrics, [learner.name for learner in self.learners])
         for name, report in reports.items():
             write_report(report, f"{folder}/{name}")
-        schemas = {name: report.schema.simpleString() for name, report in reports.items()}
+        schemas = {name: report.schema.jsonValue() for name, report in reports.items()}
         about = artifacts.described(self.pipeline, counts, schemas)
         artifacts.load(self.spark, folder, about)  # raises if the parts do not fit each other
         publish(self.spark, path, folder, about)

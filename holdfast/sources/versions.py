@@ -36,6 +36,9 @@ def _read(spark: SparkSession, path: str) -> str | None:
 
 def current(spark: SparkSession, path: str) -> dict | None:
     """What describes the current version, its folder among it; None if there is none."""
+    place, store = file_system(spark, path)
+    if not store.exists(place) or not store.getFileStatus(place).isDirectory():
+        return None  # a path below a file is an error in some stores
     found = _read(spark, f"{path}/{POINTER}")
     return None if found is None else json.loads(found)
 
