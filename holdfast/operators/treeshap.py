@@ -29,6 +29,10 @@ LOG_ODDS = 2.0  # the probability is sigmoid(2 * margin)
 BROADCAST_BYTES = 256 * 1024 * 1024
 BLOCK_ROWS = 256
 BLOCK_PAIRS = 16_384  # paths times rows whose factors stay in the processor cache
+ASKED = 7  # comparisons of a bundle; their outcomes make a number below 2**ASKED
+BUNDLES = 512  # whose tables are built together
+LOOKUP_ROWS = 2_048
+LOOKUP_BYTES = 128 * 1024 * 1024  # tables a task keeps; of more, each is built anew for every batch
 
 PATHS = "tree int, value double, share double, feature array<int>, low array<double>, high array<double>, zero array<double>"
 
@@ -42,6 +46,7 @@ class Paths:
     high: np.ndarray
     zero: np.ndarray  # (paths, d): factor of an absent feature
     value: np.ndarray  # (paths,)
+    place: np.ndarray | None = None  # (paths,): place of a path among all, near others of its tree
 
     def _arrays(self) -> tuple[np.ndarray, ...]:
         return self.features, self.low, self.high, self.zero, self.value
@@ -51,7 +56,10 @@ class Paths:
         return sum(a.nbytes for a in self._arrays())
 
     def part(self, start: int, stop: int) -> Paths:
-        return Paths(*(a[start:stop] for a in self._arrays()))
+        return self.chosen(slice(start, stop))
+
+    def chosen(self, which: slice | np.ndarray) -> Paths:
+        return Paths(*(a[which] for a in self._arrays()), None if self.place is None else self.place[which])
 
 
 def _paths_of_tree(nodes: list[dict]) -> list[tuple]:
@@ -98,7 +106,7 @@ def collected_paths(paths: DataFrame) -> tuple[float, list[Paths]]:
     for d in sorted(set(length.tolist()) - {0}):
         own = np.flatnonzero(length == d)
         columns = [table[c].take(own).combine_chunks().flatten().to_numpy().reshape(-1, d) for c in ("feature", "low", "high", "zero")]
-        groups.append(Paths(*columns, value[own]))
+        groups.append(Paths(*columns, value[own], own))
     return base, groups
 
 
@@ -158,6 +166,123 @@ def contributions(x: np.ndarray, groups: list[Paths]) -> np.ndarray:
     return phi
 
 
+class Lookup:
+    """Contributions of many rows by tables.
+
+    Paths that lie side by side in a tree ask mostly the same: four leaves below one node ask seven comparisons of
+    a value with a threshold between them. Such a bundle has one table, of what each of its features gets under each
+    pattern of outcomes, filled by the polynomials. A row then costs one look a bundle and feature instead of one a
+    path and feature. Paths that ask more than ASKED comparisons by themselves are evaluated as in contributions.
+    """
+
+    def __init__(self, groups: list[Paths]):
+        self.groups, self._asked, self._kept = groups, None, {}
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Shapley values (features, rows) for the feature matrix x (features, rows)."""
+        plain = np.isfinite(x).all(axis=0)
+        if self._asked is None:
+            if not self.groups or plain.sum() < 8 << ASKED:  # filling the tables would cost more
+                return contributions(x, self.groups)
+            self._prepare()
+        phi = np.empty(x.shape)
+        phi[:, plain] = self._looked_up(x[:, plain])
+        if not plain.all():
+            phi[:, ~plain] = contributions(x[:, ~plain], self.groups)
+        return phi
+
+    def _prepare(self) -> None:
+        """Deal paths to bundles, side by side; comparisons are numbered by feature and threshold."""
+        width = max(g.features.shape[1] for g in self.groups)
+        parts = []
+        for g in self.groups:
+            room = ((0, 0), (0, width - g.features.shape[1]))
+            # a feature that is always inside and has the factor 1 changes no other's value and gets none
+            parts.append((
+                np.pad(g.features, room, constant_values=-1), np.pad(g.low, room, constant_values=-np.inf),
+                np.pad(g.high, room, constant_values=np.inf), np.pad(g.zero, room, constant_values=1.0), g.value,
+                np.arange(len(g.value)) if g.place is None else g.place,
+            ))
+        features, low, high, zero, value, place = (np.concatenate(a) for a in zip(*parts))
+        bounds = np.stack([low, high])
+        real = np.isfinite(bounds)
+        pairs = np.stack([np.broadcast_to(features, bounds.shape)[real], bounds[real]], axis=1)
+        compared, number = np.unique(pairs, axis=0, return_inverse=True)
+        self._feature, self._threshold = compared[:, 0].astype(np.int64), compared[:, 1]
+        asks = np.full(bounds.shape, -1)
+        asks[real] = number.ravel()
+        bundles, rest, mine, seen = [], [], [], set()
+        for p, own in sorted(enumerate(map(set, np.moveaxis(asks, 1, 0).reshape(len(value), -1).tolist())), key=lambda i: place[i[0]]):
+            own.discard(-1)
+            if len(own) > ASKED:
+                rest.append(p)
+                continue
+            if mine and len(seen | own) > ASKED:
+                bundles.append((mine, seen))
+                mine, seen = [], set()
+            mine.append(p)
+            seen = seen | own
+        if mine:
+            bundles.append((mine, seen))
+        left, self._rest, first = np.array(rest, np.int64), [], 0
+        for g in self.groups:
+            own = left[(left >= first) & (left < first + len(g.value))] - first
+            self._rest += [g.chosen(own)] if len(own) else []
+            first += len(g.value)
+        self._paths = features, zero, value, asks
+        self._bundles = [bundles[k : k + BUNDLES] for k in range(0, len(bundles), BUNDLES)]
+        self._asked = [np.array([[*sorted(seen), *[0] * (ASKED - len(seen))] for _, seen in block]) for block in self._bundles]
+        self._room = LOOKUP_BYTES
+
+    def _tables(self, number: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Features of each bundle of a block, and what they get: (features, 2**ASKED) a bundle."""
+        if number in self._kept:
+            return self._kept[number]
+        block = self._bundles[number]
+        features, zero, value, asks = self._paths
+        own = np.concatenate([mine for mine, _ in block])
+        bundle = np.repeat(np.arange(len(block)), [len(mine) for mine, _ in block])
+        bit = np.full(asks.shape[:1] + (len(own), asks.shape[2]), ASKED)
+        for k in range(ASKED):  # where a path's comparison stands among those of its bundle
+            bit[asks[:, own] == self._asked[number][bundle, k][None, :, None]] = k
+        bit[asks[:, own] < 0] = ASKED
+        outcome = (np.arange(1 << ASKED) >> np.arange(ASKED)[:, None]) & 1 == 1
+        none = np.ones((1, 1 << ASKED), bool)
+        above, below = np.concatenate([~outcome, none])[bit[0]], np.concatenate([outcome, none])[bit[1]]
+        inside = np.ascontiguousarray((above & below).transpose(1, 0, 2), np.float64)  # (d, paths, patterns)
+        values = path_values(inside, zero[own], value[own]).transpose(1, 0, 2).reshape(-1, 1 << ASKED)
+        key = (bundle[:, None] * (features.max() + 1) + features[own]).ravel()
+        used = np.flatnonzero(features[own].ravel() >= 0)
+        used = used[np.argsort(key[used], kind="stable")]
+        keys, starts = np.unique(key[used], return_index=True)
+        sums = np.add.reduceat(values[used], starts, axis=0)
+        cuts = np.searchsorted(keys // (features.max() + 1), np.arange(1, len(block)))
+        made = np.split(keys % (features.max() + 1), cuts), np.split(sums, cuts)
+        if sums.nbytes <= self._room:
+            self._room -= sums.nbytes
+            self._kept[number] = made
+        return made
+
+    def _looked_up(self, x: np.ndarray) -> np.ndarray:
+        phi = contributions(x, self._rest)
+        for number, asked in enumerate(self._asked):
+            features, tables = self._tables(number)
+            got = np.empty((max(map(len, features)), LOOKUP_ROWS))
+            for first in range(0, x.shape[1], LOOKUP_ROWS):
+                some = x[:, first : first + LOOKUP_ROWS]
+                outcome = (some[self._feature] <= self._threshold[:, None]).view(np.uint8)
+                which = np.zeros((len(asked), some.shape[1]), np.uint8)
+                for k in range(ASKED):
+                    which |= outcome[asked[:, k]] << k
+                sums = phi[:, first : first + LOOKUP_ROWS].copy()
+                for own, table, place in zip(features, tables, which):
+                    part = got[: len(own), : len(place)]
+                    table.take(place.astype(np.intp), axis=1, out=part, mode="clip")
+                    sums[own] += part
+                phi[:, first : first + LOOKUP_ROWS] = sums
+        return phi
+
+
 def _chunks(groups: list[Paths], limit: int) -> list[list[Paths]]:
     """Cut the paths into lists of at most limit bytes each."""
     chunks: list[list[Paths]] = [[]]
@@ -197,12 +322,13 @@ def explain(df: DataFrame, nodes: DataFrame | tuple[float, list[Paths]], vector:
         shared = spark.sparkContext.broadcast(chunk)
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            explained = Lookup(shared.value)
             for batch in batches:
                 rows = batch.num_rows
                 if rows == 0:
                     continue
                 x = batch.column("value").flatten().to_numpy().reshape(rows, -1).T.copy()
-                phi = contributions(x, shared.value)
+                phi = explained(x)
                 earlier = batch.column("shap")
                 if earlier.null_count == 0:
                     phi += earlier.flatten().to_numpy().reshape(rows, -1).T

@@ -126,6 +126,72 @@ def test_patterns_and_rows_give_the_same(rows, monkeypatch):
     np.testing.assert_allclose(phi.sum(0), total, atol=1e-12)
 
 
+def _random_paths(rng, trees, depth, columns=9):
+    """Paths of full trees that split at random columns and at one of eight thresholds each."""
+    found = {}
+
+    def walk(level, seen, number):
+        if level == depth:
+            found.setdefault(len(seen), []).append((list(seen), *zip(*seen.values()), rng.normal(), number))
+            return
+        f, t, part = int(rng.integers(columns)), float(rng.integers(8)) / 4 - 1, rng.random()
+        low, high, zero = seen.get(f, (-np.inf, np.inf, 1.0))
+        walk(level + 1, {**seen, f: (low, min(high, t), zero * part)}, 2 * number)
+        walk(level + 1, {**seen, f: (max(low, t), high, zero * (1 - part))}, 2 * number + 1)
+
+    for tree in range(trees):
+        walk(0, {}, tree)
+    return [
+        treeshap.Paths(np.array(f, np.int32), *map(np.array, (low, high, zero, value, place)))
+        for f, low, high, zero, value, place in (zip(*rows) for rows in found.values())
+    ]
+
+
+@pytest.mark.parametrize("kept", [0, 1 << 27])
+@pytest.mark.parametrize("depth", [1, 3, 6, 9])
+def test_tables_give_what_the_polynomials_give(depth, kept, monkeypatch):
+    """Values on thresholds, values that are no finite numbers, paths of more comparisons than a table holds, and tables built anew."""
+    monkeypatch.setattr(treeshap, "LOOKUP_BYTES", kept)
+    monkeypatch.setattr(treeshap, "BUNDLES", 5)
+    monkeypatch.setattr(treeshap, "LOOKUP_ROWS", 500)
+    rng = np.random.default_rng(depth)
+    groups = _random_paths(rng, 4, depth)
+    found = treeshap.Lookup(groups)
+    for rows in (2_300, 40):
+        x = rng.choice([*(np.arange(8) / 4 - 1), *rng.normal(size=9)], (10, rows))
+        x[3, 7], x[5, 8], x[2, 9] = np.nan, -np.inf, np.inf
+        np.testing.assert_allclose(found(x), treeshap.contributions(x, groups), atol=1e-12)
+    assert found._asked is not None
+
+
+def test_polynomials_do_not_grow_with_the_rows(monkeypatch):
+    """Rows cost a look a bundle and feature; polynomials are evaluated once for all batches of a task."""
+    evaluated, real = [], treeshap.path_values
+    monkeypatch.setattr(treeshap, "path_values", lambda inside, *more: evaluated.append(inside.size) or real(inside, *more))
+    rng = np.random.default_rng(1)
+    groups = _random_paths(rng, 3, 6)
+    found = treeshap.Lookup(groups)
+    found(rng.normal(size=(9, 1_100)))
+    assert sum(evaluated) == 3 * 64 * max(g.features.shape[1] for g in groups) << treeshap.ASKED
+    for _ in range(3):
+        found(rng.normal(size=(9, 3_000)))
+    assert sum(evaluated) == 3 * 64 * max(g.features.shape[1] for g in groups) << treeshap.ASKED
+    looks = sum(len(f) for k in range(len(found._bundles)) for f in found._tables(k)[0])
+    assert looks * 2 < sum(g.features.size for g in groups)
+
+
+def test_explained_in_batches_by_tables(spark, small):
+    """A table of more rows than tables are worth, against brute force at some of them."""
+    table, _, nodes = small
+    many = table.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).coalesce(1)
+    rows, seen = nodes.collect(), 0
+    for r in treeshap.explain(many, nodes).filter("CLIENTNUM % 60 = 0 AND copy IN (0, 9)").collect():
+        base, phi = _brute(rows, r["value"])
+        np.testing.assert_allclose(r["shap"], phi, atol=1e-9)
+        seen += 1
+    assert seen == 10
+
+
 def test_deep_trees(spark, small):
     """Trees of depth 12, all four features on most paths several times, against all coalitions."""
     table, _, _ = small
