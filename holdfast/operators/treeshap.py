@@ -181,9 +181,9 @@ class Lookup:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Shapley values (features, rows) for the feature matrix x (features, rows)."""
         plain = np.isfinite(x).all(axis=0)
-        if self._asked is None:
-            if not self.groups or plain.sum() < 8 << ASKED:  # filling the tables would cost more
-                return contributions(x, self.groups)
+        if not self.groups or not plain.any():
+            return contributions(x, self.groups)
+        if self._asked is None:  # for few rows too, so that the last digits do not depend on the batch
             self._prepare()
         phi = np.empty(x.shape)
         phi[:, plain] = self._looked_up(x[:, plain])
