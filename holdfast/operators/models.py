@@ -141,6 +141,15 @@ def vector_table(features: CustomerFeaturesModel, df: DataFrame, *keep: str) ->
     return features.transform(df).select(ID, LABEL, *keep, "features")
 
 
+def one_wave(vectors: DataFrame) -> DataFrame:
+    """The rows in a partition a core, evenly, if they come in more partitions than there are cores.
+
+    Each level of each tree waits for all partitions of the table: one more than there are cores doubles its time.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.repartition(cores) if vectors.rdd.getNumPartitions() > cores else vectors
+
+
 def scoring_pipeline(features: CustomerFeaturesModel, models: list[Model]) -> PipelineModel:
     return PipelineModel([features, *models])
 
@@ -181,7 +190,7 @@ def cross_validate(learners: list[Learner], vectors: DataFrame, folds: int = FOL
     The fits run as concurrent Spark jobs; every held-out fold is scored once,
     into a table all metrics are read from.
     """
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = one_wave(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         jobs = [(learner, fold) for learner in learners for fold in range(folds)]
 

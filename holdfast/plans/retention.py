@@ -86,7 +86,7 @@ class Study:
 
     @cached_property
     def pipeline(self) -> PipelineModel:
-        vectors = models.vector_table(self.features, self.train).persist()
+        vectors = models.one_wave(models.vector_table(self.features, self.train)).persist()
         try:
             fitted = models.fit_all(self.learners, vectors)
         finally:

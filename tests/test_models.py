@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.fixed import FEATURES
 from holdfast.operators import contributions, metrics, models
 from holdfast.plans import registry
+from holdfast.plans.retention import Study
 from holdfast.streaming.scoring import risk_records, stream_scores
 from holdfast.sources import tables
 
@@ -60,6 +61,29 @@ def test_cross_validation_table(study):
     assert table.loc["recall", "Trees_std"] == pytest.approx(want.recall.std(ddof=0), abs=1e-4)
 
 
+def test_fits_take_one_wave_of_tasks(study, spark, monkeypatch):
+    """A level of a tree waits for all partitions, so rows in one more than there are cores are dealt out anew."""
+    cores = spark.sparkContext.defaultParallelism
+    vectors = models.vector_table(study.features, study.train)
+    assert models.one_wave(vectors) is vectors  # few partitions: the fit sees what it always saw
+    crowded = vectors.repartition(cores + 1)
+    spread = models.one_wave(crowded)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) - min(sizes) <= cores + 1
+    assert sorted(spread.collect()) == sorted(vectors.collect())
+
+    seen = []
+    monkeypatch.setattr(models, "fit_all", lambda learners, rows: seen.append(rows.rdd.getNumPartitions()) or [])
+    many = Study(study.raw, study.learners)
+    many.customers = study.customers.repartition(cores + 1)
+    assert many.train.rdd.getNumPartitions() > cores
+    many.pipeline
+    monkeypatch.setattr(models, "fit", lambda learner, rows: seen.append(rows.rdd.getNumPartitions()) or study.tree_model)
+    folded = crowded.withColumn("fold", F.col("CLIENTNUM") % 2)
+    models.cross_validate(study.learners[1:], folded, folds=2)
+    assert seen == [cores] * 3
+
+
 def test_explanations(study):
     r = registry.shap_checks(study).first()
     assert r["n"] == 300 and r["n_bad"] == 0 and r["max_gap"] < 1e-6
