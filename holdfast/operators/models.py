@@ -23,6 +23,7 @@ from holdfast.sources.tables import fresh_path, settle, shared_folder
 from holdfast.sources.versions import resolve
 
 WEIGHT = "weight"
+ROWS_A_TASK = 20_000  # of fewer, a task's start takes as long as its part of a tree's level
 
 
 @dataclass(frozen=True)
@@ -141,13 +142,31 @@ def vector_table(features: CustomerFeaturesModel, df: DataFrame, *keep: str) ->
     return features.transform(df).select(ID, LABEL, *keep, "features")
 
 
+def dealt_evenly(df: DataFrame, waves: int | None = None) -> DataFrame:
+    """The rows in a partition a core, evenly, if they lie worse: in more partitions than there are cores, or so unevenly
+    that the largest of fewer partitions holds a quarter more than its share.
+
+    The latter happens to files of one row group, which no second task can read. Rows that are too few to occupy all
+    cores are shared by fewer. With waves, rows in more waves of tasks than that stay as they are: the last, which
+    leaves cores idle, hardly counts among many.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts > cores:
+        return df if waves and parts > waves * cores else df.repartition(cores)
+    sizes = df.groupBy(F.spark_partition_id()).count()
+    row = sizes.agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    share = min(cores, (row["rows"] or 0) // ROWS_A_TASK)
+    return df.repartition(share) if share and row["most"] * share > 1.25 * row["rows"] else df
+
+
 def one_wave(vectors: DataFrame) -> DataFrame:
-    """The rows in a partition a core, evenly, if they come in more partitions than there are cores.
+    """The rows dealt evenly, so that each level of each tree, which waits for all partitions of the table, takes one
+    wave of tasks on all cores.
 
-    Each level of each tree waits for all partitions of the table: one more than there are cores doubles its time.
+    Dealt rows are put in order, as the learner draws rows by their place in a partition.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    return vectors.repartition(cores) if vectors.rdd.getNumPartitions() > cores else vectors
+    dealt = dealt_evenly(vectors)
+    return dealt if dealt is vectors else dealt.sortWithinPartitions(ID, LABEL, vector_to_array("features"))
 
 
 def scoring_pipeline(features: CustomerFeaturesModel, models: list[Model]) -> PipelineModel:

@@ -84,6 +84,33 @@ def test_fits_take_one_wave_of_tasks(study, spark, monkeypatch):
     assert seen == [cores] * 3
 
 
+def test_fits_use_all_cores_when_few_partitions_hold_the_rows(study, spark, monkeypatch):
+    """Rows in one partition of few are dealt out like those in too many, to as many cores as they can occupy."""
+    cores = spark.sparkContext.defaultParallelism
+    vectors = models.vector_table(study.features, study.train)
+    heap = vectors.coalesce(1)
+    assert models.one_wave(heap) is heap  # 1,200 rows are one task's work
+    for rows_a_task, wanted in ((100, cores), (400, 3)):
+        monkeypatch.setattr(models, "ROWS_A_TASK", rows_a_task)
+        spread = models.one_wave(heap)
+        parts = [[row.CLIENTNUM for row in part] for part in spread.rdd.glom().collect()]
+        assert len(parts) == wanted and max(map(len, parts)) - min(map(len, parts)) <= wanted
+        assert all(part == sorted(part) for part in parts)
+        assert sorted(spread.collect()) == sorted(vectors.collect())
+        assert models.one_wave(spread) is spread
+
+    lopsided = vectors.repartition(2, F.col("CLIENTNUM") >= 0)
+    assert lopsided.rdd.getNumPartitions() == 2 and models.one_wave(lopsided).rdd.getNumPartitions() == 3
+    assert models.dealt_evenly(heap.limit(0)).count() == 0
+
+    seen = []
+    monkeypatch.setattr(models, "fit_all", lambda learners, rows: seen.append(rows.rdd.getNumPartitions()) or [])
+    stored = Study(study.raw, study.learners)
+    stored.customers = study.customers.coalesce(1)
+    stored.pipeline
+    assert seen == [3]
+
+
 def test_explanations(study):
     r = registry.shap_checks(study).first()
     assert r["n"] == 300 and r["n_bad"] == 0 and r["max_gap"] < 1e-6
