@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from holdfast.functions.fixed import ID
 from holdfast.operators.business import with_recommendations, with_risk_tier
 from holdfast.operators.contributions import waterfalls
-from holdfast.operators.models import score, score_array
+from holdfast.operators.models import dealt_evenly, score, score_array
 from holdfast.operators.treeshap import LOG_ODDS, collected_paths, explain, tree_paths
 
 
@@ -46,6 +46,8 @@ def explained_records(customers: DataFrame, pipeline: PipelineModel, nodes: Data
     """
     features, model = pipeline.stages[0], pipeline.stages[-1]
     known = features.with_missing(with_open_to_buy(customers)).filter(F.size("missing") == 0)
+    if not customers.isStreaming:
+        known = dealt_evenly(known, waves=4)
     margin = vector_to_array(model.getRawPredictionCol())[1]
     rows = model.transform(features.transform(known)).select(ID, (margin * LOG_ODDS).alias("log_odds"), "features")
     shap = explain(rows, nodes)

@@ -6,7 +6,7 @@ from holdfast.functions.fixed import FEATURES
 from holdfast.operators import contributions, metrics, models
 from holdfast.plans import registry
 from holdfast.plans.retention import Study
-from holdfast.streaming.scoring import risk_records, stream_scores
+from holdfast.streaming.scoring import explained_records, risk_records, stream_scores
 from holdfast.sources import tables
 
 
@@ -111,6 +111,18 @@ def test_fits_use_all_cores_when_few_partitions_hold_the_rows(study, spark, monk
     assert seen == [3]
 
 
+def test_explained_records_come_in_one_wave(study, spark):
+    """Explaining one partition more than there are cores would take two rounds; of many more, the last hardly counts."""
+    cores = spark.sparkContext.defaultParallelism
+    kept = explained_records(study.customers, study.pipeline, study.nodes)
+    dealt = explained_records(study.customers.repartition(cores + 1), study.pipeline, study.nodes)
+    assert dealt.rdd.getNumPartitions() == cores
+    columns = ["CLIENTNUM", F.round("log_odds", 9), F.size("shap"), F.size("steps")]
+    assert sorted(dealt.select(*columns).collect()) == sorted(kept.select(*columns).collect())
+    many = study.customers.repartition(4 * cores + 1)
+    assert explained_records(many, study.pipeline, study.nodes).rdd.getNumPartitions() == 4 * cores + 1
+
+
 def test_explanations(study):
     r = registry.shap_checks(study).first()
     assert r["n"] == 300 and r["n_bad"] == 0 and r["max_gap"] < 1e-6
