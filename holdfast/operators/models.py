@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from holdfast.functions.expressions import half_even
 from holdfast.functions.fixed import CV_METRICS, FOLDS, ID, LABEL, LOGISTIC, SEED, TREES
+from holdfast.operators import boosting
 from holdfast.operators.features import CustomerFeaturesModel
 from holdfast.operators.metrics import metric_rows
 from holdfast.sources.tables import fresh_path, settle, shared_folder
@@ -102,14 +103,16 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def fit(learner: Learner, vectors: DataFrame) -> Model:
-    """Fit on a table with features and label."""
+    """Fit on a table with features and label. Trees of few rows are grown by one task, of more by a job for each level."""
     shared_folder(vectors.sparkSession)
     row = class_weights(vectors).first()
     neg, pos = row["n_retained"], row["n_churned"]
     retained, churned = learner.weight(neg, pos)
     weight = F.when(F.col(LABEL) == 1, churned).otherwise(retained)
-    model = learner.build(neg, pos).fit(vectors.withColumn(WEIGHT, weight))
-    return _without_summary(vectors.sparkSession, model)
+    classifier, rows = learner.build(neg, pos), vectors.withColumn(WEIGHT, weight)
+    if min(retained, churned) > 0 and boosting.can_fit(classifier, neg + pos):
+        return boosting.fit(classifier, rows)
+    return _without_summary(vectors.sparkSession, classifier.fit(rows))
 
 
 def _without_summary(spark: SparkSession, model: Model) -> Model:
