@@ -1,3 +1,4 @@
+import os
 import hashlib
 import random
 from collections import defaultdict
@@ -201,3 +202,52 @@ def test_induced_sort(room):
                 least[s[k : k + depth]] = min(least.get(s[k : k + depth], o), o)
         for s, found in zip(strings, induced_sort.least_owner(strings, owners, depth, room)):
             assert found.tolist() == [least[s[k : k + depth]] for k in range(len(s) - depth + 1)]
+
+
+def test_seeds_are_put_in_order_of_their_first_characters():
+    """Words of seven characters, tied ones only, against plain comparison; an END ends a common prefix."""
+    rng = np.random.default_rng(8)
+    for depth in (1, 6, 7, 8, 15, 50):
+        strings = [bytes(rng.integers(0, 2, int(n), np.uint8)) * int(k) for n, k in zip(rng.integers(0, 40, 30), rng.integers(1, 4, 30))]
+        text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings]).astype(np.uint16)
+        seeds = np.flatnonzero(text)
+        ranked, common = induced_sort.seed_order(text, seeds, depth)
+        heads = [bytes(text[p : p + depth].tolist()).split(b"\0")[0] for p in ranked.tolist()]
+        assert sorted(ranked.tolist()) == seeds.tolist() and heads == sorted(heads)
+        assert common[1:].tolist() == [len(os.path.commonprefix([a, b])) for a, b in zip(heads, heads[1:])]
+
+
+def test_answers_of_a_shard_come_in_few_batches():
+    """A shard's spans that share strings and one that shares none, from 130 batches of documents. Each row of answers
+    was a record batch of its own."""
+    length, shared = 50, [bytes([65 + k]) * 3 + bytes(range(90 + k, 170 + k)) for k in range(3)]
+    spans = [[(shared[b % 3], b % 3, b), (b"%05d" % b + shared[b % 3], b % 3, b + 1), (hashlib.sha512(b"%d" % b).digest(), 10 + b, b)] for b in range(130)]
+    rows, owners = [], {}
+    for b, mine in enumerate(spans):
+        texts, keys, docs = zip(*mine)
+        sizes, places = suffixes._numbers([len(t) for t in texts]), suffixes._numbers([0, 1, 2])
+        rows.append((f"{b}", 0, suffixes.squeezed(b"".join(texts)), sizes, suffixes._short(np.array(keys, np.uint64)), suffixes._numbers(docs), places))
+        for text, _, doc in mine:
+            for k in range(len(text) - length + 1):
+                owners[text[k : k + length]] = min(doc, owners.get(text[k : k + length], doc))
+
+    class Pieces:
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, _):
+            schema = suffixes._schema("batch string, shard int, strings binary, lengths binary, keys binary, owners binary, places binary")
+            return list(run(iter([suffixes._rows(schema, rows)])))
+
+    batches = suffixes.sort(Pieces(), length, 1)
+    assert len(batches) == 3 and sum(x.num_rows for x in batches) == 130
+    for batch in batches:
+        for name, *data in zip(*(batch[c].to_pylist() for c in ("batch", "runs", "starts", "owners"))):
+            runs, starts, least = map(suffixes._from_numbers, data)
+            ends = np.cumsum(runs)
+            for (text, _, _), z, n in zip(spans[int(name)], ends.tolist(), runs.tolist()):
+                strings = len(text) - length + 1
+                found = np.repeat(least[z - n : z], np.diff([*starts[z - n : z].tolist(), strings])).tolist()
+                assert starts[z - n] == 0 and found == [owners[text[k : k + length]] for k in range(strings)]
