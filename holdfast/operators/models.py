@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -34,6 +34,7 @@ class Learner:
     name: str
     build: Callable[[int, int], object]
     weight: Callable[[int, int], tuple[float, float]]  # (retained, churned)
+    beside: int = 1  # fits of its kind that run side by side
 
 
 def _named(classifier, name: str):
@@ -110,7 +111,7 @@ def fit(learner: Learner, vectors: DataFrame) -> Model:
     retained, churned = learner.weight(neg, pos)
     weight = F.when(F.col(LABEL) == 1, churned).otherwise(retained)
     classifier, rows = learner.build(neg, pos), vectors.withColumn(WEIGHT, weight)
-    if min(retained, churned) > 0 and boosting.can_fit(classifier, neg + pos):
+    if min(retained, churned) > 0 and boosting.can_fit(classifier, neg + pos, learner.beside):
         return boosting.fit(classifier, rows)
     return _without_summary(vectors.sparkSession, classifier.fit(rows))
 
@@ -214,7 +215,8 @@ def cross_validate(learners: list[Learner], vectors: DataFrame, folds: int = FOL
     """
     vectors = one_wave(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        jobs = [(learner, fold) for learner in learners for fold in range(folds)]
+        beside = max(1, min(folds, parallelism // len(learners)))
+        jobs = [(replace(learner, beside=beside), fold) for learner in learners for fold in range(folds)]
 
         def held_out(job: tuple[Learner, int]) -> DataFrame:
             learner, fold = job
